@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, counting, fingerprints, mixing
+from . import chat, counting, fingerprints, idfiles, mixing
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op4_id_files": idfiles.op4_id_files,
     "op5_mix": mixing.op5_mix,
     "op9_token_counts": counting.op9_token_counts,
     "op10_chat": chat.op10_chat,
