@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, counting, decontaminate, fingerprints, idfiles, mixing
+from . import chat, counting, decontaminate, fingerprints, idfiles, mixing, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op4_id_files": idfiles.op4_id_files,
     "op5_mix": mixing.op5_mix,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_leaks": decontaminate.op8_leaks,
     "op9_token_counts": counting.op9_token_counts,
     "op10_chat": chat.op10_chat,
