@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, counting, decontaminate, fingerprints, idfiles, mixing, toxicity
+from . import chat, counting, decontaminate, fingerprints, idfiles, mixing, neardup, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_near_duplicates": neardup.op2_near_duplicates,
     "op4_id_files": idfiles.op4_id_files,
     "op5_mix": mixing.op5_mix,
     "op7_toxicity": toxicity.op7_toxicity,
