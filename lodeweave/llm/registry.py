@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, counting, decontaminate, fingerprints, idfiles, mixing, neardup, toxicity
+from . import chat, counting, decontaminate, fingerprints, idfiles, mixing, neardup, repeats, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_near_duplicates": neardup.op2_near_duplicates,
+    "op3_repeats": repeats.op3_repeats,
     "op4_id_files": idfiles.op4_id_files,
     "op5_mix": mixing.op5_mix,
     "op7_toxicity": toxicity.op7_toxicity,
