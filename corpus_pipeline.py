@@ -1,8 +1,64 @@
-"""Corpus pipeline."""
-STAGES = []
-ORACLE_SQL = None
+"""Corpus pipeline: documents that are not toxic, once each, without benchmark items, mixed to target weights, as id files.
 
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.
+"""
 
-def run(spark, sf_dir):
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeweave.llm import decontaminate, idfiles, mixing, neardup, scratch, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose score stays below the threshold of their language."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.filter(~toxicity.rejected(F.col("score"), F.col("lang"), model)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of documents that share four fifths of their five-word shingles."""
+    return neardup.deduplicate(docs, k=5, percent=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no benchmark item is found."""
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_leaky")).distinct()
+    found = scratch.save(found, scratch.folder(spark))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaky")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as many times as the mix takes it."""
+    mixed = mixing.mix(docs).filter("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Id files of all rows, and from them one row for each: doc_id, start, n_tokens, ids_crc32."""
+    import public_tokenizers
+
+    path = scratch.folder(spark)
+    idfiles.write_documents(docs, public_tokenizers.path("word_bpe_49k.json"), path)
+    return idfiles.summaries(spark, path)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("leaks", drop_leaks),
+    ("mixing", mix_sources),
+    ("id_files", write_ids),
+]
+
+ORACLE_SQL = None  # a trained classifier has no SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written and read back before the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), scratch.folder(spark))
     return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, counting, decontaminate, fingerprints, idfiles, mixing, neardup, repeats, toxicity
+from . import chat, counting, decontaminate, fingerprints, idfiles, lm, mixing, neardup, repeats, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_repeats": repeats.op3_repeats,
     "op4_id_files": idfiles.op4_id_files,
     "op5_mix": mixing.op5_mix,
+    "op6_lm_scores": lm.op6_lm_scores,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_leaks": decontaminate.op8_leaks,
     "op9_token_counts": counting.op9_token_counts,
