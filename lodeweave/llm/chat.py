@@ -1,4 +1,4 @@
-"""Chat formatting by relational operations: collected turns, merged blocks, concatenation, and the way back.
+r"""Chat formatting by relational operations: collected turns, merged blocks, concatenation, and the way back.
 
 A block is ``<|im_start|>role\ntext<|im_end|>\n``. Adjacent turns of one role share a block, their texts
 divided by ``<|im_sep|>``, so the turns can be told apart again. Inside roles and texts a backslash is
