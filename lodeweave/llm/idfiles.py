@@ -23,14 +23,23 @@ END_ID = 2
 LONGEST = 16  # bits of a code; more only where so many ids are in use that they need it
 BLOCK = 1 << 16  # ids in a block, unless one document has more
 RUN = 64  # ids between two checkpoints
-CACHE = 600_000  # words whose ids a worker remembers; then it starts anew
-PIECE = 8_000_000  # bytes of text handled at once
+CACHE = 400_000  # units whose ids a worker remembers; then it starts anew
+PIECE = 4_000_000  # bytes of text handled at once
 
 
-class WordIds:
-    """Ids of texts from ids of their words: the tokenizer never looks across white space.
+#: Byte kinds: white space, letters, digits, others. C3 80 to C3 BF are letters but for two signs.
+_KIND = np.full(256, 3, np.int8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A] = 2
 
-    Each distinct word of a chunk goes to the library once; what it returned is kept as flat arrays.
+
+class UnitIds:
+    """Ids of texts from ids of their units, each distinct unit going to the library once.
+
+    The tokenizer cuts at white space and between letters, digits and other signs, whatever stands around
+    it; so a unit is a run of one kind. A word with an apostrophe (contractions), a ``<`` (special strings)
+    or characters other than ASCII and Latin-1 letters stays whole: it is cut by the library.
     """
 
     def __init__(self, path: str):
@@ -43,9 +52,8 @@ class WordIds:
         self.keys, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, strings: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE:
-            self._clear()
-        found = [e.ids for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
+        merge = self.tok.model.tokenize
+        found = [[t.id for t in merge(x.lower())] if x.isascii() and x.isalpha() else self.tok.encode(x, add_special_tokens=False).ids for x in strings]
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
         at = len(self.flat) + np.cumsum(size) - size
@@ -55,8 +63,11 @@ class WordIds:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in ``data``, and how many each text has."""
-        s, e, first = vectext.spans(data, offs)
-        hashed = vectext.span_hash(vectext.prefix_hash(data, lower=False), s, e)
+        s, e, first, whole = units(data, offs)
+        hashed = vectext.span_hash(vectext.prefix_hash(data), s, e)
+        if whole.any():  # special strings heed the case
+            exact = vectext.prefix_hash(data, lower=False)
+            hashed[whole] = vectext.mix(vectext.span_hash(exact, s[whole], e[whole]) + np.uint64(1))
         keys, where, back = np.unique(hashed, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > CACHE:
             self._clear()
@@ -75,12 +86,40 @@ class WordIds:
         return ids, np.diff(before[first])
 
 
-_encoders: dict[str, WordIds] = {}
-
-
-def _encoder(path: str) -> WordIds:
+def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each unit, the first unit of each text (one more at the end), and which units are whole words."""
+    s, e, first = vectext.spans(data, offs)
+    if not len(s):
+        return s, e, first, np.zeros(0, bool)
+    kind = _KIND[data]
+    after = np.append(data[1:], np.uint8(0))
+    lead = (data == 0xC3) & (after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)
+    latin = lead.copy()
+    latin[1:] |= lead[:-1]
+    kind[latin] = 1
+    odd = ((data >= 0x80) & ~latin) | (data == 0x27) | (data == 0x3C)
+    seen = np.concatenate([[0], np.cumsum(odd)])
+    whole_word = seen[e] > seen[s]
+    if whole_word.any():
+        mark = np.zeros(len(data) + 1, np.int8)
+        mark[s[whole_word]] += 1
+        mark[e[whole_word]] -= 1
+        kind[np.cumsum(mark[:-1], dtype=np.int8) > 0] = 4
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = kind[1:] != kind[:-1]
+    cut[offs] = True
+    at = np.flatnonzero(cut)
+    inside = kind[at[:-1]] != 0
+    begin, end = at[:-1][inside], at[1:][inside]
+    return begin, end, np.searchsorted(begin, offs), kind[begin] == 4
+
+
+_encoders: dict[str, UnitIds] = {}
+
+
+def _encoder(path: str) -> UnitIds:
     if path not in _encoders:
-        _encoders[path] = WordIds(path)
+        _encoders[path] = UnitIds(path)
     return _encoders[path]
 
 
@@ -91,11 +130,11 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _encoder(path)
+        units_of = _encoder(path)
         for batch in batches:
             data, offs = vectext.raw(batch.column("text"))
             for i, j in vectext.chunks(offs, PIECE):
-                ids, sizes = words.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                ids, sizes = units_of.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 ids = np.insert(ids.astype("<u4"), np.cumsum(sizes), end_id)
                 ends = np.concatenate([[0], np.cumsum(sizes + 1)]) * 4
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
