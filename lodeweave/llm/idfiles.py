@@ -123,8 +123,15 @@ def _encoder(path: str) -> UnitIds:
     return _encoders[path]
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, text) -> (doc_id, ids): binary of little-endian unsigned 32-bit ids, ``end_id`` last.
+def id_bytes(path: str) -> int:
+    """Bytes that an id of this tokenizer needs: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
+
+
+def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID, width: int = 4) -> DataFrame:
+    """(doc_id, text) -> (doc_id, ids): binary of little-endian unsigned ids of ``width`` bytes, ``end_id`` last.
 
     Null text: only the end id. Rows are independent; other columns are ignored.
     """
@@ -135,8 +142,8 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
             data, offs = vectext.raw(batch.column("text"))
             for i, j in vectext.chunks(offs, PIECE):
                 ids, sizes = units_of.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                ids = np.insert(ids.astype("<u4"), np.cumsum(sizes), end_id)
-                ends = np.concatenate([[0], np.cumsum(sizes + 1)]) * 4
+                ids = np.insert(ids.astype(f"<u{width}"), np.cumsum(sizes), end_id)
+                ends = np.concatenate([[0], np.cumsum(sizes + 1)]) * width
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), column], ["doc_id", "ids"])
 
@@ -232,8 +239,8 @@ def unpack(stream: bytes, offsets: np.ndarray, n: int, symbol: np.ndarray, lengt
     return out.T.reshape(-1)[:n]
 
 
-def write_ids(rows: DataFrame, path: str) -> None:
-    """Write (doc_id, ids) to ``path``: ``codes`` (id, bits) and ``blocks``, in ascending doc_id order, nulls last.
+def write_ids(rows: DataFrame, path: str, width: int = 4) -> None:
+    """Write (doc_id, ids of ``width`` bytes each) to ``path``: ``codes`` (id, bits) and ``blocks``, in ascending doc_id order, nulls last.
 
     Rows with the same doc_id follow each other in order of their ids. An empty table gives empty files.
     """
@@ -243,7 +250,7 @@ def write_ids(rows: DataFrame, path: str) -> None:
         total = np.zeros(0, np.int64)
         for batch in batches:
             data, _ = vectext.raw(batch.column("ids"))
-            one = np.bincount(data.view("<u4")) if len(data) else np.zeros(0, np.int64)
+            one = np.bincount(data.view(f"<u{width}")) if len(data) else np.zeros(0, np.int64)
             if len(one) > len(total):
                 one, total = total, one
             total = total.copy()
@@ -270,9 +277,9 @@ def write_ids(rows: DataFrame, path: str) -> None:
 
         def flush():
             nonlocal number, before, doc_ids, bodies, held
-            ids = np.frombuffer(b"".join(bodies), "<u4")
+            ids = np.frombuffer(b"".join(bodies), f"<u{width}")
             stream, offsets = pack(ids, codes, lengths)
-            row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before]), pa.array([doc_ids], pa.list_(kind)), pa.array([[len(b) // 4 for b in bodies]], pa.list_(pa.int64()))]
+            row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before]), pa.array([doc_ids], pa.list_(kind)), pa.array([[len(b) // width for b in bodies]], pa.list_(pa.int64()))]
             row += [pa.array([len(ids)]), pa.array([stream], pa.binary()), pa.array([offsets.astype("<u4" if len(stream) < 1 << 29 else "<u8").tobytes()], pa.binary())]
             number, before, doc_ids, bodies, held = number + 1, before + len(ids), [], [], 0
             return pa.RecordBatch.from_arrays(row, ["part", "number", "ids_before", "doc_ids", "sizes", "n_ids", "bits", "checkpoints"])
@@ -280,11 +287,11 @@ def write_ids(rows: DataFrame, path: str) -> None:
         for batch in batches:
             kind = batch.column("doc_id").type
             for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if held and held + len(body) // 4 > BLOCK:
+                if held and held + len(body) // width > BLOCK:
                     yield flush()
                 doc_ids.append(doc_id)
                 bodies.append(body)
-                held += len(body) // 4
+                held += len(body) // width
         if doc_ids:
             yield flush()
 
@@ -353,7 +360,8 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
 
 def write_documents(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Encode (doc_id, text) with the tokenizer file and write the ids to ``path``."""
-    write_ids(scratch.save(encode_documents(docs, tokenizer), scratch.folder(docs.sparkSession)), path)
+    width = id_bytes(tokenizer)
+    write_ids(scratch.save(encode_documents(docs, tokenizer, width=width), scratch.folder(docs.sparkSession)), path, width)
 
 
 def op4_id_files(spark, sf_dir: str) -> DataFrame:
