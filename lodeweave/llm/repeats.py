@@ -5,8 +5,8 @@ equal anchors at equal places, so windows are dealt by anchor. Neighbouring wind
 a segment. Segments equal throughout are settled by their hash; the different segments of one anchor meet
 in a task, which builds the suffix array and Burrows-Wheeler transform of their bytes and extends strings
 backwards, breadth first, so that common prefixes come out by increasing length; at 100 bytes it stops,
-and what has no value yet are the repeated windows. Anchors with very many different segments are split by
-whole windows instead.
+and what has no value yet are the repeated windows. Anchors with very many different segments would make
+one task too large: their windows are dealt by a longer shared part and compared whole.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from . import scratch, vectext
 
 LENGTH = 100  # bytes of a repeated string
 GRAM = 24  # bytes of an anchor
+CHUNK = 8  # windows that are compared by what they share, where an anchor is heavy
 HEAVY = 1500  # different segments of an anchor that meet in one task at most
 BLOCK = 300_000  # bytes whose transform is built at once
 LAST = (1 << 63) - 1  # order of a null doc_id
@@ -100,7 +101,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     for i in range(step):
         key = key * 260 + padded[i : i + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
@@ -121,7 +122,7 @@ def repeated(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     order = suffix_array(text)
     last = text[order - 1]  # the transform
     to = np.empty(len(text), np.int64)  # row of the suffix one symbol longer
-    to[np.argsort(last, kind="stable")] = np.arange(len(text))
+    to[np.argsort(last.astype(np.int16), kind="stable")] = np.arange(len(text))
     value = np.full(len(text) + 1, -1, np.int16)
     value[[0, -1]] = 0
     low, high = np.array([0]), np.array([len(text)])
@@ -134,11 +135,12 @@ def repeated(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         of, row, symbol = of[symbol > 0], row[symbol > 0], symbol[symbol > 0]
         if not len(of):
             break
-        together = np.argsort(of * 257 + symbol, kind="stable")
-        place = (of * 257 + symbol)[together]
+        # rows of one interval and symbol are neighbours again once extended
+        longer = np.sort(of * 257 * len(text) + symbol * len(text) + to[row])
+        place = longer // len(text)
         begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         end = np.concatenate([begin[1:], [len(place)]])
-        low = to[row[together[begin]]]
+        low = longer[begin] % len(text)
         high = low + (end - begin)
         fresh = value[high] == -1
         if depth == 0:  # the first interval's last extension ends at the end of the text
@@ -148,8 +150,8 @@ def repeated(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return order, value[:-1] == -1
 
 
-def _later(contents: list[bytes], doc: np.ndarray, tag: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment and offset of each window that starts earlier too, within these segments."""
+def _later(contents: list[bytes], doc: np.ndarray, tag: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, offset and length of each run of windows that start earlier too, within these segments."""
     size = np.array([len(x) for x in contents])
     text = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int64) + 1
     ends = np.cumsum(size + 1) - 1
@@ -170,7 +172,12 @@ def _later(contents: list[bytes], doc: np.ndarray, tag: np.ndarray, start: np.nd
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(group))))
     own = same & np.concatenate([[False], (doc[of][1:] == doc[of][:-1]) & (tag[of][1:] == tag[of][:-1])]) if len(group) else same
     later = (doc[of] > doc[of][head]) | own if len(group) else same
-    return of[later], offset[later]
+    # neighbouring windows as runs
+    of, offset = of[later], offset[later]
+    sort = np.lexsort([offset, of])
+    of, offset = of[sort], offset[sort]
+    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(of) else np.zeros(0, np.int64)
+    return of[new], offset[new], np.diff(np.append(new, len(of)))
 
 
 def _in_tasks(rows: DataFrame, length: int) -> DataFrame:
@@ -181,8 +188,8 @@ def _in_tasks(rows: DataFrame, length: int) -> DataFrame:
 
         def flush():
             doc, tag, start = (np.array([x[k] for x in held], np.int64) for k in (1, 2, 3))
-            of, offset = _later([x[4] for x in held], doc, tag, start, length)
-            return pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(tag[of].astype(np.int32)), pa.array(start[of] + offset), pa.array(np.ones(len(of), np.int32))], ["doc", "tag", "start", "many"])
+            of, offset, many = _later([x[4] for x in held], doc, tag, start, length)
+            return pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(tag[of].astype(np.int32)), pa.array(start[of] + offset), pa.array(many.astype(np.int32))], ["doc", "tag", "start", "many"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -199,8 +206,26 @@ def _in_tasks(rows: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, tag int, start long, many int")
 
 
+def _chunks(a: int, start: int, content: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """Hash of a core, start and bytes for each ``CHUNK`` neighbouring windows of a segment.
+
+    Chunks lie at fixed places about the anchor and their core is what all their windows share, so equal
+    windows are in chunks with equal cores.
+    """
+    data = np.frombuffer(content, np.uint8)
+    prefix = vectext.prefix_hash(data, lower=False)
+    at = np.arange(len(data) - GRAM + 1)
+    anchor = int(np.flatnonzero(vectext.span_hash(prefix, at, at + GRAM).view(np.int64) == a)[0])
+    last = len(content) - length
+    j = np.arange(max(anchor - last, 0) // CHUNK, anchor // CHUNK + 1)
+    core = vectext.mix(vectext.span_hash(prefix, anchor - CHUNK * j, anchor - CHUNK * j - CHUNK + 1 + length) + j.astype(np.uint64)).view(np.int64)
+    for k, c in zip(j.tolist(), core.tolist(), strict=True):
+        low, high = max(0, anchor - CHUNK * k - CHUNK + 1), min(last, anchor - CHUNK * k)
+        yield c, start + low, content[low : high + length]
+
+
 def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of segments (doc, tag, start, many, a, heavy)."""
+    """The bytes of segments (doc, tag, start, many, a, heavy); those of heavy anchors in chunks, ``a`` being the core."""
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "many", "a", "heavy")).alias("segments"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("of"), "text").join(by_doc, F.col("of") == F.col("doc")).select("doc", "text", "segments")
 
@@ -210,7 +235,12 @@ def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for row in range(batch.num_rows):
                 text = _binary(batch.column("text").slice(row, 1))[0]
                 tag = _tag(text)
-                out = [(batch.column("doc")[row].as_py(), tag, s["start"], s["a"], s["heavy"], text[s["start"] : s["start"] + s["many"] - 1 + length]) for s in batch.column("segments")[row].as_py() if s["tag"] == tag]
+                doc, out = batch.column("doc")[row].as_py(), []
+                for s in batch.column("segments")[row].as_py():
+                    if s["tag"] == tag:
+                        content = text[s["start"] : s["start"] + s["many"] - 1 + length]
+                        parts = _chunks(s["a"], s["start"], content, length) if s["heavy"] else [(s["a"], s["start"], content)]
+                        out += [(doc, tag, at, a, s["heavy"], part) for a, at, part in parts]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names)
 
@@ -244,7 +274,13 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     heavy = contents.filter("heavy")
     if not heavy.limit(1).count():
         return marks
-    windows = heavy.select("doc", "tag", F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("content") - length), lambda i: F.substring(F.col("content"), i + 1, F.lit(length)))).alias("i", "window"), "start")
+    # equal cores only, and each content once
+    often = heavy.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("_a"))
+    heavy = scratch.save(heavy.join(often, F.col("a") == F.col("_a")).drop("_a"), scratch.folder(spark))
+    first = heavy.groupBy("content").agg(F.min("doc").alias("least"), F.count("*").alias("n")).select(F.col("content").alias("_content"), "least")
+    heavy = scratch.save(heavy.join(first, F.col("content") == F.col("_content")).drop("_content"), scratch.folder(spark))
+    marks = marks.unionAll(heavy.filter("doc > least").select("doc", "tag", "start", (F.octet_length("content") - length + 1).alias("many")))
+    windows = heavy.filter("doc = least").select("doc", "tag", F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("content") - length), lambda i: F.substring(F.col("content"), i + 1, F.lit(length)))).alias("i", "window"), "start")
     windows = windows.select("doc", "tag", (F.col("start") + F.col("i")).alias("start"), "window")
     least = windows.groupBy("window").agg(F.min(F.struct("doc", "tag", "start")).alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("window").alias("_window"), "least")
     later = windows.join(least, F.col("window") == F.col("_window")).filter("doc > least.doc or (doc = least.doc and tag = least.tag and start > least.start)")
