@@ -24,7 +24,7 @@ LONGEST = 16  # bits of a code; more only where so many ids are in use that they
 BLOCK = 1 << 16  # ids in a block, unless one document has more
 RUN = 64  # ids between two checkpoints
 CACHE = 400_000  # units whose ids a worker remembers; then it starts anew
-PIECE = 4_000_000  # bytes of text handled at once
+PIECE = 1_500_000  # bytes of text handled at once
 
 
 #: Byte kinds: white space, letters, digits, others. C3 80 to C3 BF are letters but for two signs.
@@ -58,7 +58,7 @@ class UnitIds:
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
         at = len(self.flat) + np.cumsum(size) - size
         keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")  # two sorted runs
         self.keys, self.at, self.size, self.flat = keys[order], at[order], size[order], np.concatenate([self.flat, flat])
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
