@@ -17,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     a, b = F.col("a"), F.col("b")
     edges = links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = scratch.save(edges, scratch.folder(spark))
+    path = scratch.folder(spark)
+    edges = scratch.save(edges, path)
     before = None
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -31,6 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its lesser neighbours are linked to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u != v").distinct()
-        edges = scratch.save(small, scratch.folder(spark))
+        done, path = path, scratch.folder(spark)
+        edges = scratch.save(small, path)
+        scratch.remove(spark, done)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(roots.select("node", F.col("node").alias("label")))

@@ -10,6 +10,7 @@ that only pairs not linked yet remain. All links between different sets are foun
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,24 +161,32 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     ``reps``: (node, doc_id, n_shingles, sig), one row for each distinct set.
     """
     spark = docs.sparkSession
+    out = scratch.folder(spark)
+    with scratch.passing(spark) as base:
+        return scratch.save(_links(docs, reps, k, percent, base), out)
+
+
+def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int, base: str) -> DataFrame:
+    """The same, from scratch tables below the folder ``base``."""
+    names = (f"{base}/{i}" for i in itertools.count())
     n_bands = 2 * PERMUTATIONS // BAND
     bands = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * 4 * BAND + 1, F.lit(4 * BAND))))
     keys = reps.select("node", F.explode(bands).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("many")).filter("many > 1")
     pairs = keys.join(shared, "key").groupBy("node", "first").agg(F.sum("many").alias("weight"))
-    pairs = scratch.save(pairs, scratch.folder(spark))
+    pairs = scratch.save(pairs, next(names))
     family = components(pairs.select(F.col("node").alias("a"), F.col("first").alias("b")))
     degree = pairs.groupBy("node").agg(F.sum("weight").alias("degree"))
     members = family.select("node", F.col("label").alias("family")).join(degree, "node").join(reps, "node")
-    members = scratch.save(members.select("node", "family", "degree", "doc_id", F.col("n_shingles").alias("n"), "sig"), scratch.folder(spark))
+    members = scratch.save(members.select("node", "family", "degree", "doc_id", F.col("n_shingles").alias("n"), "sig"), next(names))
     sets = _with_sets(docs, members.select("doc_id", "node"), k)
     members = members.join(sets, "node").dropDuplicates(["node"])
-    members = scratch.save(members.withColumn("comp", F.col("node")), scratch.folder(spark))
-    size = scratch.save(family.groupBy(F.col("label").alias("_family")).agg(F.count("*").alias("size")), scratch.folder(spark))
+    members = scratch.save(members.withColumn("comp", F.col("node")), next(names))
+    size = scratch.save(family.groupBy(F.col("label").alias("_family")).agg(F.count("*").alias("size")), next(names))
     members = members.join(size, F.col("family") == F.col("_family")).drop("_family")
     small = members.filter(F.col("size") <= BLOCK)
     found = _in_blocks(small.select(F.struct("family", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("block"), "node", "n", "comp", F.lit(2).alias("side"), "sig", "set"), percent)
-    found = scratch.save(found, scratch.folder(spark))
+    found = scratch.save(found, next(names))
     large = members.filter(F.col("size") > BLOCK)
     if not size.filter(F.col("size") > BLOCK).limit(1).count():
         return found
@@ -186,13 +195,13 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
         # the most connected member that is not linked yet goes to all chunks of its family
         alone = large.filter(F.col("comp") == F.col("node"))
         center = alone.groupBy("family").agg(F.max(F.struct("degree", F.col("node").alias("center"))).alias("c")).select(F.col("family").alias("_family"), F.col("c.center").alias("center"))
-        center = scratch.save(center, scratch.folder(spark))
+        center = scratch.save(center, next(names))
         starred = large.join(F.broadcast(center) if center.count() < 10_000 else center, F.col("family") == F.col("_family"))
         is_center = F.col("node") == F.col("center")
         chunks = F.when(is_center, F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).otherwise(F.array(chunk))
         rows = starred.withColumn("i", F.explode(chunks)).select(F.struct("family", "i", F.lit(-1).alias("j")).alias("block"), "node", "n", "comp", F.when(is_center, 1).otherwise(0).alias("side"), "sig", "set")
-        found = scratch.save(found.unionAll(_in_blocks(rows, percent)), scratch.folder(spark))
-        large = scratch.save(_grouped(large, found), scratch.folder(spark))
+        found = scratch.save(found.unionAll(_in_blocks(rows, percent)), next(names))
+        large = scratch.save(_grouped(large, found), next(names))
     # the largest group of a family is not compared with itself; all others with all
     counts = large.groupBy("family", "comp").agg(F.count("*").alias("many"))
     main = counts.groupBy(F.col("family").alias("_family")).agg(F.max(F.struct("many", F.col("comp").alias("main"))).alias("m")).select("_family", "m.main", F.ceil(F.col("m.many") / BLOCK).cast("int").alias("main_chunks"))
@@ -206,7 +215,7 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     rows = rows.withColumn("p", F.explode(pairs))
     side = F.when(F.col("p.i") == F.col("p.j"), 2).when(F.col("c") == F.col("p.i"), 0).otherwise(1)
     rows = rows.select(F.struct("family", "p.i", "p.j").alias("block"), "node", "n", "comp", side.alias("side"), "sig", "set")
-    return scratch.save(found.unionAll(_in_blocks(rows, percent)), scratch.folder(spark))
+    return found.unionAll(_in_blocks(rows, percent))
 
 
 def groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -221,7 +230,8 @@ def groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sigs = scratch.save(signatures(docs, k), scratch.folder(spark))
     full = sigs.filter("n_shingles > 0")
     reps = full.groupBy("node", "node2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    reps = scratch.save(reps, scratch.folder(spark))
+    passing = scratch.folder(spark)
+    reps = scratch.save(reps, passing)
     found = components(links(docs, reps.select("node", "doc_id", "n_shingles", "sig"), k, percent))
     ids = reps.select("node", "doc_id", "copies").join(found.select(F.col("node").alias("_node"), "label"), F.col("node") == F.col("_node"), "left").drop("_node")
     ids = ids.withColumn("label", F.coalesce("label", "node"))
@@ -229,6 +239,7 @@ def groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # only sets that stand for several documents, or are linked, change anything
     ids = ids.join(least, F.col("label") == F.col("_label")).filter("copies > 1 or not (component_id <=> doc_id)")
     ids = scratch.save(ids.select(F.col("node").alias("_node"), F.col("component_id").alias("_least")), scratch.folder(spark))
+    scratch.remove(spark, passing)
     out = full.select("doc_id", "n_shingles", "node").join(ids, F.col("node") == F.col("_node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
     empty = sigs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
