@@ -25,7 +25,7 @@ from .components import components
 
 PERMUTATIONS = 64
 BAND = 4  # signature values in a band; 128 values make 32 bands
-BLOCK = 256  # members of a family that one task compares with each other or with another block
+BLOCK = 512  # members of a family that one task compares with each other or with another block
 STARS = 2  # rounds in which large families are linked to a central member
 LIKE_LEAST = 0.6  # estimated likeness below which full sets are not compared; 5 standard deviations under 0.8
 
