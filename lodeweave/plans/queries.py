@@ -186,7 +186,45 @@ def events_tumbling(spark, d):
     return events.groupBy(F.date_trunc("day", "ts").cast("date").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (graph_label_counts, graph_rel_type_counts, nodes_by_ids, functions_by_name_fallback, search_contains, search_prefix, module_apis, module_kind_counts, callers_of, callees_of, leaf_flags, adjacency_lists, first_n_callers, module_call_pairs, resolve_cascade, trace_levels, trace_paths, containment_reach, knn_cosine, knn_filtered, keyword_fallback, symbol_index, language_stats, resume_unprocessed, upsert_last_wins, dedup_keep_first, delete_and_cascade, batches_of_25, link_extraction, artifact_names, meaningful_lines, conversation_chain, events_tumbling)}
+def label_rollup(spark, d):
+    return functions(spark, d).rollup("module_qn", "kind").agg(F.count("*").alias("n"))
+
+
+def totals_pair(spark, d):
+    return functions(spark, d).agg(F.count("*").alias("n_nodes")).crossJoin(calls(spark, d).agg(F.count("*").alias("n_edges")))  # one row each
+
+
+def descriptions_fill(spark, d):
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").cast("long").alias("known"))
+    return table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("known", F.lit(-1)).alias("quality"))
+
+
+def class_hierarchy(spark, d):
+    nation = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("children"))
+    return table(spark, d, "region").select("r_regionkey", "r_name").join(nation, "r_regionkey", "left")
+
+
+def neighbours_both(spark, d):
+    edges = calls(spark, d)
+    up = edges.filter(F.col("dst") == TARGET).select(F.col("src").alias("node_id"))
+    return up.unionAll(edges.filter(F.col("src") == TARGET).select(F.col("dst").alias("node_id"))).distinct()
+
+
+def affected_callers(spark, d):
+    changed = functions(spark, d).filter("start_line > 45").select(F.col("node_id").alias("dst"))
+    return calls(spark, d).join(changed, "dst", "left_semi").select(F.col("src").alias("node_id")).distinct()
+
+
+def pure_callers(spark, d):
+    edges = calls(spark, d)
+    return edges.select(F.col("src").alias("node_id")).distinct().join(edges.filter("indirect").select(F.col("dst").alias("node_id")), "node_id", "left_anti")
+
+
+def events_dedup(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (graph_label_counts, graph_rel_type_counts, nodes_by_ids, functions_by_name_fallback, search_contains, search_prefix, module_apis, module_kind_counts, callers_of, callees_of, leaf_flags, adjacency_lists, first_n_callers, module_call_pairs, resolve_cascade, trace_levels, trace_paths, containment_reach, knn_cosine, knn_filtered, keyword_fallback, symbol_index, language_stats, resume_unprocessed, upsert_last_wins, dedup_keep_first, delete_and_cascade, batches_of_25, link_extraction, artifact_names, meaningful_lines, conversation_chain, events_tumbling, label_rollup, totals_pair, descriptions_fill, class_hierarchy, neighbours_both, affected_callers, pure_callers, events_dedup)}
 
 _UP = f"""up as (select cast({TARGET} as bigint) as node, 0 as depth union select c.src, u.depth + 1 from up u join calls c on c.dst = u.node where u.depth < 3)"""
 
@@ -230,4 +268,12 @@ select s.call_id, b.qn, b.priority from s left join b on s.call_id = b.call_id a
     "meaningful_lines": r"select doc_id, count(*) as n_lines, min(pos) as first_pos from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents) where not regexp_matches(trim(line, ' '), '^(|[-=#*/]+)$') group by doc_id",
     "conversation_chain": "select role, next_role, count(*) as n from (select role, lead(role) over (partition by conv_id order by turn, role) as next_role from conversations) where next_role is not null group by 1, 2",
     "events_tumbling": "select cast(cast(ts as date) as varchar) as day, event_type, count(*) as n from events group by 1, 2",
+    "label_rollup": f"with {FN} select module_qn, kind, count(*) as n from fn group by rollup (module_qn, kind)",
+    "totals_pair": f"with {CALLS} select (select count(*) from part) as n_nodes, (select count(*) from calls) as n_edges",
+    "descriptions_fill": "select d.doc_id, coalesce(known, -1) as quality from documents d left join (select doc_id, cast(max(quality) as bigint) as known from labels group by 1) l on d.doc_id = l.doc_id",
+    "class_hierarchy": "select r_regionkey, r_name, (select string_agg(n_name, ',' order by n_name) from nation where n_regionkey = r_regionkey) as children from region",
+    "neighbours_both": f"with {CALLS} select src as node_id from calls where dst = {TARGET} union select dst from calls where src = {TARGET}",
+    "affected_callers": f"with {FN}, {CALLS} select distinct src as node_id from calls where dst in (select node_id from fn where start_line > 45)",
+    "pure_callers": f"with {CALLS} select distinct src as node_id from calls where src not in (select dst from calls where indirect)",
+    "events_dedup": "select user_id, event_type, min(event_id) as first_event, count(*) as n from events group by 1, 2",
 }
