@@ -42,3 +42,16 @@ def links(html: Column) -> Column:
 def is_meaningful(line: Column) -> Column:
     """Neither blank nor a rule or a comment mark."""
     return ~F.trim(line).rlike(r"^(|[-=#*/]+)$")
+
+
+def line_range(text: Column, first: int, last: int, most: int) -> Column:
+    """Lines ``first`` to ``last``, counted from 1, at most ``most`` characters."""
+    return F.substring(F.array_join(F.slice(F.split(text, "\n"), first, last - first + 1), "\n"), 1, most)
+
+
+def around(text: Column, token: str, before: int, after: int, most: int) -> Column:
+    """Lines around the first one that holds ``token``; where none does, the first ``most`` characters."""
+    lines = F.split(text, "\n")
+    at = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit(token))), True).cast("int")
+    first = F.greatest(at - before, F.lit(1))
+    return F.when(at > 0, F.array_join(F.slice(lines, first, at + after - first + 1), "\n")).otherwise(F.substring(text, 1, most))

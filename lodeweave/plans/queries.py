@@ -15,7 +15,7 @@ FN = "fn as (select p_partkey as node_id, p_brand || '.' || cast(p_partkey as va
 CALLS = """pairs as (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag) as dst, l_returnflag = 'R' as indirect from lineitem),
 calls as (select src, dst, bool_and(indirect) as indirect from pairs where dst is not null group by src, dst)"""
 TARGET = 7
-QUERY = "green metallic chocolate"
+QUERY = "small widget economy"
 
 
 def graph_label_counts(spark, d):
@@ -35,12 +35,12 @@ def nodes_by_ids(spark, d):
 
 
 def functions_by_name_fallback(spark, d):
-    found = graph.by_name_or_suffix(functions(spark, d), "metallic")
+    found = graph.by_name_or_suffix(functions(spark, d), "widget")
     return found.select("node_id", "name", F.col("match").cast("int").alias("match"))
 
 
 def search_contains(spark, d):
-    return graph.search(functions(spark, d), F.contains("name", F.lit("green")), 20).select("node_id", "qualified_name", "name")
+    return graph.search(functions(spark, d), F.contains("name", F.lit("red")), 20).select("node_id", "qualified_name", "name")
 
 
 def search_prefix(spark, d):
@@ -232,8 +232,8 @@ ORACLES = {
     "graph_label_counts": "select 'Function' as label, count(*) as n from part union all select 'Module', count(distinct p_brand) from part union all select 'Project', count(*) from region",
     "graph_rel_type_counts": f"with {CALLS} select case when indirect then 'CALLS_INDIRECT' else 'CALLS' end as rel_type, count(*) as n from calls group by 1 union all select 'CONTAINS', (select count(*) from nation) + (select count(*) from customer)",
     "nodes_by_ids": f"with {FN} select node_id, qualified_name, name from fn where node_id in (1, 5, {TARGET}, 100)",
-    "functions_by_name_fallback": f"with {FN}, m as (select *, case when name = 'metallic' then 1 else 2 end as match from fn where name like '%metallic') select node_id, name, match from m where match = (select min(match) from m)",
-    "search_contains": f"with {FN} select node_id, qualified_name, name from fn where contains(name, 'green') order by qualified_name limit 20",
+    "functions_by_name_fallback": f"with {FN}, m as (select *, case when name = 'widget' then 1 else 2 end as match from fn where name like '%widget') select node_id, name, match from m where match = (select min(match) from m)",
+    "search_contains": f"with {FN} select node_id, qualified_name, name from fn where contains(name, 'red') order by qualified_name limit 20",
     "search_prefix": f"with {FN} select qualified_name, kind from fn where starts_with(qualified_name, 'Brand#1') order by qualified_name limit 30",
     "module_apis": f"with {FN} select module_qn, count(*) as n_functions, min(start_line) as first_line, count(distinct kind) as n_kinds from fn group by 1",
     "module_kind_counts": f"with {FN} select module_qn, count(*) filter (start_line <= 10) as n_short, count(*) filter (start_line > 40) as n_long, count(*) filter (start_line > 10 and start_line <= 40) as n_other from fn group by 1",

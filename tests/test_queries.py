@@ -1,11 +1,11 @@
 import pytest
 
 from compare import spark_rows, sql_rows
-from lodeweave.plans import queries
+from lodeweave.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_same_rows_as_sql(spark, name):
-    assert spark_rows(queries.QUERIES[name](spark, FOLDER)) == sql_rows(FOLDER, queries.ORACLES[name])
+    assert spark_rows(registry.QUERIES[name](spark, FOLDER)) == sql_rows(FOLDER, registry.ORACLES[name])
