@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2_000_000  # bytes handled at once; one longer text is still handled whole
+CHUNK = 500_000  # bytes handled at once; one longer text is still handled whole
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
