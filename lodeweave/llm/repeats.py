@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch, vectext
@@ -170,7 +170,8 @@ def _later(contents: list[bytes], doc: np.ndarray, tag: np.ndarray, start: np.nd
     of, offset, group, at = of[sort], offset[sort], group[sort], at[sort]
     same = np.concatenate([[False], group[1:] == group[:-1]]) if len(group) else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(group))))
-    own = same & np.concatenate([[False], (doc[of][1:] == doc[of][:-1]) & (tag[of][1:] == tag[of][:-1])]) if len(group) else same
+    # equal starts are one window of rows that are repeated whole
+    own = same & np.concatenate([[False], (doc[of][1:] == doc[of][:-1]) & (tag[of][1:] == tag[of][:-1]) & (at[1:] > at[:-1])]) if len(group) else same
     later = (doc[of] > doc[of][head]) | own if len(group) else same
     # neighbouring windows as runs
     of, offset = of[later], offset[later]
@@ -184,7 +185,7 @@ def _in_tasks(rows: DataFrame, length: int) -> DataFrame:
     """Marks (doc, tag, start, many) among segments (a, doc, tag, start, content) dealt by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, group = [], 0, None
+        held, total, group, seen = [], 0, None, set()
 
         def flush():
             doc, tag, start = (np.array([x[k] for x in held], np.int64) for k in (1, 2, 3))
@@ -193,10 +194,15 @@ def _in_tasks(rows: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != group and total > BLOCK:  # an anchor's segments stay together
-                    yield flush()
-                    held, total = [], 0
+                if row[0] != group:
+                    seen = set()
+                    if total > BLOCK:  # an anchor's segments stay together
+                        yield flush()
+                        held, total = [], 0
                 group = row[0]
+                if row[1:4] in seen:  # a row that is repeated whole
+                    continue
+                seen.add(row[1:4])
                 held.append(row)
                 total += len(row[4])
         if held:
@@ -226,7 +232,7 @@ def _chunks(a: int, start: int, content: bytes, length: int) -> Iterator[tuple[i
 
 def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of segments (doc, tag, start, many, a, heavy); those of heavy anchors in chunks, ``a`` being the core."""
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "many", "a", "heavy")).alias("segments"))
+    by_doc = wanted.groupBy("doc").agg(F.collect_set(F.struct("tag", "start", "many", "a", "heavy")).alias("segments"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("of"), "text").join(by_doc, F.col("of") == F.col("doc")).select("doc", "text", "segments")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,8 +289,12 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     windows = heavy.filter("doc = least").select("doc", "tag", F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("content") - length), lambda i: F.substring(F.col("content"), i + 1, F.lit(length)))).alias("i", "window"), "start")
     windows = windows.select("doc", "tag", (F.col("start") + F.col("i")).alias("start"), "window")
     least = windows.groupBy("window").agg(F.min(F.struct("doc", "tag", "start")).alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("window").alias("_window"), "least")
-    later = windows.join(least, F.col("window") == F.col("_window")).filter("doc > least.doc or (doc = least.doc and tag = least.tag and start > least.start)")
-    return marks.unionAll(scratch.save(later.select("doc", "tag", "start", F.lit(1).alias("many")), scratch.folder(spark)))
+    other = F.expr("doc = least.doc and tag != least.tag")  # another row with this doc_id: only its own starts are earlier
+    later = windows.join(least, F.col("window") == F.col("_window")).filter(F.expr("doc > least.doc or start > least.start") | other)
+    later = scratch.save(later.select("doc", "tag", "start", F.when(other, F.col("window")).alias("window")), scratch.folder(spark))
+    first = F.min("start").over(Window.partitionBy("window", "doc", "tag"))
+    own = later.filter("window is not null").withColumn("first", first).filter("start > first").drop("first")
+    return marks.unionAll(later.filter("window is null").unionAll(own).select("doc", "tag", "start", F.lit(1).alias("many")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

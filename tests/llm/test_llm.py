@@ -125,6 +125,33 @@ def test_op3_brute_force(spark, odd_rows, heavy, monkeypatch):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [1, 1500])
+def test_op3_repeated_and_null_ids(spark, odd_rows, heavy, monkeypatch):
+    monkeypatch.setattr(repeats, "HEAVY", heavy)
+    line = "the same license line in many documents, which is longer than one hundred bytes so that it counts as a repeat. "
+    rows = [(r[0], r[1]) for r in odd_rows] + [(100 + i, f"doc {i} " * (i % 4) + line + f"tail {i * i}") for i in range(12)]
+    rows += [(100, line + "tail 0")] * 2 + [(50, "one " + line + "two " + line), (50, "one " + line + "two " + line), (50, line + "three"), (50, "x" + line + "y" + line + "z"), (None, line), (None, line + line)]
+    low = {}
+    for doc_id, text in rows:
+        body = (text or "").encode()
+        for s in range(len(body) - 99):
+            w, d = body[s : s + 100], repeats.LAST if doc_id is None else doc_id
+            low[w] = min(low.get(w, d), d)
+    want = []
+    for doc_id, text in rows:
+        body, seen = (text or "").encode(), set()
+        gone = [False] * len(body)
+        for s in range(len(body) - 99):
+            w = body[s : s + 100]
+            if w in seen or (repeats.LAST if doc_id is None else doc_id) > low[w]:
+                gone[s : s + 100] = [True] * 100
+            seen.add(w)
+        want.append((str(doc_id), bytes(b for b, g in zip(body, gone, strict=True) if not g), len(body), sum(gone)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(str(r["doc_id"]), bytes(r["kept"]), r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_op3_common_prefixes():
     random.seed(3)
     text = np.array([random.choice([1, 2, 3]) for _ in range(400)] + [0], np.int64)
