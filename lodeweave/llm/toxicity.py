@@ -2,13 +2,13 @@
 
 A word's embedding is the sum of hashed vectors of the whole word and of its beginnings, so that forms
 of one stem are alike. Filters over one, two and three words are max-pooled over the whole text into a
-logistic output. The score is scaled so that 0.7 is the best threshold on labelled rows kept from the
-training; thresholds for each language are taken from the same rows. Nothing but the text enters a score.
+logistic output. The score is scaled so that 0.7 is the best threshold on all labelled rows not used in
+the training; thresholds for each language are taken from the same rows. Nothing but the text enters a score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from . import vectext
 
 SAMPLE = 2000  # labelled rows of each class for fitting at most
-LONGEST = 100_000  # characters of a text used for fitting at most; longer texts are scored, not learned from
+LONGEST = 100_000  # characters of a text used for training at most; longer texts are scored and count for the thresholds
 BUCKETS = 1 << 18
 STEMS = (4, 5, 6)  # bytes of a word's beginnings
 WIDTHS = (1, 2, 3)
 DIM, FILTERS, EPOCHS, BATCH = 8, 6, 6, 64
 CUT = 0.7
+BINS = 256  # bins of raw outputs in a unit, from which the thresholds are found
 PRIOR = 6.0  # rows that a bucket's class share is smoothed with
 
 _INSIDE = np.zeros(256, bool)
@@ -101,7 +102,10 @@ class Model:
         return np.maximum(best + self.bias, 0) @ self.out + self.out_bias
 
     def score(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        z = self.slope * (self.raw(words, first).astype(np.float64) - self.at) + np.log(CUT / (1 - CUT))
+        return self.scaled(self.raw(words, first).astype(np.float64))
+
+    def scaled(self, z: np.ndarray) -> np.ndarray:
+        z = self.slope * (z - self.at) + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -191,71 +195,92 @@ def learnable(key: Column) -> Column:
     return F.coalesce(F.pmod(_crc(key), F.lit(3)) != 1, F.lit(False))
 
 
+def _calibrate(model: Model, counts: pa.Table, trained: np.ndarray) -> None:
+    """Cut, slope and language thresholds from counts (lang, bin, y, n) of rows, ``trained`` rows of each class being left out of them."""
+    y, n = counts.column("y").to_numpy(), counts.column("n").to_numpy().astype(np.float64)
+    z = (counts.column("bin").to_numpy() + 0.5) / BINS
+    of_class = np.array([n[y == 0].sum(), n[y == 1].sum()])
+    weight = n * ((of_class + trained) / of_class)[y]
+    model.at = best_cut(z, y, weight)
+    # scores of both classes on both sides of the cut, not all at 0 and 1
+    away = np.abs(z - model.at)
+    order = np.argsort(away, kind="stable")
+    below = np.cumsum((n / of_class[y])[order])  # both classes count the same
+    model.slope = 4.0 / max(float(away[order][np.searchsorted(below, below[-1] / 2)]), 1e-3)
+    scores = model.scaled(z)
+    langs = np.array([x or "" for x in counts.column("lang").to_pylist()], object)
+    for name in sorted(set(langs.tolist()) - {""}):
+        own = langs == name
+        if n[own & (y == 1)].sum() >= 10 and n[own & (y == 0)].sum() >= 10:
+            # where 0.7 errs no more than the best threshold it stays
+            cut = best_cut(scores[own], y[own], weight[own])
+            errors = [(weight[own] * ((scores[own] >= c) != (y[own] == 1))).sum() for c in (CUT, cut)]
+            model.by_lang[name] = CUT if errors[0] <= errors[1] else cut
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled rows of each class, chosen by a hash of doc_id; of these a quarter
-    is kept from training for the thresholds. Labels other than 0 and 1, ids without text and repeated
+    """Train on at most ``sample`` labelled rows of each class, chosen by a hash of doc_id, of which a quarter
+    is kept from training. All learnable labelled rows not trained on, with their whole texts, give the thresholds:
+    they are scored on Spark and counted by language and score. Labels other than 0 and 1, ids without text and repeated
     labels of an id with two values are not used. With a class missing the scores are 0 or 1 throughout."""
     known = labels.filter(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("y"), F.max("toxic").alias("most")).filter("y = most").select("doc_id", "y")
-    many = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = F.xxhash64(F.lit(7), "doc_id")
     picked = known.filter("y = 0").orderBy(order, "doc_id").limit(sample).unionAll(known.filter("y = 1").orderBy(order, "doc_id").limit(sample))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select("doc_id", "text", lang.alias("lang")).filter(F.coalesce(F.char_length("text"), F.lit(0)) <= LONGEST)
-    rows = texts.join(F.broadcast(picked), "doc_id")  # at most 2 * sample rows are broadcast
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "y")).alias("r")).select("doc_id", "r.*", order.alias("o")).orderBy("o", "doc_id").toArrow()
+    texts = docs.select("doc_id", "text", lang.alias("lang"))
+    rows = texts.filter(F.coalesce(F.char_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(picked), "doc_id")  # at most 2 * sample rows are broadcast
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select("doc_id", "r.*", order.alias("o")).orderBy("o", "doc_id").toArrow()
     y = np.array(rows.column("y").to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
         empty = Model(np.zeros((BUCKETS, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0)
         empty.at = -50.0 if y.sum() else 50.0
         return empty
-    data, offs = vectext.raw(rows.column("text"))
+    kept = np.arange(len(y)) % 4 == 3
+    if len(set(y[kept].tolist())) < 2:
+        kept[:] = False  # too few rows to keep some: the thresholds come from all
+    rest = texts.filter(learnable(F.col("doc_id")))
+    if kept.any():
+        trained = docs.sparkSession.createDataFrame(rows.select(["doc_id"]).filter(pa.array(~kept)), docs.select("doc_id").schema)
+        rest = rest.join(F.broadcast(trained), "doc_id", "left_anti")  # at most 2 * sample ids
+    data, offs = vectext.raw(rows.column("text").filter(pa.array(~kept)))
+    y = y[~kept]
+    del rows
     parts = [features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in vectext.chunks(offs)]
     words = np.concatenate([w for w, _ in parts])
     first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
-    taken = np.array([(y == 0).sum(), (y == 1).sum()])
-    weight = np.array([many[0], many[1]]) / taken
-    kept = np.arange(len(y)) % 4 == 3
-    if len(set(y[kept].tolist())) < 2:
-        kept = np.ones(len(y), bool)
-    fitted = np.flatnonzero(~kept) if not kept.all() else np.flatnonzero(kept)
-    model = train(*_parts(words, first, fitted), y[fitted], np.ones(len(fitted)))
-    held = np.flatnonzero(kept)
-    z = model.raw(*_parts(words, first, held)).astype(np.float64)
-    yh, wh = y[held], weight[y[held]]
-    model.at = best_cut(z, yh, wh)
-    # scores of both classes on both sides of the cut, not all at 0 and 1
-    model.slope = 4.0 / max(float(np.percentile(np.abs(z - model.at), 50)), 1e-3)
-    scores = model.score(*_parts(words, first, held))
-    langs = np.array([x or "" for x in rows.column("lang").to_pylist()], object)[held]
-    for name in sorted(set(langs.tolist()) - {""}):
-        own = langs == name
-        if (yh[own] == 1).sum() >= 10 and (yh[own] == 0).sum() >= 10:
-            # where 0.7 errs no more than the best threshold it stays
-            cut = best_cut(scores[own], yh[own], wh[own])
-            errors = [(wh[own] * ((scores[own] >= c) != (yh[own] == 1))).sum() for c in (CUT, cut)]
-            model.by_lang[name] = CUT if errors[0] <= errors[1] else cut
+    model = train(words, first, y, np.ones(len(y)))
+    del data, parts, words
+    scored = _outputs(rest, model, ["doc_id", "lang"], "z", Model.raw)
+    bins = F.floor(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col("z"))) * BINS).cast("int").alias("bin")
+    counts = scored.select("doc_id", "lang", bins).join(known, "doc_id").groupBy("lang", "bin", "y").agg(F.count("*").alias("n")).toArrow()
+    _calibrate(model, counts, np.bincount(y, minlength=2) if kept.any() else np.zeros(2))
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``score`` (0 to 1) of each whole text, null as empty.
-
-    Rows are independent. ``docs`` may not have a column named score.
-    """
+def _outputs(docs: DataFrame, model: Model, columns: list[str], name: str, of: Callable) -> DataFrame:
+    """``columns`` of ``docs`` and what ``of`` (a function of Model) makes of each whole text, null as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+    schema = docs.select(*columns).withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             data, offs = vectext.raw(batch.column("text"))
-            parts = [model.score(*features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])) for i, j in vectext.chunks(offs)]
-            column = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "score"])
+            parts = [of(model, *features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])) for i, j in vectext.chunks(offs)]
+            column = pa.array(np.concatenate(parts).astype(np.float64) if parts else np.zeros(0), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in columns), column], [*columns, name])
 
     return docs.mapInArrow(run, schema)
 
 
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of ``docs`` and ``score`` (0 to 1) of each whole text, null as empty.
+
+    Rows are independent. ``docs`` may not have a column named score.
+    """
+    return _outputs(docs, model, docs.columns, "score", Model.score)
+
+
 def rejected(score_col: Column, lang: Column, model: Model) -> Column:
     """Whether a score reaches the threshold of the row's language; 0.7 where it has none of its own."""
     cut = F.lit(CUT)

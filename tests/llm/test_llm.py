@@ -251,6 +251,29 @@ def test_op7_learns_planted_words(spark, odd_rows):
     assert len(odd) == len(odd_rows) and all(r["predicted"] == 0 for r in odd)
 
 
+def test_op7_thresholds_from_all_labelled_rows(spark, monkeypatch):
+    random.seed(2)
+    monkeypatch.setattr(toxicity, "LONGEST", 400)
+    taken = []
+    calibrate = toxicity._calibrate
+    monkeypatch.setattr(toxicity, "_calibrate", lambda m, counts, trained: (taken.append((counts.to_pylist(), trained)), calibrate(m, counts, trained)))
+    rows, labels = [], []
+    for i in range(1200):
+        # few rows of one language, some with texts too long to be learned from
+        lang, n = ("es", 200) if i % 20 < 2 else ("en", 20)
+        w = [f"w{random.randrange(200)}" for _ in range(n)]
+        w[3] = "vile" if i % 2 else w[3]
+        rows.append((i, " ".join(w), lang))
+        labels.append((i, 1, i % 2))
+    docs, label = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, label, 60)
+    learnable = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts, trained = taken[0]
+    assert sum(trained) <= 120 and sum(r["n"] for r in counts) + sum(trained) == len(learnable)
+    assert sum(r["n"] for r in counts if r["lang"] == "es") == sum(i % 20 < 2 for i in learnable)
+    assert set(model.by_lang) == {"en", "es"}
+
+
 def test_op8_finds_edited_items(spark, odd_rows):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     item = bench.orderBy("item_id").first()
