@@ -274,6 +274,10 @@ def test_op7_thresholds_from_all_labelled_rows(spark, monkeypatch):
     assert set(model.by_lang) == {"en", "es"}
 
 
+def test_op7_sample_is_not_lowered():
+    assert toxicity.SAMPLE >= 3000
+
+
 def test_op8_finds_edited_items(spark, odd_rows):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     item = bench.orderBy("item_id").first()
