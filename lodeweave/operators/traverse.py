@@ -22,6 +22,23 @@ def levels(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
+def _written(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def written_levels(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
+    """As ``levels``, for many steps: each frontier is written, so that plans do not grow, and an empty one ends it."""
+    step = _written(edges.select(F.col("src").alias("next"), F.col("dst").alias("node")))
+    frontier = seen = _written(start.select("node").distinct().withColumn("depth", F.lit(0)))
+    for depth in range(1, max_depth + 1):
+        frontier = step.join(frontier.select("node"), "node").select(F.col("next").alias("node")).distinct()
+        frontier = _written(frontier.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionAll(frontier)
+    return seen
+
+
 def paths(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(entry, depth, path): all simple paths of at most ``max_depth`` steps that end in a start node."""
     here = start.select("node").distinct().select(F.col("node").alias("entry"), F.array("node").alias("path"))

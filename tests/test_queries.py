@@ -9,3 +9,12 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_same_rows_as_sql(spark, name):
     assert spark_rows(registry.QUERIES[name](spark, FOLDER)) == sql_rows(FOLDER, registry.ORACLES[name])
+
+
+def test_whole_traces_and_batches(spark):
+    from lodeweave.operators import traverse
+
+    # a chain of twelve callers with a cycle; 10 is still called
+    edges = spark.createDataFrame([(i + 1, i) for i in range(12)] + [(0, 3), (40, 2)], "src long, dst long")
+    found = {r["node"]: r["depth"] for r in traverse.written_levels(edges, spark.createDataFrame([(0,)], "node long"), 10).collect()}
+    assert found == {i: i for i in range(11)} | {40: 3}
