@@ -223,6 +223,12 @@ def trace_entry_points_whole(spark, d):
     return found.select(F.col("node").alias("entry"), F.col("depth").cast("long").alias("depth"), (F.col("depth") == DEPTH).alias("at_limit"))
 
 
+def trace_levels_whole(spark, d):
+    start = functions(spark, d).filter(F.col("node_id") == TARGET).select(F.col("node_id").alias("node"))
+    found = traverse.written_levels(calls(spark, d), start, DEPTH)
+    return found.select("node", "depth", (F.col("depth") == DEPTH).alias("at_limit"))
+
+
 def root_modules_whole(spark, d):
     fn = functions(spark, d)
     called = calls(spark, d).join(fn.select(F.col("node_id").alias("dst"), "module_qn"), "dst").select("module_qn")
@@ -265,7 +271,7 @@ def mask_and_clock(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.concat(F.substring("c_name", 1, 4), F.lit("****"), F.expr("right(c_name, 2)")).alias("masked"), F.format_string("%02d:%02d", F.floor(F.col("c_custkey") / 60) % 24, F.col("c_custkey") % 60).alias("clock"))
 
 
-QUERIES = {f.__name__: f for f in (node_by_qn, prefix_suffix_search, registry_remove, prefix_subtree, types_any, metadata_all_match, locate_by_name, call_pairs, callers_with_props, edges_bound_endpoints, bind_edges_dedup, functions_optional_module, caller_module_tag, function_context, visibility_cascade, ownership_hints, signature_text, struct_signature, enclosing_interval, nested_ancestors, root_modules, root_modules_whole, names_difference, path_difference, concat_heterogeneous, predicates_sorted, build_summary, vector_stats, vector_node_join, store_delete_by_id, hits_enriched, knn_batch, hybrid_search, call_tree_depth2, trace_entry_points, trace_entry_points_whole, coerce_node_props, export_nodes_json, project_delete, doc_pages_module, doc_index, trace_page_names, snippet_default_end, mask_and_clock)}
+QUERIES = {f.__name__: f for f in (node_by_qn, prefix_suffix_search, registry_remove, prefix_subtree, types_any, metadata_all_match, locate_by_name, call_pairs, callers_with_props, edges_bound_endpoints, bind_edges_dedup, functions_optional_module, caller_module_tag, function_context, visibility_cascade, ownership_hints, signature_text, struct_signature, enclosing_interval, nested_ancestors, root_modules, root_modules_whole, names_difference, path_difference, concat_heterogeneous, predicates_sorted, build_summary, vector_stats, vector_node_join, store_delete_by_id, hits_enriched, knn_batch, hybrid_search, call_tree_depth2, trace_entry_points, trace_entry_points_whole, trace_levels_whole, coerce_node_props, export_nodes_json, project_delete, doc_pages_module, doc_index, trace_page_names, snippet_default_end, mask_and_clock)}
 
 
 def _like(query: int) -> str:
@@ -308,6 +314,7 @@ ORACLES = {
     "call_tree_depth2": f"with {CALLS} select a.dst as child, count(*) as n_grandchildren from calls a join calls b on a.dst = b.src where a.src = {TARGET} group by 1",
     "trace_entry_points": f"with recursive {CALLS}, {_DAG}, up as (select dst as node, 0 as depth from (select dst, count(*) as n from dag group by 1 order by n desc, dst limit 1) union select src, depth + 1 from up join dag on dst = node where depth < 4) select node as entry, cast(min(depth) as bigint) as depth from up where node not in (select dst from dag) group by 1",
     "trace_entry_points_whole": f"with recursive {CALLS}, up as (select dst as node, 0 as depth from (select dst, count(*) as n from calls group by 1 order by n desc, dst limit 1) union select src, depth + 1 from up join calls on dst = node where depth < {DEPTH}), least as (select node, min(depth) as depth from up group by 1) select node as entry, cast(depth as bigint) as depth, depth = {DEPTH} as at_limit from least where depth > 0 and (depth = {DEPTH} or node not in (select dst from calls))",
+    "trace_levels_whole": f"with recursive {CALLS}, up as (select cast({TARGET} as bigint) as node, 0 as depth union select src, depth + 1 from up join calls on dst = node where depth < {DEPTH}) select node, min(depth) as depth, min(depth) = {DEPTH} as at_limit from up group by node",
     "root_modules_whole": f"with {FN}, {CALLS} select distinct module_qn from fn where module_qn not in (select module_qn from calls join fn on dst = node_id)",
     "coerce_node_props": "select doc_id, coalesce(cast(quality as varchar), '') as quality, coalesce(cast(toxic as boolean), false) as toxic from labels",
     "export_nodes_json": f"with {FN} select cast(to_json({{'node_id': node_id, 'qualified_name': qualified_name, 'name': name, 'start_line': start_line}}) as varchar) as node from fn",

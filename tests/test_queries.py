@@ -18,3 +18,5 @@ def test_whole_traces_and_batches(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(12)] + [(0, 3), (40, 2)], "src long, dst long")
     found = {r["node"]: r["depth"] for r in traverse.written_levels(edges, spark.createDataFrame([(0,)], "node long"), 10).collect()}
     assert found == {i: i for i in range(11)} | {40: 3}
+    few, all_levels = (registry.QUERIES[x](spark, FOLDER) for x in ("trace_levels", "trace_levels_whole"))
+    assert few.select("node").subtract(all_levels.select("node")).isEmpty()
