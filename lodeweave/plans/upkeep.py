@@ -191,6 +191,15 @@ def knn_batch(spark, d):
     return best.select("query_id", "vec_id", "score")
 
 
+def knn_batch_whole(spark, d):
+    rows = table(spark, d, "embeddings")
+    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    # partitions of queries meet partitions of rows; the best of each partition are kept before the shuffle
+    scored = rows.join(queries.hint("shuffle_replicate_nl"), F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(text.cosine(F.col("embedding"), F.col("q")), 4))
+    best = graph.first_n(scored.select("query_id", "vec_id", "score"), ["query_id"], [F.desc("score"), F.col("vec_id")], 4)
+    return best.select("query_id", "vec_id", "score")
+
+
 def hybrid_search(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
     query = rows.filter("node_id = 2").select(F.col("embedding").alias("q")).limit(1)
@@ -271,7 +280,7 @@ def mask_and_clock(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.concat(F.substring("c_name", 1, 4), F.lit("****"), F.expr("right(c_name, 2)")).alias("masked"), F.format_string("%02d:%02d", F.floor(F.col("c_custkey") / 60) % 24, F.col("c_custkey") % 60).alias("clock"))
 
 
-QUERIES = {f.__name__: f for f in (node_by_qn, prefix_suffix_search, registry_remove, prefix_subtree, types_any, metadata_all_match, locate_by_name, call_pairs, callers_with_props, edges_bound_endpoints, bind_edges_dedup, functions_optional_module, caller_module_tag, function_context, visibility_cascade, ownership_hints, signature_text, struct_signature, enclosing_interval, nested_ancestors, root_modules, root_modules_whole, names_difference, path_difference, concat_heterogeneous, predicates_sorted, build_summary, vector_stats, vector_node_join, store_delete_by_id, hits_enriched, knn_batch, hybrid_search, call_tree_depth2, trace_entry_points, trace_entry_points_whole, trace_levels_whole, coerce_node_props, export_nodes_json, project_delete, doc_pages_module, doc_index, trace_page_names, snippet_default_end, mask_and_clock)}
+QUERIES = {f.__name__: f for f in (node_by_qn, prefix_suffix_search, registry_remove, prefix_subtree, types_any, metadata_all_match, locate_by_name, call_pairs, callers_with_props, edges_bound_endpoints, bind_edges_dedup, functions_optional_module, caller_module_tag, function_context, visibility_cascade, ownership_hints, signature_text, struct_signature, enclosing_interval, nested_ancestors, root_modules, root_modules_whole, names_difference, path_difference, concat_heterogeneous, predicates_sorted, build_summary, vector_stats, vector_node_join, store_delete_by_id, hits_enriched, knn_batch, knn_batch_whole, hybrid_search, call_tree_depth2, trace_entry_points, trace_entry_points_whole, trace_levels_whole, coerce_node_props, export_nodes_json, project_delete, doc_pages_module, doc_index, trace_page_names, snippet_default_end, mask_and_clock)}
 
 
 def _like(query: int) -> str:
@@ -316,6 +325,7 @@ ORACLES = {
     "trace_entry_points_whole": f"with recursive {CALLS}, up as (select dst as node, 0 as depth from (select dst, count(*) as n from calls group by 1 order by n desc, dst limit 1) union select src, depth + 1 from up join calls on dst = node where depth < {DEPTH}), least as (select node, min(depth) as depth from up group by 1) select node as entry, cast(depth as bigint) as depth, depth = {DEPTH} as at_limit from least where depth > 0 and (depth = {DEPTH} or node not in (select dst from calls))",
     "trace_levels_whole": f"with recursive {CALLS}, up as (select cast({TARGET} as bigint) as node, 0 as depth union select src, depth + 1 from up join calls on dst = node where depth < {DEPTH}) select node, min(depth) as depth, min(depth) = {DEPTH} as at_limit from up group by node",
     "root_modules_whole": f"with {FN}, {CALLS} select distinct module_qn from fn where module_qn not in (select module_qn from calls join fn on dst = node_id)",
+    "knn_batch_whole": "select query_id, vec_id, score from (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])), 4) as score from embeddings e join embeddings q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id) qualify row_number() over (partition by query_id order by score desc, vec_id) <= 4",
     "coerce_node_props": "select doc_id, coalesce(cast(quality as varchar), '') as quality, coalesce(cast(toxic as boolean), false) as toxic from labels",
     "export_nodes_json": f"with {FN} select cast(to_json({{'node_id': node_id, 'qualified_name': qualified_name, 'name': name, 'start_line': start_line}}) as varchar) as node from fn",
     "project_delete": "select c_nationkey, count(*) as n from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey = 1) group by 1",
