@@ -134,12 +134,13 @@ def edit_distances(index: Index, item: np.ndarray, words: np.ndarray, start: np.
     inside = (at >= low[:, None]) & (at < high[:, None])
     seen = np.where(inside, words[np.clip(at, 0, len(words) - 1)], np.uint64(0))
     wanted = index.words[index.first[item][:, None] + np.arange(size)[None, :]]
-    row = np.zeros((len(item), width + 1), np.int16)  # a match may begin anywhere
-    steps = np.arange(width + 1, dtype=np.int16)
+    kind = np.int16 if size <= 20_000 else np.int32  # differences of up to ``width`` must fit
+    row = np.zeros((len(item), width + 1), kind)  # a match may begin anywhere
+    steps = np.arange(width + 1, dtype=kind)
     for i in range(size):
         best = np.empty_like(row)
         best[:, 0] = i + 1
-        unlike = ((seen != wanted[:, i : i + 1]) | ~inside).astype(np.int16)
+        unlike = ((seen != wanted[:, i : i + 1]) | ~inside).astype(kind)
         best[:, 1:] = np.minimum(row[:, :-1] + unlike, row[:, 1:] + 1)
         row = np.minimum.accumulate(best - steps, axis=1) + steps
     end = row.argmin(1)

@@ -290,6 +290,18 @@ def test_op8_finds_edited_items(spark, odd_rows):
     assert decontaminate.find_leaks(spark.createDataFrame([], SCHEMA), bench).count() == 0
 
 
+def test_op8_edits_of_a_very_long_item():
+    from types import SimpleNamespace
+
+    item = np.arange(1, 22_001, dtype=np.uint64)
+    one = SimpleNamespace(size=np.array([22_000]), most=np.array([5500]), words=item, first=np.array([0]))
+    text = np.delete(item, 9000)
+    text[100] = 0xFFFFFF
+    text = np.concatenate([np.zeros(5400, np.uint64), text])  # the match ends near the end of the window
+    edits, _ = decontaminate.edit_distances(one, np.array([0]), text, np.array([0]), np.array([0]), np.array([len(text)]))
+    assert edits.tolist() == [2]
+
+
 def test_op9_counts_as_the_library(spark, odd_rows):
     import public_tokenizers
     from tokenizers import Tokenizer
