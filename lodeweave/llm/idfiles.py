@@ -24,6 +24,7 @@ LONGEST = 16  # bits of a code; more only where so many ids are in use that they
 BLOCK = 1 << 16  # ids in a block, unless one document has more
 RUN = 64  # ids between two checkpoints
 CACHE = 400_000  # units whose ids a worker remembers; then it starts anew
+CACHE_BYTES = 32_000_000  # bytes of these units
 PIECE = 1_500_000  # bytes of text handled at once
 
 
@@ -39,7 +40,8 @@ class UnitIds:
 
     The tokenizer cuts at white space and between letters, digits and other signs, whatever stands around
     it; so a unit is a run of one kind. A word with an apostrophe (contractions), a ``<`` (special strings)
-    or characters other than ASCII and Latin-1 letters stays whole: it is cut by the library.
+    or characters other than ASCII and Latin-1 letters stays whole: it is cut by the library. Units are
+    found by hash, and their bytes are compared.
     """
 
     def __init__(self, path: str):
@@ -50,38 +52,63 @@ class UnitIds:
 
     def _clear(self) -> None:
         self.keys, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.body, self.begin, self.end = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, keys: np.ndarray, strings: list[str]) -> None:
+    def _ids(self, strings: list[str]) -> list[list[int]]:
         merge = self.tok.model.tokenize
-        found = [[t.id for t in merge(x.lower())] if x.isascii() and x.isalpha() else self.tok.encode(x, add_special_tokens=False).ids for x in strings]
+        return [[t.id for t in merge(x.lower())] if x.isascii() and x.isalpha() else self.tok.encode(x, add_special_tokens=False).ids for x in strings]
+
+    def _learn(self, keys: np.ndarray, strings: list[str], bodies: list[bytes]) -> None:
+        found = self._ids(strings)
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
         at = len(self.flat) + np.cumsum(size) - size
+        end = len(self.body) + np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies)))
+        begin = np.concatenate([[len(self.body)], end[:-1]])
+        self.body = np.concatenate([self.body, np.frombuffer(b"".join(bodies), np.uint8)])
         keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
+        begin, end = np.concatenate([self.begin, begin]), np.concatenate([self.end, end])
         order = np.argsort(keys, kind="stable")  # two sorted runs
         self.keys, self.at, self.size, self.flat = keys[order], at[order], size[order], np.concatenate([self.flat, flat])
+        self.begin, self.end = begin[order], end[order]
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in ``data``, and how many each text has."""
         s, e, first, whole = units(data, offs)
-        hashed = vectext.span_hash(vectext.prefix_hash(data), s, e)
-        if whole.any():  # special strings heed the case
-            exact = vectext.prefix_hash(data, lower=False)
-            hashed[whole] = vectext.mix(vectext.span_hash(exact, s[whole], e[whole]) + np.uint64(1))
+        lower = vectext.lower(data)
+        hashed = vectext.span_hash(lower, s, e)
+        if whole.any():  # special strings heed the case: what is compared is the text as it is
+            lower = lower.copy()
+            inside = np.zeros(len(data) + 1, np.int8)
+            inside[s[whole]] += 1
+            inside[e[whole]] -= 1
+            inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+            lower[inside] = data[inside]
+            hashed[whole] = vectext.span_hash(data, s[whole], e[whole], 1)
         keys, where, back = np.unique(hashed, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > CACHE:
+        if len(self.keys) + len(keys) > CACHE or len(self.body) > CACHE_BYTES:
             self._clear()
         slot = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
         if len(self.keys):
             new = self.keys[np.minimum(slot, len(self.keys) - 1)] != keys
         if new.any():
-            body = data.tobytes()
-            self._learn(keys[new], [body[a:b].decode("utf-8", "replace") for a, b in zip(s[where[new]].tolist(), e[where[new]].tolist(), strict=True)])
+            body, kept = data.tobytes(), lower.tobytes()
+            at = list(zip(s[where[new]].tolist(), e[where[new]].tolist(), strict=True))
+            self._learn(keys[new], [body[a:b].decode("utf-8", "replace") for a, b in at], [kept[a:b] for a, b in at])
         slot = np.searchsorted(self.keys, keys)[back]
+        # a hash only finds the unit: its bytes decide
+        other = np.flatnonzero(~vectext.same(lower, s, e, self.body, self.begin[slot], self.end[slot]))
         size = self.size[slot]
+        at = self.at[slot]
+        flat = self.flat
+        if len(other):
+            ids = self._ids([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s[other].tolist(), e[other].tolist(), strict=True)])
+            size[other] = list(map(len, ids))
+            at[other] = len(flat) + np.cumsum(size[other]) - size[other]
+            flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size[other].sum()))])
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.at[slot] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         before = np.concatenate([[0], ends])
         return ids, np.diff(before[first])
 

@@ -41,9 +41,9 @@ def held_out(key: Column) -> Column:
 def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes with an end after each text, pools of the words, and where each text starts (one more at the end)."""
     s, e, first = vectext.spans(data, offs)
-    prefix = vectext.prefix_hash(data)
-    hashed = vectext.span_hash(prefix, s, e)
-    pool = (vectext.span_hash(prefix, np.maximum(s, e - ENDING), e) % np.uint64(POOLS)).astype(np.int32)
+    data = vectext.lower(data)
+    hashed = vectext.span_hash(data, s, e)
+    pool = (vectext.span_hash(data, np.maximum(s, e - ENDING), e) % np.uint64(POOLS)).astype(np.int32)
     return np.insert(hashed, first[1:], END), np.insert(pool, first[1:], 0), first + np.arange(len(first))
 
 

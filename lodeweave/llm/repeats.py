@@ -1,12 +1,18 @@
 """Removal of repeated byte strings by bounded interval expansion on Burrows-Wheeler transforms.
 
-Every window of 100 bytes has an anchor: the 24-byte string in it with the least hash. Equal windows have
-equal anchors at equal places, so windows are dealt by anchor. Neighbouring windows with one anchor form
-a segment. Segments equal throughout are settled by their hash; the different segments of one anchor meet
-in a task, which builds the suffix array and Burrows-Wheeler transform of their bytes and extends strings
-backwards, breadth first, so that common prefixes come out by increasing length; at 100 bytes it stops,
-and what has no value yet are the repeated windows. Anchors with very many different segments would make
-one task too large: their windows are dealt by a longer shared part and compared whole.
+Every window of 100 bytes has an anchor: the 24-byte string in it with the least hash, the first one of
+equals. Equal windows have equal anchors at equal places, so windows are dealt by anchor. Neighbouring
+windows with one anchor form a segment. Segments equal throughout are settled by their hashes; the
+different segments of one anchor meet in a task, which builds the suffix array and Burrows-Wheeler
+transform of their bytes and extends strings backwards, breadth first, so that common prefixes come out
+by increasing length; at 100 bytes it stops, and what has no value yet are the repeated windows. The
+segments of an anchor with very many different ones are cut into chunks, which are dealt by the 93 bytes
+that the windows of a chunk share, and go through the same steps; where even that is shared by very many
+different chunks these are cut into single windows, which are equal or not.
+
+Segments count as equal if the hash of their anchor and that of their bytes agree. Inside a chunk of
+texts the bytes are compared besides; across tasks two different segments of one anchor are taken for
+equal with a chance of 2**-64 per pair.
 """
 
 from __future__ import annotations
@@ -24,39 +30,61 @@ from . import scratch, vectext
 LENGTH = 100  # bytes of a repeated string
 GRAM = 24  # bytes of an anchor
 CHUNK = 8  # windows that are compared by what they share, where an anchor is heavy
-HEAVY = 1500  # different segments of an anchor that meet in one task at most
+HEAVY = 1500  # different segments that meet in one task at most; more are dealt by a longer shared part
+PIECE = 1_000_000  # bytes of a long text taken at once
 BLOCK = 300_000  # bytes whose transform is built at once
 LAST = (1 << 63) - 1  # order of a null doc_id
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def segments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchor hash, content hash, text index, start and number of windows of each segment."""
+def grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the 24 bytes from each position on."""
+    eight = vectext.eights(data)[: len(data) - 7]
+    eight = eight ^ (eight >> np.uint64(32))
+    n = len(data) - GRAM + 1
+    with np.errstate(over="ignore"):
+        return vectext.mix(eight[:n] * _ODD[0] + eight[8 : n + 8] * _ODD[1] + eight[16 : n + 16] * _ODD[2])
+
+
+def least_of(hashed: np.ndarray, span: int) -> np.ndarray:
+    """For each run of ``span`` (at most 128) hashes, the place of the first least one, counted from the run's start."""
+    least, place, width = hashed, np.zeros(len(hashed), np.uint8), 1
+    while width < span:
+        step = min(width, span - width)  # runs of ``width`` at two starts make one of width + step
+        left, right = least[: len(least) - step], least[step:]
+        place = np.where(left <= right, place[: len(left)], place[step:] + np.uint8(step))
+        least = np.minimum(left, right)
+        width += step
+    return place
+
+
+def segments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Anchor hash, content hash, text index, start and number of windows of each segment.
+
+    One long text is taken in pieces that overlap by a window; where a piece ends a segment is cut in two.
+    """
+    if len(offs) == 2 and len(data) > 2 * PIECE:
+        parts = []
+        for at in range(0, len(data) - length + 1, PIECE):
+            a, c, text, start, many = segments(data[at : at + PIECE + length - 1], np.array([0, min(PIECE + length - 1, len(data) - at)]), length)
+            parts.append((a, c, text, start + at, many))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     empty = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     if len(data) < length:
         return empty
-    prefix = vectext.prefix_hash(data, lower=False)
-    at = np.arange(len(data) - gram + 1)
-    hashed = vectext.span_hash(prefix, at, at + gram)
-    bits = np.uint64(int(len(data)).bit_length())
-    key = ((hashed >> bits) << bits) | at.astype(np.uint64)
-    # least key over ``span`` positions by doubling
-    span, width, least = length - gram + 1, 1, key
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < span:
-        least = np.minimum(least[: len(key) - span + 1], least[span - width :])
+    hashed = grams(data)
+    place = least_of(hashed, length - GRAM + 1)
     size = np.diff(offs)
     n = np.maximum(size - length + 1, 0)
     text = np.repeat(np.arange(len(size)), n)
     if not len(text):
         return empty
     start = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n) + offs[:-1][text]
-    anchor = (least[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    anchor = start + place[start]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     many = np.diff(np.concatenate([new, [len(text)]]))
     start, anchor, text = start[new], anchor[new], text[new]
-    content = vectext.mix(vectext.span_hash(prefix, start, start + many - 1 + length) + (anchor - start).astype(np.uint64))
+    content = vectext.mix(vectext.span_hash(data, start, start + many - 1 + length) + (anchor - start).astype(np.uint64))
     return hashed[anchor], content, text, start - offs[text], many
 
 
@@ -77,12 +105,19 @@ def _found(docs: DataFrame) -> DataFrame:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             tags = np.array([_tag(x) for x in _binary(batch.column("text"))], np.int32)
             for i, j in vectext.chunks(offs):
-                a, c, text, start, many = segments(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                body, ends = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                a, c, text, start, many = segments(body, ends)
                 doc = ids[i:j][text]
                 order = np.lexsort([start, text, doc, c])
                 a, c, text, start, many, doc = (x[order] for x in (a, c, text, start, many, doc))
-                same = np.concatenate([[False], c[1:] == c[:-1]]) if len(c) else np.zeros(0, bool)
+                same = np.concatenate([[False], (c[1:] == c[:-1]) & (a[1:] == a[:-1]) & (many[1:] == many[:-1])]) if len(c) else np.zeros(0, bool)
                 head = np.maximum.accumulate(np.where(same, 0, np.arange(len(c))))
+                at, first = np.flatnonzero(same), head[same]
+                begin, until = ends[text] + start, ends[text] + start + many - 1 + LENGTH
+                alike = vectext.same(body, begin[at], until[at], body, begin[first], until[first])
+                if not alike.all():  # equal hashes of different bytes: all of them are compared across tasks
+                    same[:] = False
+                    head = np.arange(len(c))
                 again = (doc > doc[head]) | (same & np.concatenate([[False], text[1:] == text[:-1]])) if len(c) else same
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(again.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc, pa.int64()), pa.array(tags[i:j][text] if len(text) else np.zeros(0, np.int32)), pa.array(start), pa.array(many.astype(np.int32))],
@@ -219,12 +254,10 @@ def _chunks(a: int, start: int, content: bytes, length: int) -> Iterator[tuple[i
     windows are in chunks with equal cores.
     """
     data = np.frombuffer(content, np.uint8)
-    prefix = vectext.prefix_hash(data, lower=False)
-    at = np.arange(len(data) - GRAM + 1)
-    anchor = int(np.flatnonzero(vectext.span_hash(prefix, at, at + GRAM).view(np.int64) == a)[0])
+    anchor = int(np.flatnonzero(grams(data).view(np.int64) == a)[0])
     last = len(content) - length
     j = np.arange(max(anchor - last, 0) // CHUNK, anchor // CHUNK + 1)
-    core = vectext.mix(vectext.span_hash(prefix, anchor - CHUNK * j, anchor - CHUNK * j - CHUNK + 1 + length) + j.astype(np.uint64)).view(np.int64)
+    core = vectext.mix(vectext.span_hash(data, anchor - CHUNK * j, anchor - CHUNK * j - CHUNK + 1 + length) + j.astype(np.uint64)).view(np.int64)
     for k, c in zip(j.tolist(), core.tolist(), strict=True):
         low, high = max(0, anchor - CHUNK * k - CHUNK + 1), min(last, anchor - CHUNK * k)
         yield c, start + low, content[low : high + length]
@@ -283,10 +316,16 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # equal cores only, and each content once
     often = heavy.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("_a"))
     heavy = scratch.save(heavy.join(often, F.col("a") == F.col("_a")).drop("_a"), scratch.folder(spark))
-    first = heavy.groupBy("content").agg(F.min("doc").alias("least"), F.count("*").alias("n")).select(F.col("content").alias("_content"), "least")
-    heavy = scratch.save(heavy.join(first, F.col("content") == F.col("_content")).drop("_content"), scratch.folder(spark))
+    first = heavy.groupBy("a", "content").agg(F.min("doc").alias("least"))
+    kinds = first.groupBy(F.col("a").alias("_core")).agg(F.count("*").alias("kinds"))
+    first = first.join(kinds, F.col("a") == F.col("_core")).select(F.col("a").alias("_a"), F.col("content").alias("_content"), "least", "kinds")
+    heavy = scratch.save(heavy.join(first, (F.col("a") == F.col("_a")) & (F.col("content") == F.col("_content"))).drop("_a", "_content"), scratch.folder(spark))
     marks = marks.unionAll(heavy.filter("doc > least").select("doc", "tag", "start", (F.octet_length("content") - length + 1).alias("many")))
-    windows = heavy.filter("doc = least").select("doc", "tag", F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("content") - length), lambda i: F.substring(F.col("content"), i + 1, F.lit(length)))).alias("i", "window"), "start")
+    heavy = heavy.filter("doc = least")
+    marks = marks.unionAll(scratch.save(_in_tasks(heavy.filter(F.col("kinds") <= HEAVY), length), scratch.folder(spark)))
+    heavy = heavy.filter(F.col("kinds") > HEAVY)
+    # what is shared is as long as a window now: windows are equal or have nothing in common
+    windows = heavy.select("doc", "tag", F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("content") - length), lambda i: F.substring(F.col("content"), i + 1, F.lit(length)))).alias("i", "window"), "start")
     windows = windows.select("doc", "tag", (F.col("start") + F.col("i")).alias("start"), "window")
     least = windows.groupBy("window").agg(F.min(F.struct("doc", "tag", "start")).alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("window").alias("_window"), "least")
     other = F.expr("doc = least.doc and tag != least.tag")  # another row with this doc_id: only its own starts are earlier

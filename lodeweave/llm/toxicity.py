@@ -48,11 +48,11 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts[1:] &= ~inside[:-1] | edge[1:-1]
     ends[:-1] &= ~inside[1:] | edge[1:-1]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    prefix = vectext.prefix_hash(data)
+    data = vectext.lower(data)
     out = np.empty((len(s), kinds), np.int32)
     for k, stem in enumerate((None, *STEMS)):
         to = e if stem is None else np.minimum(e, s + stem)
-        out[:, k] = vectext.mix(vectext.span_hash(prefix, s, to) + np.uint64(k)) % np.uint64(BUCKETS)
+        out[:, k] = vectext.span_hash(data, s, to, k) % np.uint64(BUCKETS)
     return out, np.searchsorted(s, offs)
 
 

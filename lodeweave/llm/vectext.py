@@ -1,8 +1,10 @@
 """Array-at-a-time tokenising of UTF-8 text: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
 
 A batch of texts is one byte array with document offsets. Words are found by table look-up and
-hashed from prefix sums, so no Python object is made per word. Hashes have 64 bits; two different
-words or shingles collide with probability about 2**-64 per pair.
+hashed eight bytes at a time, so no Python object is made per word. Every step mixes the next eight
+bytes into the hash so far by a bijection that is not linear, so what two structured words have in
+common does not carry over into their hashes; two different words collide with probability about
+2**-64 per pair. Where that is not enough ``same`` compares the bytes.
 """
 
 from __future__ import annotations
@@ -11,28 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 500_000  # bytes handled at once; one longer text is still handled whole
+LONG = 256  # bytes of a range from which on it is hashed by itself
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_LOWER += 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _tables.get("pow")
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + 1)
-        with np.errstate(over="ignore"):
-            for name, base in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                _tables[name] = np.cumprod(steps, dtype=np.uint64)
-    return _tables["pow"], _tables["inv"]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,25 +76,67 @@ def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return s, e, np.searchsorted(s, offs)
 
 
-def prefix_hash(data: np.ndarray, lower: bool = True) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any byte range."""
-    power, _ = _powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; beyond the end zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+
+
+def _blocks(view: np.ndarray, s: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes from each ``s`` on, those beyond ``left`` as zeros."""
+    cut = (np.uint64(8) - np.minimum(left, 8).astype(np.uint64)) * np.uint64(8)
+    return view[s] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> cut)
+
+
+def span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of the bytes of each range from ``s`` to ``e``; an empty range has one too."""
+    size = (e - s).astype(np.int64)
     with np.errstate(over="ignore"):
-        np.cumsum((_LOWER[data] if lower else data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=out[1:])
+        out = mix(size.astype(np.uint64) * _STEP + np.uint64(seed + 1))
+    if not len(data):
+        return out
+    view = eights(data)
+    some = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(some):
+        out[some] = mix(out[some] ^ _blocks(view, s[some] + at, size[some] - at))
+        at += 8
+        some = some[size[some] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[s[i] : e[i]].tobytes(), seed)
     return out
 
 
-def span_hash(prefix: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    _, inverse = _powers(len(prefix))
-    with np.errstate(over="ignore"):
-        return mix((prefix[e] - prefix[s]) * inverse[s] + (e - s).astype(np.uint64))
+def same(data: np.ndarray, s: np.ndarray, e: np.ndarray, other: np.ndarray, s2: np.ndarray, e2: np.ndarray) -> np.ndarray:
+    """Whether each range of ``data`` holds the bytes of its range of ``other``."""
+    size = e - s
+    out = size == e2 - s2
+    if not len(data) or not len(other):
+        return out
+    view, view2 = eights(data), eights(other)
+    some = np.flatnonzero(out & (size > 0) & (size <= LONG))
+    at = 0
+    while len(some):
+        left = size[some] - at
+        like = _blocks(view, s[some] + at, left) == _blocks(view2, s2[some] + at, left)
+        out[some[~like]] = False
+        at += 8
+        some = some[like]
+        some = some[size[some] > at]
+    for i in np.flatnonzero(out & (size > LONG)).tolist():
+        out[i] = bool((data[s[i] : e[i]] == other[s2[i] : e2[i]]).all())
+    return out
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each lower-cased word, and the index of each document's first word."""
     s, e, first = spans(data, offs)
-    return span_hash(prefix_hash(data), s, e), first
+    return span_hash(lower(data), s, e), first
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
