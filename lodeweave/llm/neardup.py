@@ -2,22 +2,24 @@
 
 Each permutation of the shingle hashes gives two values, the least and the greatest, so 64 permutations
 make a signature of 128 values; 32 bands of four values give candidates. Documents that share a band
-form families. Inside a family signatures are compared first and full shingle sets decide; families are
-compared in blocks of bounded size, and large ones are first linked to their most connected members, so
-that only pairs not linked yet remain. All links between different sets are found up to the chance
-(1 - 0.8**4)**32 < 1e-7 that no band of a pair at the threshold is shared.
+form families. Inside a family signatures are compared first and full shingle sets decide. Small families
+are compared in one task each. In large ones every member is first compared with a few well connected
+members, which go to where the others are; then blocks of bounded size are compared as far as their
+members are not linked yet. Full sets are made once for members of families only and travel only to the
+blocks. All links between different sets are found up to the chance (1 - 0.8**4)**32 < 1e-7 that no band
+of a pair at the threshold is shared, and up to ``LIKE_LEAST``.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import scratch, vectext
@@ -25,8 +27,10 @@ from .components import components
 
 PERMUTATIONS = 64
 BAND = 4  # signature values in a band; 128 values make 32 bands
-BLOCK = 512  # members of a family that one task compares with each other or with another block
-STARS = 2  # rounds in which large families are linked to a central member
+BLOCK = 512  # load of a family's members that one task compares with each other or with another block
+LOAD = 4096  # shingles that count as one member more
+STARS = 3  # members of a large family that all others are compared with first
+SENT = 64_000_000  # bytes of such members that are broadcast; more are joined
 LIKE_LEAST = 0.6  # estimated likeness below which full sets are not compared; 5 standard deviations under 0.8
 
 _random = np.random.default_rng(20240229)
@@ -80,19 +84,22 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, set) for the nodes of ``wanted`` (doc_id, node): sorted shingle hashes of that document."""
+    """``wanted`` (doc_id, node, family, load) with n, sig and the sorted shingle hashes of that document as set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, sets = [], []
+            keep, n, sigs, sets = [], [], [], []
             for i, (s, node) in enumerate(zip(_sets(batch, k), batch.column("node").to_pylist(), strict=True)):
                 if len(s) and _set_hash(s)[0] == node:  # an id may be repeated with another text
                     keep.append(i)
+                    n.append(len(s))
+                    sigs.append(signature(s).tobytes())
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], ["node", "set"])
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in ("node", "family", "load")), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "family", "load", "n", "sig", "set"])
 
-    rows = docs.select(F.col("doc_id").alias("of"), "text").join(wanted, F.col("of").eqNullSafe(F.col("doc_id"))).select("text", "node")
-    return rows.mapInArrow(run, "node long, set binary")
+    rows = docs.select(F.col("doc_id").alias("of"), "text").join(wanted, F.col("of").eqNullSafe(F.col("doc_id"))).select("text", "node", "family", "load")
+    return rows.mapInArrow(run, "node long, family long, load long, n long, sig binary, set binary")
 
 
 class _Groups:
@@ -114,6 +121,13 @@ class _Groups:
         return True
 
 
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have ``percent`` of their union in common."""
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links (a, b) among the members of a block, as far as they join groups that were not joined yet.
 
@@ -132,12 +146,7 @@ def _compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         fits = (side[i + 1 : to] != side[i]) | (side[i] == 2)
         like = (sig[i + 1 : to] == sig[i]).sum(1) >= LIKE_LEAST * sig.shape[1]
         for j in (np.flatnonzero(like & fits) + i + 1).tolist():
-            if groups.top(int(group[i])) == groups.top(int(group[j])):
-                continue
-            a, b = sets[i], sets[j]
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            if 100 * both >= percent * (len(a) + len(b) - both):
+            if groups.top(int(group[i])) != groups.top(int(group[j])) and _alike(sets[i], sets[j], percent):
                 groups.join(int(group[i]), int(group[j]))
                 found.append((int(node[i]), int(node[j])))
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -148,11 +157,22 @@ def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("block").applyInPandas(lambda x: _compare(x, percent), "a long, b long")
 
 
-def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with comp from the links found so far."""
-    found = components(links)
-    found = found.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-    return rows.drop("comp").join(found, F.col("node") == F.col("_node"), "left").withColumn("comp", F.coalesce("_label", "node")).drop("_node", "_label")
+def _star(members: DataFrame, centers: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between ``members`` and the centers of their families; members stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for node, center, sig, c_sig, own, other in zip(*(batch.column(c).to_pylist() for c in ("node", "center", "sig", "c_sig", "set", "c_set")), strict=True):
+                like = (np.frombuffer(sig, np.uint32) == np.frombuffer(c_sig, np.uint32)).mean() >= LIKE_LEAST
+                if node != center and like and _alike(np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64), percent):
+                    found.append((node, center))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    sent = centers.select(F.col("node").alias("center"), F.col("family").alias("c_family"), F.col("sig").alias("c_sig"), F.col("set").alias("c_set"))
+    size = sent.agg(F.coalesce(F.sum(F.octet_length("c_set") + 600), F.lit(0))).first()[0]
+    sent = F.broadcast(sent) if size <= SENT else sent
+    return members.join(sent, F.col("family") == F.col("c_family")).mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -162,60 +182,61 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """
     spark = docs.sparkSession
     out = scratch.folder(spark)
-    with scratch.passing(spark) as base:
-        return scratch.save(_links(docs, reps, k, percent, base), out)
+    with scratch.scope(spark):
+        return scratch.save(_links(docs, reps, k, percent), out)
 
 
-def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int, base: str) -> DataFrame:
-    """The same, from scratch tables below the folder ``base``."""
-    names = (f"{base}/{i}" for i in itertools.count())
+def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """The same, not saved."""
+    spark = docs.sparkSession
+
+    def saved(df: DataFrame) -> DataFrame:
+        return scratch.save(df, scratch.folder(spark))
+
     n_bands = 2 * PERMUTATIONS // BAND
     bands = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * 4 * BAND + 1, F.lit(4 * BAND))))
     keys = reps.select("node", F.explode(bands).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("many")).filter("many > 1")
-    pairs = keys.join(shared, "key").groupBy("node", "first").agg(F.sum("many").alias("weight"))
-    pairs = scratch.save(pairs, next(names))
+    pairs = saved(keys.join(shared, "key").groupBy("node", "first").agg(F.sum("many").alias("weight")))
     family = components(pairs.select(F.col("node").alias("a"), F.col("first").alias("b")))
     degree = pairs.groupBy("node").agg(F.sum("weight").alias("degree"))
-    members = family.select("node", F.col("label").alias("family")).join(degree, "node").join(reps, "node")
-    members = scratch.save(members.select("node", "family", "degree", "doc_id", F.col("n_shingles").alias("n"), "sig"), next(names))
-    sets = _with_sets(docs, members.select("doc_id", "node"), k)
-    members = members.join(sets, "node").dropDuplicates(["node"])
-    members = scratch.save(members.withColumn("comp", F.col("node")), next(names))
-    size = scratch.save(family.groupBy(F.col("label").alias("_family")).agg(F.count("*").alias("size")), next(names))
-    members = members.join(size, F.col("family") == F.col("_family")).drop("_family")
-    small = members.filter(F.col("size") <= BLOCK)
-    found = _in_blocks(small.select(F.struct("family", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("block"), "node", "n", "comp", F.lit(2).alias("side"), "sig", "set"), percent)
-    found = scratch.save(found, next(names))
-    large = members.filter(F.col("size") > BLOCK)
-    if not size.filter(F.col("size") > BLOCK).limit(1).count():
+    own = F.lit(1) + F.floor(F.col("n_shingles") / LOAD)
+    known = family.select("node", F.col("label").alias("family")).join(degree, "node").join(reps.select("node", "doc_id", own.alias("own")), "node")
+    known = saved(known)
+    load = known.groupBy(F.col("family").alias("_family")).agg(F.sum("own").alias("load"), F.count("*").alias("size")).filter("size > 1")
+    known = saved(known.join(load, F.col("family") == F.col("_family")).drop("_family"))
+    members = saved(_with_sets(docs, known.select("doc_id", "node", "family", "load"), k))
+    small = members.filter(F.col("load") <= BLOCK)
+    found = saved(_in_blocks(small.select(F.struct("family", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("block"), "node", "n", F.col("node").alias("comp"), F.lit(2).alias("side"), "sig", "set"), percent))
+    known = known.filter(F.col("load") > BLOCK)
+    if known.isEmpty():
         return found
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int")
+    large, stars = members.filter(F.col("load") > BLOCK), None
     for _ in range(STARS):
-        # the most connected member that is not linked yet goes to all chunks of its family
-        alone = large.filter(F.col("comp") == F.col("node"))
-        center = alone.groupBy("family").agg(F.max(F.struct("degree", F.col("node").alias("center"))).alias("c")).select(F.col("family").alias("_family"), F.col("c.center").alias("center"))
-        center = scratch.save(center, next(names))
-        starred = large.join(F.broadcast(center) if center.count() < 10_000 else center, F.col("family") == F.col("_family"))
-        is_center = F.col("node") == F.col("center")
-        chunks = F.when(is_center, F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).otherwise(F.array(chunk))
-        rows = starred.withColumn("i", F.explode(chunks)).select(F.struct("family", "i", F.lit(-1).alias("j")).alias("block"), "node", "n", "comp", F.when(is_center, 1).otherwise(0).alias("side"), "sig", "set")
-        found = scratch.save(found.unionAll(_in_blocks(rows, percent)), next(names))
-        large = scratch.save(_grouped(large, found), next(names))
+        # the most connected member that no star has reached yet
+        rest = known if stars is None else known.join(stars.select(F.col("a").alias("node")).unionAll(stars.select(F.col("b").alias("node"))).distinct(), "node", "left_anti")
+        center = rest.groupBy("family").agg(F.max(F.struct("degree", F.col("node").alias("center"))).alias("c")).select("c.center")
+        center = saved(large.join(center, F.col("node") == F.col("center")).drop("center").dropDuplicates(["node"]))
+        more = saved(_star(large, center, percent))
+        stars = more if stars is None else stars.unionAll(more)
+    label = components(stars)
+    known = known.join(label.select(F.col("node").alias("_node"), "label"), F.col("node") == F.col("_node"), "left")
+    known = saved(known.select("node", "family", "own", "load", F.coalesce("label", "node").alias("comp")))
     # the largest group of a family is not compared with itself; all others with all
-    counts = large.groupBy("family", "comp").agg(F.count("*").alias("many"))
-    main = counts.groupBy(F.col("family").alias("_family")).agg(F.max(F.struct("many", F.col("comp").alias("main"))).alias("m")).select("_family", "m.main", F.ceil(F.col("m.many") / BLOCK).cast("int").alias("main_chunks"))
-    rows = large.join(main, F.col("family") == F.col("_family"))
-    rest_chunks = F.ceil(F.greatest(F.col("size") - F.col("main_chunks") * BLOCK + BLOCK, F.lit(1)) / BLOCK).cast("int")
-    rows = rows.withColumn("rest", F.col("comp") != F.col("main")).withColumn("rest_chunks", rest_chunks)
-    rows = rows.withColumn("c", F.when(F.col("rest"), F.pmod(F.xxhash64("node"), F.col("rest_chunks")) + F.col("main_chunks")).otherwise(F.pmod(F.xxhash64("node"), F.col("main_chunks"))).cast("int"))
-    others = F.sequence(F.lit(0), F.col("main_chunks") + F.col("rest_chunks") - 1)
-    with_rest = F.when(F.col("rest"), others).otherwise(F.filter(others, lambda x: x >= F.col("main_chunks")))
-    pairs = F.transform(with_rest, lambda x: F.struct(F.least(x, F.col("c")).alias("i"), F.greatest(x, F.col("c")).alias("j")))
-    rows = rows.withColumn("p", F.explode(pairs))
+    counts = known.groupBy("family", "comp").agg(F.sum("own").alias("many"))
+    main = counts.groupBy(F.col("family").alias("_family")).agg(F.max(F.struct("many", F.col("comp").alias("main"))).alias("m")).select("_family", "m.main", F.col("m.many").alias("many"))
+    rows = known.join(main, F.col("family") == F.col("_family")).withColumn("rest", F.col("comp") != F.col("main"))
+    rows = rows.withColumn("mains", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("rests", F.ceil((F.col("load") - F.col("many")) / BLOCK).cast("int"))
+    rows = rows.filter("rests > 0")
+    mine = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), F.col("rests")) + F.col("mains")).otherwise(F.pmod(F.xxhash64("node"), F.col("mains"))).cast("int")
+    rows = saved(rows.withColumn("c", mine).select("node", "comp", "rest", "mains", "rests", "c"))
+    others = F.sequence(F.lit(0), F.col("mains") + F.col("rests") - 1)
+    with_rest = F.when(F.col("rest"), others).otherwise(F.filter(others, lambda x: x >= F.col("mains")))
+    both = F.transform(with_rest, lambda x: F.struct(F.least(x, F.col("c")).alias("i"), F.greatest(x, F.col("c")).alias("j")))
+    rows = large.join(rows.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).withColumn("p", F.explode(both))
     side = F.when(F.col("p.i") == F.col("p.j"), 2).when(F.col("c") == F.col("p.i"), 0).otherwise(1)
     rows = rows.select(F.struct("family", "p.i", "p.j").alias("block"), "node", "n", "comp", side.alias("side"), "sig", "set")
-    return found.unionAll(_in_blocks(rows, percent))
+    return found.unionAll(stars).unionAll(_in_blocks(rows, percent))
 
 
 def groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -224,42 +245,58 @@ def groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     Two rows are linked where 100 * common shingles >= percent * shingles of either. component_id is the
     least doc_id reachable, the own one included; null ids count only where a group has no other. Rows
     with equal doc_id are rows of their own; where they are the least of a group all are kept. Texts
-    without words (null, empty, blank) have no shingles and no links. Other columns are ignored.
+    without words (null, empty, blank) have no shingles and no links. Very long texts count in blocks by
+    their shingles, so that few of them make a block; one text's set must fit in a task. An empty table
+    gives an empty result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    sigs = scratch.save(signatures(docs, k), scratch.folder(spark))
-    full = sigs.filter("n_shingles > 0")
-    reps = full.groupBy("node", "node2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    passing = scratch.folder(spark)
-    reps = scratch.save(reps, passing)
-    found = components(links(docs, reps.select("node", "doc_id", "n_shingles", "sig"), k, percent))
-    ids = reps.select("node", "doc_id", "copies").join(found.select(F.col("node").alias("_node"), "label"), F.col("node") == F.col("_node"), "left").drop("_node")
-    ids = ids.withColumn("label", F.coalesce("label", "node"))
-    least = ids.groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("component_id"))
-    # only sets that stand for several documents, or are linked, change anything
-    ids = ids.join(least, F.col("label") == F.col("_label")).filter("copies > 1 or not (component_id <=> doc_id)")
-    ids = scratch.save(ids.select(F.col("node").alias("_node"), F.col("component_id").alias("_least")), scratch.folder(spark))
-    scratch.remove(spark, passing)
-    out = full.select("doc_id", "n_shingles", "node").join(ids, F.col("node") == F.col("_node"), "left")
+    docs = docs.select("doc_id", "text")
+    rows = scratch.folder(spark)
+    ids = scratch.folder(spark)
+    with scratch.scope(spark):
+        sigs = scratch.save(signatures(docs, k), scratch.folder(spark))
+        full = sigs.filter("n_shingles > 0")
+        reps = full.groupBy("node", "node2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        reps = scratch.save(reps, scratch.folder(spark))
+        sigs = scratch.save(sigs.select("doc_id", "n_shingles", "node"), rows)
+        found = components(links(docs, reps.select("node", "doc_id", "n_shingles", "sig"), k, percent))
+        least = reps.select("node", "doc_id", "copies").join(found.select(F.col("node").alias("_node"), "label"), F.col("node") == F.col("_node"), "left").drop("_node")
+        least = least.withColumn("label", F.coalesce("label", "node"))
+        first = least.groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("component_id"))
+        # only sets that stand for several documents, or are linked, change anything
+        least = least.join(first, F.col("label") == F.col("_label")).filter("copies > 1 or not (component_id <=> doc_id)")
+        ids = scratch.save(least.select(F.col("node").alias("_node"), F.col("component_id").alias("_least")), ids)
+    out = sigs.filter("n_shingles > 0").join(ids, F.col("node") == F.col("_node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
     empty = sigs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionAll(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _sortable(column: Column, kind: T.DataType) -> Column:
+    """A column that rows can be ordered by; maps and variants have no order, their JSON has."""
+    text = kind.simpleString()
+    return F.to_json(F.struct(column)) if "map<" in text or "variant" in text else column
+
+
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near duplicates: one row of each group stays, and all without words.
 
-    Of rows that repeat a kept doc_id and have words the one with the least text stays. All columns are kept.
+    Of rows that repeat a kept doc_id and have words the one with the least text stays, among equal texts
+    the least by the other columns. All columns are kept, whatever their names and types. Null ids, very
+    long texts and empty tables are as in ``groups``.
     """
-    found = groups(docs, k, percent).filter("kept").select(F.col("doc_id").alias("_id"), F.col("n_shingles").alias("_n")).groupBy("_id").agg(F.min("_n").alias("_n"), F.max("_n").alias("_most"))
     spark = docs.sparkSession
+    kept, n, most, row = scratch.unused(docs.columns, "kept_id", "n", "most", "row")
+    found = groups(docs, k, percent).filter("kept").groupBy(F.col("doc_id").alias(kept)).agg(F.min("n_shingles").alias(n), F.max("n_shingles").alias(most))
     found = scratch.save(found, scratch.folder(spark))
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = docs.join(found, docs["doc_id"].eqNullSafe(found[kept]))
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    blank = rows.filter((F.col("_n") == 0) & wordless).select(*docs.columns)
-    one = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    full = rows.filter((F.col("_most") > 0) & ~wordless).withColumn("_row", F.row_number().over(one)).filter("_row = 1")
-    return full.select(*docs.columns).unionAll(blank)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    blank = rows.filter((F.col(n) == 0) & wordless).select(*columns)
+    order = [_sortable(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema if f.name not in ("doc_id", "text")]
+    one = Window.partitionBy("doc_id").orderBy("text", *order)
+    full = rows.filter((F.col(most) > 0) & ~wordless).withColumn(row, F.row_number().over(one)).filter(F.col(row) == 1)
+    return full.select(*columns).unionAll(blank)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:

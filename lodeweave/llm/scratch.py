@@ -9,14 +9,48 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []
 
-def folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+
+def folder(spark: SparkSession, kept: bool = False) -> str:
+    """A new folder under ``spark.checkpoint.dir``.
+
+    Where that is unset one is made on a single machine (tests); a cluster must name one, for only its owner
+    knows what all executors share. Inside ``scope`` the folder is deleted at its end, unless it is to be ``kept``.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lodeweave-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/lodeweave-{uuid.uuid4().hex}"
+    if _scopes and not kept:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Folders made inside are deleted at the end; what is needed later must be saved in one made before or kept."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """These names, with underscores in front where ``columns`` has them, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def save(df: DataFrame, path: str) -> DataFrame:
@@ -45,15 +79,5 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-@contextmanager
-def passing(spark: SparkSession) -> Iterator[str]:
-    """A new folder that is deleted at the end; what is returned from there must be saved elsewhere first."""
-    path = folder(spark)
-    try:
-        yield path
-    finally:
-        remove(spark, path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

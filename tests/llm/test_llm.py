@@ -75,8 +75,11 @@ def test_op2_brute_force(spark, odd_rows):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["0", "1", "12", "13", "14", "15", "2", "3", "4"]
 
 
-def test_op2_large_family(spark):
-    """More near copies than a block holds: chains are found across blocks."""
+@pytest.mark.parametrize(("block", "load"), [(512, 4096), (40, 50)])
+def test_op2_large_family(spark, monkeypatch, block, load):
+    """More near copies than a block holds: chains are found across blocks, in few large ones and in many small ones."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "LOAD", load)
     random.seed(2)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -100,7 +103,16 @@ def test_op2_large_family(spark):
                 a, b = top(i), top(j)
                 up[max(a, b)] = min(a, b)
     got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
-    assert got == {i: top(i) for i in range(600)}
+    assert got == {i: top(i) for i in range(600)} and len(set(got.values())) > 1
+
+
+def test_op2_keeps_columns_of_any_name_and_type(spark):
+    rows = [(2, "a b c d e f g", {"k": 1}, 5, "x"), (1, "a b c d e f g", {"k": 2}, 6, "y"), (1, "a b c d e f g", {"k": 0}, 6, "y"), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, n int, kept_id string")
+    docs = docs.withColumn("_n", docs.n).withColumn("row", docs.n).withColumn("most", docs.n).withColumn("component_id", docs.n)
+    out = neardup.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert [(r["doc_id"], r["m"], r["n"], r["kept_id"]) for r in out.orderBy("doc_id").collect()] == [(1, {"k": 0}, 6, "y"), (3, None, None, None)]
 
 
 @pytest.mark.parametrize("heavy", [1, 1500])
