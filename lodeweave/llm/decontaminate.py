@@ -5,8 +5,8 @@ distance; bit-sampling LSH over several walks finds candidate items, and an exac
 Windows start where a short run of item words occurs: with at most k edits one of k + 1 equal parts of
 an item stays whole, so no window within the distance is missed by looking only there.
 
-The items are the query set. They go out in blocks of bounded size, each block against all documents;
-documents are not shuffled.
+The items are the query set. Each text of theirs goes out once, in blocks of about ``BLOCK_WORDS`` words,
+each block against all documents; documents are not shuffled. Blocks are written one by one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import vectext
+from . import scratch, vectext
 
 EDITS = 0.25  # edits allowed, as a share of an item's words
 BLOCK_WORDS = 1_000_000  # words of items broadcast at once
@@ -191,27 +191,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, walk
     ``edits`` is the least number of word insertions, deletions and substitutions that turn the item into
     a run of the document's words, where that is at most a quarter of the item's words; ``end_word`` is
     where such a run ends. Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. Null, empty or wordless texts
-    and items match nothing. Each row of either table counts: repeated rows repeat their pairs. Other
-    columns are ignored.
+    and items match nothing. Each row of either table counts: repeated rows repeat their pairs; of runs with
+    equally few edits the first counts. A very long text is searched in one task. Other columns are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id"), "text").filter("text is not null")
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    total = items.agg(F.sum(words)).first()[0] or 0
-    n_blocks = max(1, -(-total // BLOCK_WORDS))
-    items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n_blocks)))
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_words int, edits int, likeness double, end_word long"
-    results = None
+    items = benchmark.select("item_id", "text").filter("text is not null").withColumn("key", F.sha2("text", 256))
+    texts = scratch.save(items.groupBy("key").agg(F.first("text").alias("text"), F.first(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")).filter("n > 0"), scratch.folder(spark))
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    n_blocks = -(-total // BLOCK_WORDS)
+    docs = docs.select("doc_id", "text")
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, n_words int, edits int, likeness double, end_word long"
+    results = spark.createDataFrame([], kinds)
     for block in range(n_blocks):
-        rows = items.filter(F.col("block") == block).toPandas()  # about BLOCK_WORDS words
+        rows = texts.filter(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == block).toPandas()  # about BLOCK_WORDS words
         if not len(rows):
             continue
-        sent = spark.sparkContext.broadcast(Index(rows["item_id"].tolist(), rows["text"].tolist(), edits, walks, samples, bits))
+        sent = spark.sparkContext.broadcast(Index(rows["key"].tolist(), rows["text"].tolist(), edits, walks, samples, bits))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
-            if not index.seeds:
-                return
             for batch in batches:
                 data, offs = vectext.raw(batch.column("text"))
                 for i, j in vectext.chunks(offs):
@@ -227,14 +225,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, walk
                     doc, item, cost, end = doc[new], item[new], cost[new], end[new]
                     size = index.size[item]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(doc + i)), pa.array([index.ids[k] for k in item.tolist()], pa.int64() if benchmark_long else None), pa.array(size, pa.int32()), pa.array(cost, pa.int32()), pa.array(1 - cost / size, pa.float64()), pa.array(end, pa.int64())],
-                        ["doc_id", "item_id", "n_words", "edits", "likeness", "end_word"],
+                        [batch.column("doc_id").take(pa.array(doc + i)), pa.array([index.ids[k] for k in item.tolist()], pa.string()), pa.array(size, pa.int32()), pa.array(cost, pa.int32()), pa.array(1 - cost / size, pa.float64()), pa.array(end, pa.int64())],
+                        ["doc_id", "key", "n_words", "edits", "likeness", "end_word"],
                     )
 
-        benchmark_long = benchmark.schema["item_id"].dataType.simpleString() == "bigint"
-        found = docs.select("doc_id", "text").mapInArrow(search, kinds)
-        results = found if results is None else results.unionAll(found)
-    return spark.createDataFrame([], kinds) if results is None else results
+        # a block's pairs are written before the next block goes out, so one index is in memory at a time
+        results = results.unionAll(scratch.save(docs.mapInArrow(search, kinds), scratch.folder(spark)))
+        sent.destroy()
+    return results.join(items.select("item_id", "key"), "key").select("doc_id", "item_id", "n_words", "edits", "likeness", "end_word")
 
 
 def op8_leaks(spark, sf_dir: str) -> DataFrame:

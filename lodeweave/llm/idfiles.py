@@ -386,9 +386,15 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, tokenizer: str, path: str) -> None:
-    """Encode (doc_id, text) with the tokenizer file and write the ids to ``path``."""
-    width = id_bytes(tokenizer)
-    write_ids(scratch.save(encode_documents(docs, tokenizer, width=width), scratch.folder(docs.sparkSession)), path, width)
+    """Encode (doc_id, text) with the tokenizer file and write the ids to ``path``, a folder that is not deleted.
+
+    Null and empty texts have the end id only; rows repeated with equal doc_id and text are written each; an
+    empty table gives empty files. A very long text is encoded in one task and is a block of its own. Other
+    columns are ignored.
+    """
+    width, spark = id_bytes(tokenizer), docs.sparkSession
+    with scratch.scope(spark):
+        write_ids(scratch.save(encode_documents(docs, tokenizer, width=width), scratch.folder(spark)), path, width)
 
 
 def op4_id_files(spark, sf_dir: str) -> DataFrame:

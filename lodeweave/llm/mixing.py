@@ -57,14 +57,19 @@ def _bin(q: Column) -> Column:
     return F.floor(q / (1 + q) * BINS).cast("int")
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights=WEIGHTS) -> DataFrame:
-    """All rows and columns of ``docs`` (doc_id, text, source) with size, source_size, target and copies.
+def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights=WEIGHTS, into: str = "mix") -> DataFrame:
+    """All rows and columns of ``docs`` (doc_id, text, source) and ``into``: struct(size, source_size, target, copies).
 
     Null text has size 0; a null source is a source of its own, after the others. Rows of size 0 are
     taken with the others of their rank. Rows that repeat a doc_id get the same random number and are
-    ranked together: in or out as one. An empty table gives an empty result.
+    ranked together: in or out as one; so are ids that tie in it. Very long texts are only counted; one that
+    runs past the target is taken if that comes nearer. An empty table gives an empty result. Other columns may
+    have any names but ``into``. Plans have one row for each source and are made in one task.
     """
+    if into.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {into} already")
     spark = docs.sparkSession
+    docs, back = scratch.hidden(docs, "doc_id", "text", "source")
     docs = docs.withColumn("size", word_count(F.col("text"))).withColumn("u", chance(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     sizes = scratch.save(sizes, scratch.folder(spark))
@@ -98,12 +103,12 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights=WEIGHTS
     # no crossing: everything that has a rank is due
     picked = F.when(F.col("q").isNull(), False).when(F.col("q_to").isNull(), F.col("due") > 0).when(F.col("with_it"), F.col("q") <= F.col("q_to")).otherwise(F.col("q") < F.col("q_to"))
     out = out.withColumn("copies", F.col("whole").cast("long") + picked.cast("long"))
-    return out.select(*[docs[c] for c in docs.columns if c != "u"], "source_size", "target", "copies")
+    return out.select(*back, F.struct("size", "source_size", "target", "copies").alias(into))
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
 OP5_SQL = r"""

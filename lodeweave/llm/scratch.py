@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _scopes: list[list[str]] = []
 
@@ -53,6 +54,13 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def hidden(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns as _0, _1, ... and those ``used`` by name besides, so that names of working columns
+    cannot clash; and what to select to have its columns back."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(*[c.alias(f"_{i}") for i, c in enumerate(names)], *used), [F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
 def save(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` to ``path`` and read it back: later stages start from files, not from lineage.
 

@@ -13,13 +13,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import vectext
+from . import scratch, vectext
 
 SAMPLE = 3000  # labelled rows of each class for fitting at most
-LONGEST = 100_000  # characters of a text used for training at most; longer texts are scored and count for the thresholds
+CHARS = 16_000_000  # characters of each class's sample: it ends, in its random order, with the row that reaches them
 BUCKETS = 1 << 18
 STEMS = (4, 5, 6)  # bytes of a word's beginnings
 WIDTHS = (1, 2, 3)
@@ -219,17 +219,21 @@ def _calibrate(model: Model, counts: pa.Table, trained: np.ndarray) -> None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled rows of each class, chosen by a hash of doc_id, of which a quarter
-    is kept from training. All learnable labelled rows not trained on, with their whole texts, give the thresholds:
-    they are scored on Spark and counted by language and score. Labels other than 0 and 1, ids without text and repeated
-    labels of an id with two values are not used. With a class missing the scores are 0 or 1 throughout."""
+    """Train on at most ``sample`` labelled rows of each class, in order of a hash of doc_id until ``CHARS`` characters
+    are reached, of which a quarter is kept from training; their texts are learned from whole. All learnable labelled rows
+    not trained on, with their whole texts, give the thresholds: they are scored on Spark and counted by language and
+    score. Labels other than 0 and 1, ids without text and repeated labels of an id with two values are not used; null
+    texts count as empty. With a class missing the scores are 0 or 1 throughout."""
     known = labels.filter(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("y"), F.max("toxic").alias("most")).filter("y = most").select("doc_id", "y")
     order = F.xxhash64(F.lit(7), "doc_id")
     picked = known.filter("y = 0").orderBy(order, "doc_id").limit(sample).unionAll(known.filter("y = 1").orderBy(order, "doc_id").limit(sample))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", "text", lang.alias("lang"))
-    rows = texts.filter(F.coalesce(F.char_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(picked), "doc_id")  # at most 2 * sample rows are broadcast
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select("doc_id", "r.*", order.alias("o")).orderBy("o", "doc_id").toArrow()
+    rows = texts.join(F.broadcast(picked), "doc_id")  # at most 2 * sample rows are broadcast
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select("doc_id", "r.*", order.alias("o"))
+    before = Window.partitionBy("y").orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # of at most ``sample`` rows
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(before), F.lit(0))).filter(F.col("before") < CHARS)
+    rows = rows.drop("before").orderBy("o", "doc_id").toArrow()
     y = np.array(rows.column("y").to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
         empty = Model(np.zeros((BUCKETS, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0)
@@ -273,12 +277,16 @@ def _outputs(docs: DataFrame, model: Model, columns: list[str], name: str, of: C
     return docs.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``score`` (0 to 1) of each whole text, null as empty.
+def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``into`` (0 to 1), the score of each whole text, null as empty.
 
-    Rows are independent. ``docs`` may not have a column named score.
+    Rows are independent: repeated rows get equal scores, an empty table gives none. Very long texts are pooled
+    part by part. Other columns may have any names but ``into``.
     """
-    return _outputs(docs, model, docs.columns, "score", Model.score)
+    if into.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {into} already")
+    rows, back = scratch.hidden(docs, "text")
+    return _outputs(rows, model, [c for c in rows.columns if c != "text"], "score", Model.score).select(*back, F.col("score").alias(into))
 
 
 def rejected(score_col: Column, lang: Column, model: Model) -> Column:
@@ -290,7 +298,10 @@ def rejected(score_col: Column, lang: Column, model: Model) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted, rejected) for every row of ``docs`` (doc_id, text, perhaps lang)."""
+    """(doc_id, held_out, score, predicted, rejected) for every row of ``docs`` (doc_id, text, perhaps lang).
+
+    Null text is empty and has a score too. Rows are independent of each other; other columns are ignored.
+    """
     model = fit(docs, labels, sample)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = score(docs.select("doc_id", "text", lang.alias("lang")), model)
