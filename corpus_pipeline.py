@@ -12,35 +12,55 @@ from lodeweave.llm import decontaminate, idfiles, mixing, neardup, scratch, toxi
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose score stays below the threshold of their language."""
+    """Rows whose score stays below the threshold of their language.
+
+    Null and empty texts are scored as empty; repeated rows go or stay together; an empty table stays empty.
+    """
+    (score,) = scratch.unused(docs.columns, "score")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model)
-    return scored.filter(~toxicity.rejected(F.col("score"), F.col("lang"), model)).select(*docs.columns)
+    scored = toxicity.score(docs, model, score)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    return scored.filter(~toxicity.rejected(F.col(score), lang, model)).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of documents that share four fifths of their five-word shingles."""
+    """One row of each group of documents that share four fifths of their five-word shingles.
+
+    Rows without words all stay, repeated rows with words once; an empty table stays empty.
+    """
     return neardup.deduplicate(docs, k=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no benchmark item is found."""
-    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_leaky")).distinct()
+    """Rows in which no benchmark item is found.
+
+    Null and empty texts stay; repeated rows go or stay together, and so do rows that share a doc_id.
+    """
+    (leaky,) = scratch.unused(docs.columns, "leaky")
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(leaky)).distinct()
     found = scratch.save(found, scratch.folder(spark))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaky")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[leaky]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as many times as the mix takes it."""
-    mixed = mixing.mix(docs).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Every row as many times as the mix takes it, with its own columns.
+
+    Null and empty texts have size 0 and are taken with the others of their rank; rows that share a doc_id are taken
+    alike; an empty table stays empty.
+    """
+    mix, copy = scratch.unused(docs.columns, "mix", "copy")
+    mixed = mixing.mix(docs, into=mix).filter(F.col(mix)["copies"] > 0)
+    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(mix)["copies"]))).drop(mix, copy)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Id files of all rows, and from them one row for each: doc_id, start, n_tokens, ids_crc32."""
+    """Id files of all rows, and from them one row for each: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts have the end id only; repeated rows are written each, one after the other.
+    """
     import public_tokenizers
 
-    path = scratch.folder(spark)
+    path = scratch.folder(spark, kept=True)
     idfiles.write_documents(docs, public_tokenizers.path("word_bpe_49k.json"), path)
     return idfiles.summaries(spark, path)
 
@@ -57,8 +77,16 @@ ORACLE_SQL = None  # a trained classifier has no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read back before the next one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written and read back before the next one.
+
+    A stage's scratch tables and its input are deleted once its result is written; the id files stay.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), scratch.folder(spark))
+        path = scratch.folder(spark)
+        with scratch.scope(spark):
+            docs = scratch.save(stage(spark, docs, sf_dir), path)
+        if before:
+            scratch.remove(spark, before)
+        before = path
     return docs
