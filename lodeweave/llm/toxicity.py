@@ -24,6 +24,7 @@ BUCKETS = 1 << 18
 STEMS = (4, 5, 6)  # bytes of a word's beginnings
 WIDTHS = (1, 2, 3)
 DIM, FILTERS, EPOCHS, BATCH = 8, 6, 6, 64
+STEP = 60_000  # places that filters run over at once
 CUT = 0.7
 BINS = 256  # bins of raw outputs in a unit, from which the thresholds are found
 PRIOR = 6.0  # rows that a bucket's class share is smoothed with
@@ -67,39 +68,54 @@ class Model:
     slope: float = 1.0
     by_lang: dict = field(default_factory=dict)
 
-    def pooled(self, words: np.ndarray, first: np.ndarray, argmax: bool = False):
-        """Max-pooled filter outputs of each text; with ``argmax`` also the rows that gave them."""
-        n = np.diff(first)
-        starts = np.concatenate([[0], np.cumsum(n + _PAD + 1)])
-        rows = np.zeros((int(starts[-1]) + _PAD, DIM), np.float32)
-        place = np.repeat(starts[:-1] - first[:-1], n) + np.arange(len(words))
+    def inputs(self, words: np.ndarray) -> np.ndarray:
+        """The embedding of each word from its buckets (words x kinds)."""
         total = self.table[words[:, 0]]
         for k in range(1, words.shape[1]):
             total += self.table[words[:, k]]
-        rows[place] = total
-        full = int(starts[-1])
-        outs = []
-        for weights in self.filters:
-            z = rows[:full] @ weights[0]
-            for j in range(1, len(weights)):
-                z += rows[j : full + j] @ weights[j]
-            outs.append(z)
-        z = np.concatenate(outs, axis=1)
-        if not len(n):
-            return (np.zeros((0, z.shape[1]), np.float32),) * 2 if argmax else np.zeros((0, z.shape[1]), np.float32)
-        best = np.maximum.reduceat(z, starts[:-1], axis=0)
-        if not argmax:
-            return best
-        where = np.stack([z[a:b].argmax(0) + a for a, b in zip(starts[:-1], starts[1:], strict=True)])
-        back = np.full(full + _PAD, -1, np.int64)
-        back[place] = np.arange(len(words))
-        return best, where, rows, back
+        return total
+
+    def pooled(self, words: np.ndarray, first: np.ndarray, argmax: bool = False):
+        """Max-pooled filter outputs of each text; with ``argmax`` also the word at which the best run starts.
+
+        A run may reach beyond its text's end, where words count as zeros. Texts lie one after the other, each
+        with zeros behind it, and are taken ``STEP`` places at a time, so that a long text needs no more memory.
+        """
+        n = np.diff(first)
+        starts = np.concatenate([[0], np.cumsum(n + _PAD + 1)])
+        full, n_out = int(starts[-1]), FILTERS * len(WIDTHS)
+        best, where = np.full((len(n), n_out), -np.inf, np.float32), np.zeros((len(n), n_out), np.int64)
+        for low in range(0, full, STEP):
+            high = min(low + STEP, full)
+            to = min(high + _PAD, full)
+            t0, t1 = np.searchsorted(starts, [low, to - 1], "right") - 1
+            size = np.minimum(starts[t0 + 1 : t1 + 2], to) - np.maximum(starts[t0 : t1 + 1], low)
+            text = np.repeat(np.arange(t0, t1 + 1), size)
+            place = np.arange(low, to) - starts[text]
+            real = place < n[text]
+            rows = np.zeros((high - low + _PAD, DIM), np.float32)
+            rows[: to - low][real] = self.inputs(words[(first[text] + place)[real]])
+            outs = []
+            for weights in self.filters:
+                z = rows[: high - low] @ weights[0]
+                for j in range(1, len(weights)):
+                    z += rows[j : high - low + j] @ weights[j]
+                outs.append(z)
+            z = np.concatenate(outs, axis=1)
+            text, place = text[: high - low], place[: high - low]
+            z[place > n[text]] = -np.inf  # from there on a run would reach into the next text
+            begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            own, most = text[begin], np.maximum.reduceat(z, begin, axis=0)
+            if argmax:
+                ends = np.append(begin[1:], len(text))
+                at = np.stack([z[i:j].argmax(0) + i for i, j in zip(begin.tolist(), ends.tolist(), strict=True)])
+                where[own] = np.where(most > best[own], place[at], where[own])
+            best[own] = np.maximum(best[own], most)
+        return (best, where) if argmax else best
 
     def raw(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The output before scaling; texts are taken about 100,000 words at a time."""
-        best = [self.pooled(words[first[i] : first[j]], first[i : j + 1] - first[i]) for i, j in vectext.chunks(first, 100_000)]
-        best = np.concatenate(best) if best else np.zeros((0, len(self.out)), np.float32)
-        return np.maximum(best + self.bias, 0) @ self.out + self.out_bias
+        """The output before scaling."""
+        return np.maximum(self.pooled(words, first) + self.bias, 0) @ self.out + self.out_bias
 
     def score(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         return self.scaled(self.raw(words, first).astype(np.float64))
@@ -116,16 +132,17 @@ def _parts(words: np.ndarray, first: np.ndarray, pick: np.ndarray) -> tuple[np.n
     return words[at], np.concatenate([[0], np.cumsum(n)])
 
 
-def train(words: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
-    """Fit by Adagrad on the logistic loss; ``weight`` is each text's weight."""
+def train(kinds: np.ndarray, words: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
+    """Fit by Adagrad on the logistic loss. ``words`` are rows of ``kinds`` (the buckets of a word); ``weight`` is each text's weight."""
     random = np.random.default_rng(seed)
     # start from how a bucket's texts divide between the classes
-    doc = np.repeat(np.arange(len(label)), np.diff(first))
     counts = np.zeros((2, BUCKETS))
-    for k in range(words.shape[1]):
-        seen = np.unique(doc * BUCKETS + words[:, k])
-        for y in (0, 1):
-            counts[y] += np.bincount(seen[label[seen // BUCKETS] == y] % BUCKETS, minlength=BUCKETS)
+    for i, j in vectext.chunks(first, 200_000):
+        doc = np.repeat(np.arange(i, j), np.diff(first[i : j + 1]))
+        for k in range(kinds.shape[1]):
+            seen = np.unique(doc * BUCKETS + kinds[words[first[i] : first[j]], k])
+            for y in (0, 1):
+                counts[y] += np.bincount(seen[label[seen // BUCKETS] == y] % BUCKETS, minlength=BUCKETS)
     share = label.mean()
     p = (counts[1] + PRIOR * share) / (counts.sum(0) + PRIOR)
     table = random.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
@@ -142,26 +159,29 @@ def train(words: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.nd
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
             w, f = _parts(words, first, pick)
-            best, where, rows, back = m.pooled(w, f, argmax=True)
+            w = kinds[w]
+            best, where = m.pooled(w, f, argmax=True)
             hidden = np.maximum(best + m.bias, 0)
             z = hidden @ m.out + m.out_bias
             d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[pick]) * weight[pick] / len(pick)).astype(np.float32)
             d_hidden = np.outer(d, m.out) * (hidden > 0)
+            size = np.diff(f)[:, None]
             d_table: list = []
             for k, (weights, g) in enumerate(zip(m.filters, grown[1:], strict=False)):
                 cols = slice(k * FILTERS, (k + 1) * FILTERS)
                 at, dh = where[:, cols], d_hidden[:, cols]
                 for j in range(len(weights)):
-                    x = rows[at + j]  # texts x FILTERS x DIM
+                    inside = at + j < size
+                    word = w[np.where(inside, f[:-1, None] + at + j, 0)] if len(w) else np.zeros((*at.shape, kinds.shape[1]), np.int32)
+                    x = m.inputs(word.reshape(-1, word.shape[2])).reshape(*at.shape, DIM) * inside[:, :, None]  # texts x FILTERS x DIM
                     step = np.einsum("tf,tfd->df", dh, x)
                     into = dh[:, :, None] * weights[j].T[None]
                     g[j] += step**2
                     weights[j] -= rate * step / np.sqrt(g[j])
-                    word = back[at + j]
-                    real = (word >= 0) & (dh != 0)
-                    d_table.append((w[word[real]], into[real]))
+                    real = inside & (dh != 0)
+                    d_table.append((word[real], into[real]))
             ids = np.concatenate([x.reshape(-1) for x, _ in d_table])
-            steps = np.concatenate([np.repeat(x, w.shape[1], axis=0) for _, x in d_table])
+            steps = np.concatenate([np.repeat(x, kinds.shape[1], axis=0) for _, x in d_table])
             ids, back_ids = np.unique(ids, return_inverse=True)
             step = np.zeros((len(ids), DIM), np.float32)
             np.add.at(step, back_ids, steps)
@@ -249,11 +269,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     data, offs = vectext.raw(rows.column("text").filter(pa.array(~kept)))
     y = y[~kept]
     del rows
-    parts = [features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in vectext.chunks(offs)]
-    words = np.concatenate([w for w, _ in parts])
-    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
-    model = train(words, first, y, np.ones(len(y)))
-    del data, parts, words
+    kinds, parts, sizes, n = [], [], [], 0
+    for i, j in vectext.chunks(offs):
+        buckets, first = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        buckets, back = np.unique(buckets, axis=0, return_inverse=True)
+        kinds.append(buckets)
+        parts.append((back.reshape(-1) + n).astype(np.int32))
+        sizes.append(np.diff(first))
+        n += len(buckets)
+    del data
+    model = train(np.concatenate(kinds), np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), y, np.ones(len(y)))
+    del kinds, parts
+    pa.default_memory_pool().release_unused()
     scored = _outputs(rest, model, ["doc_id", "lang"], "z", Model.raw)
     bins = F.floor(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col("z"))) * BINS).cast("int").alias("bin")
     counts = scored.select("doc_id", "lang", bins).join(known, "doc_id").groupBy("lang", "bin", "y").agg(F.count("*").alias("n")).toArrow()
@@ -261,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def _outputs(docs: DataFrame, model: Model, columns: list[str], name: str, of: Callable) -> DataFrame:
+def _outputs(docs: DataFrame, model: Model, columns: list[str], name: str, of: Callable, text: str = "text") -> DataFrame:
     """``columns`` of ``docs`` and what ``of`` (a function of Model) makes of each whole text, null as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
     schema = docs.select(*columns).withColumn(name, F.lit(0.0)).schema
@@ -269,7 +296,7 @@ def _outputs(docs: DataFrame, model: Model, columns: list[str], name: str, of: C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            data, offs = vectext.raw(batch.column("text"))
+            data, offs = vectext.raw(batch.column(text))
             parts = [of(model, *features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])) for i, j in vectext.chunks(offs)]
             column = pa.array(np.concatenate(parts).astype(np.float64) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in columns), column], [*columns, name])
@@ -285,8 +312,8 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
     """
     if into.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"there is a column {into} already")
-    rows, back = scratch.hidden(docs, "text")
-    return _outputs(rows, model, [c for c in rows.columns if c != "text"], "score", Model.score).select(*back, F.col("score").alias(into))
+    rows, back = scratch.hidden(docs)
+    return _outputs(rows, model, rows.columns, "score", Model.score, f"_{docs.columns.index('text')}").select(*back, F.col("score").alias(into))
 
 
 def rejected(score_col: Column, lang: Column, model: Model) -> Column:

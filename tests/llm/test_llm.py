@@ -292,6 +292,28 @@ def test_op7_thresholds_from_all_labelled_rows(spark, monkeypatch):
     assert set(model.by_lang) == {"en", "es"}
 
 
+def test_op7_pooling_as_defined(monkeypatch):
+    """Filters over every run of words, zeros behind the end, the greatest output of each: against plain loops."""
+    random = np.random.default_rng(9)
+    m = toxicity.Model(random.normal(size=(toxicity.BUCKETS, toxicity.DIM)).astype(np.float32), [random.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS], random.normal(size=18).astype(np.float32), random.normal(size=18).astype(np.float32), 0.3)
+    sizes = [0, 1, 2, 5, 40, 0, 7, 3]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    words = random.integers(0, toxicity.BUCKETS, (first[-1], 4))
+    want, at = [], []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        rows = np.concatenate([sum(m.table[words[a:b, k]] for k in range(4)), np.zeros((2 * toxicity._PAD + 1, toxicity.DIM))])
+        z = [[sum(rows[i + j] @ f[j][:, c] for j in range(len(f))) for f in m.filters for c in range(toxicity.FILTERS)] for i in range(b - a + 1)]
+        want.append(np.max(z, axis=0))
+        at.append(np.argmax(z, axis=0))
+    for step in (60_000, 7, 1):
+        monkeypatch.setattr(toxicity, "STEP", step)
+        best, where = m.pooled(words, first, argmax=True)
+        assert np.allclose(best, want, atol=1e-4) and (where == at).mean() > 0.99
+        raw = np.maximum(np.array(want) + m.bias, 0) @ m.out + m.out_bias
+        assert np.allclose(m.raw(words, first), raw, atol=1e-3)
+    assert m.raw(words[:0], np.zeros(1, np.int64)).shape == (0,)
+
+
 def test_op7_sample_is_not_lowered():
     assert toxicity.SAMPLE >= 3000
 
