@@ -30,6 +30,7 @@ BAND = 4  # signature values in a band; 128 values make 32 bands
 BLOCK = 512  # load of a family's members that one task compares with each other or with another block
 LOAD = 4096  # shingles that count as one member more
 STARS = 3  # members of a large family that all others are compared with first
+SENT_ROWS = 400_000  # ids of rows that are broadcast; more are joined, and the texts dealt by id
 SENT = 64_000_000  # bytes of such members that are broadcast; more are joined
 LIKE_LEAST = 0.6  # estimated likeness below which full sets are not compared; 5 standard deviations under 0.8
 
@@ -98,7 +99,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in ("node", "family", "load")), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "family", "load", "n", "sig", "set"])
 
-    rows = docs.select(F.col("doc_id").alias("of"), "text").join(wanted, F.col("of").eqNullSafe(F.col("doc_id"))).select("text", "node", "family", "load")
+    rows = docs.select(F.col("doc_id").alias("of"), "text").join(_small(wanted), F.col("of").eqNullSafe(F.col("doc_id"))).select("text", "node", "family", "load")
     return rows.mapInArrow(run, "node long, family long, load long, n long, sig binary, set binary")
 
 
@@ -272,6 +273,11 @@ def groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return out.unionAll(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Rows of a few numbers, broadcast if there are at most ``SENT_ROWS``."""
+    return F.broadcast(ids) if ids.limit(SENT_ROWS + 1).count() <= SENT_ROWS else ids
+
+
 def _sortable(column: Column, kind: T.DataType) -> Column:
     """A column that rows can be ordered by; maps and variants have no order, their JSON has."""
     text = kind.simpleString()
@@ -286,17 +292,20 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     long texts and empty tables are as in ``groups``.
     """
     spark = docs.sparkSession
-    kept, n, most, row = scratch.unused(docs.columns, "kept_id", "n", "most", "row")
-    found = groups(docs, k, percent).filter("kept").groupBy(F.col("doc_id").alias(kept)).agg(F.min("n_shingles").alias(n), F.max("n_shingles").alias(most))
-    found = scratch.save(found, scratch.folder(spark))
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(found[kept]))
-    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    of, n, most, row = scratch.unused(docs.columns, "of", "n", "most", "row")
+    found = groups(docs, k, percent).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"), F.min(F.when(F.col("kept"), F.col("n_shingles"))).alias(n), F.max(F.when(F.col("kept"), F.col("n_shingles"))).alias(most))
+    # most ids are kept and occur once: their rows stay where they are
+    others = scratch.save(found.filter("not kept or rows > 1").withColumnRenamed("doc_id", of), scratch.folder(spark))
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    plain = docs.join(_small(others.select(of)), docs["doc_id"].eqNullSafe(F.col(of)), "left_anti")
+    repeated = others.filter("kept").select(of, n, most)
+    rows = docs.join(_small(repeated), docs["doc_id"].eqNullSafe(F.col(of)))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     blank = rows.filter((F.col(n) == 0) & wordless).select(*columns)
     order = [_sortable(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema if f.name not in ("doc_id", "text")]
     one = Window.partitionBy("doc_id").orderBy("text", *order)
     full = rows.filter((F.col(most) > 0) & ~wordless).withColumn(row, F.row_number().over(one)).filter(F.col(row) == 1)
-    return full.select(*columns).unionAll(blank)
+    return plain.unionAll(full.select(*columns)).unionAll(blank)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
