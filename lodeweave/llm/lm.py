@@ -1,14 +1,16 @@
 """Language-model scoring with class-based n-grams.
 
-The most frequent words are items of their own; all other words are pooled by their ending into a fixed
-number of items, so every word belongs to one. Exchange clustering assigns items to classes: each round
-counts, over all bigrams of the corpus, how often an item stands before and after each class, and moves
-items to the class that makes their neighbourhoods likeliest. The model multiplies class transition, item
-emission and, for pooled words, the word's smoothed share of its pool.
+Every word that occurs at least ``MIN`` times belongs to a class; rarer words are pooled by their ending.
+The most frequent words and the pools are clustered by exchange: each round counts, over all bigrams of the
+corpus, how often an item stands before and after each class, and then items move one by one to the class
+that gains most in the likelihood of the class bigrams, whose counts follow every move. All other words are
+too many for the driver: in further passes over the corpus each is counted on Spark before and after each
+class, and a task moves it to its likeliest class. The model multiplies class transition, word emission and,
+for pooled words, the word's smoothed share of its pool.
 
 Counts are gathered from all training texts. What goes to the driver or to all executors has a size set
-by the parameters: items, classes and the counts of the ``TOP`` most frequent words; counts of all rarer
-words are joined.
+by the parameters: items, classes, and hash, count and class of at most ``TOP`` words; if more words occur
+``MIN`` times, the least count rises until they fit. Counts of pooled words are joined.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from pyspark.sql import functions as F
 
 from . import scratch, vectext
 
-WORDS = 8192  # items of one word
-POOLS = 2048  # items that pool the other words
+WORDS = 8192  # words that are clustered on the driver, the most frequent ones
+POOLS = 2048  # items that pool other words
 ENDING = 3  # bytes of a word that choose its pool
 CLASSES = 64
-ROUNDS = 8
-TOP = 200_000  # words whose counts are sent to the executors
+ROUNDS = 4  # rounds of exchange on the driver
+PASSES = 2  # passes that assign all other words
+MIN = 3  # occurrences of a word that is in a class itself
+TOP = 2_000_000  # words in classes at most
 HELD = 2_000_000  # distinct words or bigrams that a task gathers before it hands them on
 END = np.uint64(0x0E0D0E0D0E0D0E0D)  # the end token
 
@@ -82,22 +86,34 @@ def _gathered(make, schema: str, names: list[str]):
 
 @dataclass
 class Model:
-    words: np.ndarray  # sorted hashes of the TOP words
+    words: np.ndarray  # sorted hashes of the words in classes, the end among them
     counts: np.ndarray
-    item: np.ndarray  # their item, or -1 for pooled words
-    klass: np.ndarray  # class of each item; pools follow the words, the end is last
-    move: np.ndarray  # log10 of class transitions
-    emit: np.ndarray  # log10 of an item's share of its class
-    pool: np.ndarray  # log10 of the smoothed size of each pool
+    klass: np.ndarray  # their classes
+    pools: np.ndarray  # class of each pool
+    move: np.ndarray  # log10 of class transitions; texts start after an end
+    emit: np.ndarray  # log10 of a word's share of its class
+    emit_pool: np.ndarray  # log10 of a pool's share of its class
+    size: np.ndarray  # log10 of the smoothed size of each pool
     tokens: int
     kinds: int
 
     def look(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in ``words``, and whether the word is there."""
+        if not len(self.words):
+            return np.zeros(len(hashed), np.int64), np.zeros(len(hashed), bool)
         at = np.minimum(np.searchsorted(self.words, hashed), len(self.words) - 1)
         return at, self.words[at] == hashed
 
 
+def _classes(words: np.ndarray, klass: np.ndarray, pools: np.ndarray, hashed: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """Class of each token: its own or its pool's."""
+    out = pools[pool]
+    if len(words):
+        at = np.minimum(np.searchsorted(words, hashed), len(words) - 1)
+        out = np.where(words[at] == hashed, klass[at], out)
+    return np.where(hashed == END, CLASSES - 1, out)
+
+
 def _items(words: np.ndarray, hashed: np.ndarray, pool: np.ndarray) -> np.ndarray:
     """Item of each token: sorted one-word items, then pools, then the end."""
     out = len(words) + pool.astype(np.int64)
@@ -108,60 +124,99 @@ def _items(words: np.ndarray, hashed: np.ndarray, pool: np.ndarray) -> np.ndarra
     return out
 
 
-def _cluster(bigrams: DataFrame, n_items: int, size: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each item and the class bigram counts. The end has a class of its own, the last one."""
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(grid: np.ndarray) -> float:
+    """What of the log likelihood of class bigrams depends on the classes."""
+    return float(_xlogx(grid).sum() - _xlogx(grid.sum(0)).sum() - _xlogx(grid.sum(1)).sum())
+
+
+def exchange(klass: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray, order: np.ndarray) -> int:
+    """Move the items of ``order`` one by one, in place, to the class that makes class bigrams likeliest; how many moved.
+
+    ``after`` and ``before`` count the classes around each item at the start of the round, ``twice`` an item
+    beside itself. The counts of class bigrams follow each move. The last class takes and gives no item.
+    """
+    grid = np.zeros((CLASSES, CLASSES))
+    np.add.at(grid, klass, after)
+    rows, cols = grid.sum(1), grid.sum(0)
+    moved, diagonal = 0, np.arange(CLASSES)
+    for i in order.tolist():
+        own, t = klass[i], twice[i]
+        f, p = after[i].copy(), before[i].copy()
+        f[own] -= t
+        p[own] -= t
+        n_out, n_in = f.sum() + t, p.sum() + t
+        grid[own] -= f
+        grid[:, own] -= p
+        grid[own, own] -= t
+        np.maximum(grid, 0, out=grid)  # neighbours may have moved since the round began
+        rows[own] -= n_out
+        cols[own] -= n_in
+        cells = _xlogx(grid)
+        put_row, put_col = _xlogx(grid + f), _xlogx(grid + p[:, None])
+        both = grid[diagonal, diagonal] + f + p + t
+        gain = (put_row - cells).sum(1) + (put_col - cells).sum(0)
+        gain += _xlogx(both) - put_row[diagonal, diagonal] - put_col[diagonal, diagonal] + cells[diagonal, diagonal]
+        gain -= _xlogx(np.maximum(rows + n_out, 0)) - _xlogx(np.maximum(rows, 0)) + _xlogx(np.maximum(cols + n_in, 0)) - _xlogx(np.maximum(cols, 0))
+        gain[-1] = -np.inf
+        best = int(gain.argmax())
+        if gain[best] <= gain[own] + 1e-9:
+            best = own
+        klass[i] = best
+        moved += best != own
+        grid[best] += f
+        grid[:, best] += p
+        grid[best, best] += t
+        rows[best] += n_out
+        cols[best] += n_in
+    return moved
+
+
+def _cluster(bigrams: DataFrame, n_items: int, size: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Class of each item. The end has a class of its own, the last one."""
     spark = bigrams.sparkSession
     klass = np.full(n_items, CLASSES - 2, np.int64)
     klass[seeds[: CLASSES - 2]] = np.arange(min(len(seeds), CLASSES - 2))
     klass[-1] = CLASSES - 1
+    cells_of = 2 * n_items * CLASSES
 
     def around(klass):
-        """Counts of (item, class after it) and (class before it, item): items x classes each."""
+        """Counts of (item, class after it), (class before it, item) and (item, itself)."""
         sent = spark.sparkContext.broadcast(klass)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = sent.value
-            total = np.zeros(2 * n_items * CLASSES, np.int64)
+            total = np.zeros(cells_of + n_items, np.int64)
             for batch in batches:
                 a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
                 total += np.bincount(a * CLASSES + of[b], weights=n, minlength=len(total)).astype(np.int64)
                 total += np.bincount((n_items + b) * CLASSES + of[a], weights=n, minlength=len(total)).astype(np.int64)
+                total += np.bincount(cells_of + a[a == b], weights=n[a == b], minlength=len(total)).astype(np.int64)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
 
-        cells = bigrams.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * items * classes rows
-        total = np.zeros(2 * n_items * CLASSES)
+        cells = bigrams.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most (2 * classes + 1) * items rows
+        total = np.zeros(cells_of + n_items)
         total[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
         sent.unpersist()
-        after, before = total.reshape(2, n_items, CLASSES)
-        grid = np.zeros((CLASSES, CLASSES))
-        np.add.at(grid, klass, after)
-        return after, before, grid
-
-    def value(grid):
-        def xlogx(x):
-            return float((x * np.log(np.maximum(x, 1))).sum())
-
-        return xlogx(grid) - xlogx(grid.sum(0)) - xlogx(grid.sum(1))
+        after, before = total[:cells_of].reshape(2, n_items, CLASSES)
+        return after, before, total[cells_of:]
 
+    order = np.flatnonzero(size[:-1] > 0)
+    order = order[np.argsort(-size[order], kind="stable")]
     best = None
     for round_ in range(ROUNDS + 1):
-        after, before, grid = around(klass)
-        if best is None or value(grid) > best[0]:
-            best = value(grid), klass.copy(), grid
-        if round_ == ROUNDS:
+        after, before, twice = around(klass)
+        grid = np.zeros((CLASSES, CLASSES))
+        np.add.at(grid, klass, after)
+        if best is None or likelihood(grid) > best[0]:
+            best = likelihood(grid), klass.copy()
+        if round_ == ROUNDS or not exchange(klass, after, before, twice, order):
             break
-        smooth = grid + 0.1
-        log = np.log(smooth)
-        out, into = np.log(smooth.sum(1)), np.log(smooth.sum(0))
-        gain = after @ log.T - after.sum(1)[:, None] * out[None, :] + before @ log - before.sum(1)[:, None] * into[None, :]
-        gain[:, CLASSES - 1] = -np.inf
-        wish = gain.argmax(1)
-        # half of the items move at a time, so that neighbours do not chase each other; at first all do
-        turn = np.ones(n_items, bool) if round_ == 0 else np.arange(n_items) % 2 == round_ % 2
-        turn[-1] = False
-        klass = np.where(turn & (size > 0), wish, klass)
-    return best[1], best[2]
+    return best[1]
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -176,15 +231,25 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     counts = docs.select("text").mapInArrow(run, "w long, pool int, n long").groupBy("w").agg(F.first("pool").alias("pool"), F.sum("n").alias("n"))
     counts = scratch.save(counts, scratch.folder(spark))
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "w").limit(TOP).toArrow()
-    hashed, n = top.column("w").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.int64)
-    own = np.flatnonzero(hashed != END)[:WORDS]
-    words = np.sort(hashed[own])
-    frequent = spark.createDataFrame([(int(x),) for x in words.view(np.int64)] + [(int(END.view(np.int64)),)], "w long")
-    tail = counts.join(F.broadcast(frequent), "w", "left_anti").groupBy("pool").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
+    # how many words occur how often: the least count at which they fit
+    often = counts.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("kinds")).filter(F.col("n") >= MIN).toArrow()
+    levels, per_level = often.column("n").to_numpy(), often.column("kinds").to_numpy()
+    falling = np.argsort(-levels)
+    fits = np.flatnonzero(np.cumsum(per_level[falling]) <= TOP)
+    least = int(levels[falling][fits[-1]]) if len(fits) else 1_000_000
+    end = F.col("w") == int(END.view(np.int64))
+    top = counts.filter((F.col("n") >= least) | end).select("w", "pool", "n").toArrow()  # at most TOP rows
+    hashed, n, in_pool = top.column("w").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.int64), top.column("pool").to_numpy().astype(np.int32)
+    order = np.argsort(hashed)
+    hashed, n, in_pool = hashed[order], n[order], in_pool[order]
+    del top
+    tail = counts.filter((F.col("n") < least) & ~end).groupBy("pool").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
     pool_n, pool_kinds = np.zeros(POOLS), np.zeros(POOLS)
     at = tail.column("pool").to_numpy()
     pool_n[at], pool_kinds[at] = tail.column("n").to_numpy(), tail.column("kinds").to_numpy()
+    own = np.flatnonzero(hashed != END)
+    own = np.sort(own[np.lexsort([hashed[own], -n[own]])][:WORDS])
+    words = hashed[own]  # sorted
     sent = spark.sparkContext.broadcast(words)
     n_items = len(words) + POOLS + 1
 
@@ -199,20 +264,85 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     pairs = docs.select("text").mapInArrow(run, "key long, zero int, n long").groupBy("key").agg(F.sum("n").alias("n"))
     pairs = scratch.save(pairs.select(F.expr(f"key div {n_items}").alias("a"), (F.col("key") % n_items).alias("b"), "n"), scratch.folder(spark))
     size = np.zeros(n_items)
-    place = np.searchsorted(words, hashed[own])
-    size[place] = n[own]
-    size[len(words) : -1] = pool_n
+    size[: len(words)] = n[own]
     size[-1] = n[hashed == END].sum()
-    klass, grid = _cluster(pairs, n_items, size, place)
+    rest = np.ones(len(hashed), bool)
+    rest[own] = False
+    rest[hashed == END] = False
+    size[len(words) : -1] = pool_n + np.bincount(in_pool[rest], weights=n[rest], minlength=POOLS)
+    item_class = _cluster(pairs, n_items, size, np.argsort(-size[: len(words)], kind="stable"))
+    pools = item_class[len(words) : -1].astype(np.uint8)
+    klass = pools[in_pool]
+    klass[own] = item_class[: len(words)]
+    klass[hashed == END] = CLASSES - 1
+    for _ in range(PASSES if rest.any() else 0):
+        _assign(docs, hashed, klass, pools, rest, _grid(docs, hashed, klass, pools))
+    grid = _grid(docs, hashed, klass, pools)
     share = (grid.sum(0) + 1) / (grid.sum() + CLASSES)
     move = np.log10((grid + CLASSES * share[None, :]) / (grid.sum(1)[:, None] + CLASSES))
-    smooth = size + 0.5
-    emit = np.log10(smooth / np.bincount(klass, weights=smooth, minlength=CLASSES)[klass])
-    order = np.argsort(hashed)
-    item = np.full(len(hashed), -1, np.int64)
-    item[own] = place
-    model = Model(hashed[order], n[order], item[order], klass, move, emit, np.log10(pool_n + pool_kinds + 1), int(tokens), int(kinds))
-    return model, counts.select("w", "n")
+    weight = np.bincount(klass, weights=n + 0.5, minlength=CLASSES) + np.bincount(pools, weights=pool_n + 0.5, minlength=CLASSES)
+    emit = np.log10((n + 0.5) / weight[klass]) if len(n) else np.zeros(0)
+    model = Model(hashed, n, klass, pools, move, emit, np.log10((pool_n + 0.5) / weight[pools]), np.log10(pool_n + pool_kinds + 1), int(tokens), int(kinds))
+    return model, counts.filter(F.col("n") < least).select("w", "n")
+
+
+def _grid(docs: DataFrame, words: np.ndarray, klass: np.ndarray, pools: np.ndarray) -> np.ndarray:
+    """Class bigrams of all texts."""
+    sent = docs.sparkSession.sparkContext.broadcast((words, klass, pools))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            data, offs = vectext.raw(batch.column("text"))
+            for i, j in vectext.chunks(offs):
+                hashed, pool, _ = _tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                k = _classes(*sent.value, hashed, pool).astype(np.int64)
+                total += np.bincount(np.concatenate([[CLASSES - 1], k[:-1]]) * CLASSES + k, minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
+
+    cells = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    grid = np.zeros(CLASSES * CLASSES)
+    grid[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    sent.unpersist()
+    return grid.reshape(CLASSES, CLASSES)
+
+
+def _assign(docs: DataFrame, words: np.ndarray, klass: np.ndarray, pools: np.ndarray, rest: np.ndarray, grid: np.ndarray) -> None:
+    """Move the ``rest`` of ``words``, in place, each to the class in which what stands around it is likeliest."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((words, klass.copy(), pools, rest))
+
+    def around(data, offs):
+        hashed, pool, _ = _tokens(data, offs)
+        words, klass, pools, rest = sent.value
+        k = _classes(words, klass, pools, hashed, pool).astype(np.int64)
+        at = np.minimum(np.searchsorted(words, hashed), len(words) - 1)
+        mine = np.flatnonzero((words[at] == hashed) & rest[at])
+        left = np.where(mine > 0, k[mine - 1], CLASSES - 1)
+        right = k[np.minimum(mine + 1, len(k) - 1)]  # after a word there is always an end at least
+        key = np.concatenate([at[mine] * 2 * CLASSES + left, at[mine] * 2 * CLASSES + CLASSES + right])
+        return key.astype(np.uint64), np.zeros(len(key), np.int32)
+
+    run = _gathered(around, "key long, zero int, n long", ["key", "zero", "n"])
+    cells = docs.select("text").mapInArrow(run, "key long, zero int, n long").select(F.expr(f"key div {2 * CLASSES}").alias("w"), (F.col("key") % (2 * CLASSES)).alias("cell"), "n")
+    log = np.log(grid + 0.1)
+    log = np.concatenate([log - np.log(grid.sum(0) + 6.4)[None, :], log.T - np.log(grid.sum(1) + 6.4)[None, :]])  # (before, class) and (after, class), a class's own size taken out
+    log[:, -1] = -np.inf
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, cell, n = (batch.column(c).to_numpy() for c in ("w", "cell", "n"))
+            begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+            gain = np.add.reduceat(log[cell] * n[:, None], begin, axis=0) if len(w) else np.zeros((0, CLASSES))
+            yield pa.RecordBatch.from_arrays([pa.array(w[begin]), pa.array(gain.tolist(), pa.list_(pa.float64()))], ["w", "gain"])
+
+    # a word's cells lie together in a task; where a batch ends within a word its parts are added up
+    dealt = cells.groupBy("w", "cell").agg(F.sum("n").alias("n")).repartition("w").sortWithinPartitions("w")
+    gains = dealt.mapInArrow(best, "w long, gain array<double>").groupBy("w").agg(F.array(*[F.sum(F.col("gain")[i]) for i in range(CLASSES - 1)]).alias("gain"))
+    found = gains.select("w", (F.array_position("gain", F.array_max("gain")) - 1).cast("int").alias("k")).toArrow()  # at most TOP rows
+    klass[found.column("w").to_numpy()] = found.column("k").to_numpy()
+    sent.unpersist()
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -225,28 +355,22 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         m, row = sent.value, TaskContext.get().partitionId() << 40
-        n_words = len(m.klass) - POOLS - 1
         base_of = np.log10(m.tokens + m.kinds + 1)
         for batch in batches:
             data, offs = vectext.raw(batch.column("text"))
             for i, j in vectext.chunks(offs):
                 hashed, pool, first = _tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                if len(m.words):
-                    at, there = m.look(hashed)
-                else:
-                    at, there = np.zeros(len(hashed), np.int64), np.zeros(len(hashed), bool)
-                count = np.where(there, m.counts[at], 0) if len(m.words) else np.zeros(len(hashed), np.int64)
-                item = np.where(there, m.item[at], -1) if len(m.words) else np.full(len(hashed), -1)
+                at, there = m.look(hashed)
                 end = hashed == END
-                pooled = (item < 0) & ~end
-                item = np.where(pooled, n_words + pool, item)
-                item[end] = len(m.klass) - 1
-                k = m.klass[item]
-                k_before = np.concatenate([[len(m.move) - 1], k[:-1]])
+                pooled = ~there & ~end
+                k = np.where(end, CLASSES - 1, m.pools[pool]).astype(np.int64)
+                count, emit = np.zeros(len(hashed), np.int64), np.where(end, 0.0, m.emit_pool[pool] - m.size[pool])
+                k[there], count[there], emit[there] = m.klass[at[there]], m.counts[at[there]], m.emit[at[there]]
+                k_before = np.concatenate([[CLASSES - 1], k[:-1]])
                 log_count = np.log10(count + 1.0)
-                value = m.move[k_before, k] + m.emit[item] + np.where(pooled, log_count - m.pool[pool], 0.0)
+                value = m.move[k_before, k] + emit
                 starts = first[:-1]
-                rare = ~there & ~end
+                rare = pooled
                 n_rare = np.add.reduceat(rare.astype(np.int64), starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + np.arange(j - i)), batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first)), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(log_count - base_of, starts)), pa.array(np.add.reduceat(value, starts)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)), pa.array(hashed[rare].view(np.int64)))],
@@ -263,14 +387,21 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
 
 
+def perplexity(rows: DataFrame, *by: str) -> DataFrame:
+    """Perplexity by token of scored documents, for each group of the columns ``by``: by the model and by the base."""
+    tokens = F.sum("n_tokens")
+    return rows.groupBy(*by).agg(tokens.alias("n_tokens"), F.pow(F.lit(10.0), -F.sum("score") / tokens).alias("perplexity"), F.pow(F.lit(10.0), -F.sum("base_score") / tokens).alias("base_perplexity"))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     The model learns from the rows that are not held out. Scores are log10 probabilities of whole texts
     with their end token; null text is empty and has the end alone. A word that was not seen has the
     probability of one more word in its pool (score) or in the whole (base_score). Rows are independent:
-    repeated rows count and are scored each. Other columns are ignored. Without training rows every token
-    is unknown.
+    repeated rows count and are scored each. Very long texts are scored in one task each. Words that tie
+    in count are in classes all or none. Other columns are ignored. Without training rows every token is
+    unknown; an empty table gives an empty result.
     """
     model, counts = train(docs.filter(~held_out(F.col("doc_id"))))
     rows = score(docs, model, counts)
