@@ -105,13 +105,11 @@ class Model:
         return at, self.words[at] == hashed
 
 
-def _classes(words: np.ndarray, klass: np.ndarray, pools: np.ndarray, hashed: np.ndarray, pool: np.ndarray) -> np.ndarray:
-    """Class of each token: its own or its pool's."""
-    out = pools[pool]
-    if len(words):
-        at = np.minimum(np.searchsorted(words, hashed), len(words) - 1)
-        out = np.where(words[at] == hashed, klass[at], out)
-    return np.where(hashed == END, CLASSES - 1, out)
+def _classes(words: np.ndarray, klass: np.ndarray, pools: np.ndarray, hashed: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each token, its own or its pool's; its place in ``words``, and whether it is there."""
+    at = np.minimum(np.searchsorted(words, hashed), len(words) - 1)
+    there = words[at] == hashed
+    return np.where(there, klass[at], np.where(hashed == END, CLASSES - 1, pools[pool])).astype(np.int64), at, there
 
 
 def _items(words: np.ndarray, hashed: np.ndarray, pool: np.ndarray) -> np.ndarray:
@@ -175,8 +173,8 @@ def exchange(klass: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np
     return moved
 
 
-def _cluster(bigrams: DataFrame, n_items: int, size: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Class of each item. The end has a class of its own, the last one."""
+def _cluster(bigrams: DataFrame, n_items: int, size: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each item, and the class bigrams. The end has a class of its own, the last one."""
     spark = bigrams.sparkSession
     klass = np.full(n_items, CLASSES - 2, np.int64)
     klass[seeds[: CLASSES - 2]] = np.arange(min(len(seeds), CLASSES - 2))
@@ -213,10 +211,10 @@ def _cluster(bigrams: DataFrame, n_items: int, size: np.ndarray, seeds: np.ndarr
         grid = np.zeros((CLASSES, CLASSES))
         np.add.at(grid, klass, after)
         if best is None or likelihood(grid) > best[0]:
-            best = likelihood(grid), klass.copy()
+            best = likelihood(grid), klass.copy(), grid
         if round_ == ROUNDS or not exchange(klass, after, before, twice, order):
             break
-    return best[1]
+    return best[1], best[2]
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -270,14 +268,15 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     rest[own] = False
     rest[hashed == END] = False
     size[len(words) : -1] = pool_n + np.bincount(in_pool[rest], weights=n[rest], minlength=POOLS)
-    item_class = _cluster(pairs, n_items, size, np.argsort(-size[: len(words)], kind="stable"))
+    item_class, grid = _cluster(pairs, n_items, size, np.argsort(-size[: len(words)], kind="stable"))
     pools = item_class[len(words) : -1].astype(np.uint8)
     klass = pools[in_pool]
     klass[own] = item_class[: len(words)]
     klass[hashed == END] = CLASSES - 1
     for _ in range(PASSES if rest.any() else 0):
-        _assign(docs, hashed, klass, pools, rest, _grid(docs, hashed, klass, pools))
-    grid = _grid(docs, hashed, klass, pools)
+        _assign(docs, hashed, klass, pools, rest, grid)
+    if rest.any():
+        grid = _grid(docs, hashed, klass, pools)
     share = (grid.sum(0) + 1) / (grid.sum() + CLASSES)
     move = np.log10((grid + CLASSES * share[None, :]) / (grid.sum(1)[:, None] + CLASSES))
     weight = np.bincount(klass, weights=n + 0.5, minlength=CLASSES) + np.bincount(pools, weights=pool_n + 0.5, minlength=CLASSES)
@@ -296,7 +295,7 @@ def _grid(docs: DataFrame, words: np.ndarray, klass: np.ndarray, pools: np.ndarr
             data, offs = vectext.raw(batch.column("text"))
             for i, j in vectext.chunks(offs):
                 hashed, pool, _ = _tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                k = _classes(*sent.value, hashed, pool).astype(np.int64)
+                k, _, _ = _classes(*sent.value, hashed, pool)
                 total += np.bincount(np.concatenate([[CLASSES - 1], k[:-1]]) * CLASSES + k, minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
@@ -316,9 +315,8 @@ def _assign(docs: DataFrame, words: np.ndarray, klass: np.ndarray, pools: np.nda
     def around(data, offs):
         hashed, pool, _ = _tokens(data, offs)
         words, klass, pools, rest = sent.value
-        k = _classes(words, klass, pools, hashed, pool).astype(np.int64)
-        at = np.minimum(np.searchsorted(words, hashed), len(words) - 1)
-        mine = np.flatnonzero((words[at] == hashed) & rest[at])
+        k, at, there = _classes(words, klass, pools, hashed, pool)
+        mine = np.flatnonzero(there & rest[at])
         left = np.where(mine > 0, k[mine - 1], CLASSES - 1)
         right = k[np.minimum(mine + 1, len(k) - 1)]  # after a word there is always an end at least
         key = np.concatenate([at[mine] * 2 * CLASSES + left, at[mine] * 2 * CLASSES + CLASSES + right])
@@ -337,8 +335,8 @@ def _assign(docs: DataFrame, words: np.ndarray, klass: np.ndarray, pools: np.nda
             gain = np.add.reduceat(log[cell] * n[:, None], begin, axis=0) if len(w) else np.zeros((0, CLASSES))
             yield pa.RecordBatch.from_arrays([pa.array(w[begin]), pa.array(gain.tolist(), pa.list_(pa.float64()))], ["w", "gain"])
 
-    # a word's cells lie together in a task; where a batch ends within a word its parts are added up
-    dealt = cells.groupBy("w", "cell").agg(F.sum("n").alias("n")).repartition("w").sortWithinPartitions("w")
+    # a word's cells, few for each task that counted, lie together; where a batch ends within a word its parts are added up
+    dealt = cells.repartition("w").sortWithinPartitions("w")
     gains = dealt.mapInArrow(best, "w long, gain array<double>").groupBy("w").agg(F.array(*[F.sum(F.col("gain")[i]) for i in range(CLASSES - 1)]).alias("gain"))
     found = gains.select("w", (F.array_position("gain", F.array_max("gain")) - 1).cast("int").alias("k")).toArrow()  # at most TOP rows
     klass[found.column("w").to_numpy()] = found.column("k").to_numpy()
