@@ -329,16 +329,27 @@ def _assign(docs: DataFrame, words: np.ndarray, klass: np.ndarray, pools: np.nda
     log[:, -1] = -np.inf
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(w, gain):
+            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(gain.argmax(1).astype(np.int32))], ["w", "k"])
+
+        last, held = np.zeros(0, np.int64), np.zeros((0, CLASSES))  # a word that may go on in the next batch
         for batch in batches:
             w, cell, n = (batch.column(c).to_numpy() for c in ("w", "cell", "n"))
-            begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
-            gain = np.add.reduceat(log[cell] * n[:, None], begin, axis=0) if len(w) else np.zeros((0, CLASSES))
-            yield pa.RecordBatch.from_arrays([pa.array(w[begin]), pa.array(gain.tolist(), pa.list_(pa.float64()))], ["w", "gain"])
-
-    # a word's cells, few for each task that counted, lie together; where a batch ends within a word its parts are added up
+            if not len(w):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            gain = np.add.reduceat(log[cell] * n[:, None], begin, axis=0)
+            if len(last) and last[0] == w[0]:
+                gain[0] += held[0]
+            elif len(last):
+                yield out(last, held)
+            yield out(w[begin[:-1]], gain[:-1])
+            last, held = w[begin[-1:]].copy(), gain[-1:].copy()
+        yield out(last, held)
+
+    # a word's cells, few for each task that counted, lie together in one task
     dealt = cells.repartition("w").sortWithinPartitions("w")
-    gains = dealt.mapInArrow(best, "w long, gain array<double>").groupBy("w").agg(F.array(*[F.sum(F.col("gain")[i]) for i in range(CLASSES - 1)]).alias("gain"))
-    found = gains.select("w", (F.array_position("gain", F.array_max("gain")) - 1).cast("int").alias("k")).toArrow()  # at most TOP rows
+    found = dealt.mapInArrow(best, "w long, k int").toArrow()  # at most TOP rows
     klass[found.column("w").to_numpy()] = found.column("k").to_numpy()
     sent.unpersist()
 
