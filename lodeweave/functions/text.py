@@ -27,7 +27,7 @@ def hits(tokens: Column, text: Column) -> Column:
 
 def symbols(text: Column) -> Column:
     """Distinct capitalised ASCII words of a text, after a blank and before a blank, full stop or comma."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|[ \n])([A-Z][a-z]{3,})[ \n.,]"), 1))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|[ \n])([A-Z][a-z]{3,})(?=[ \n.,])"), 1))
 
 
 def artifact_name(path: Column) -> Column:
@@ -55,3 +55,29 @@ def around(text: Column, token: str, before: int, after: int, most: int) -> Colu
     at = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit(token))), True).cast("int")
     first = F.greatest(at - before, F.lit(1))
     return F.when(at > 0, F.array_join(F.slice(lines, first, at + after - first + 1), "\n")).otherwise(F.substring(text, 1, most))
+
+
+def usage(text: Column, token: Column, around_lines: int) -> Column:
+    """The first line that holds ``token`` with as many lines before and after; null where none does."""
+    lines = F.split(text, "\n")
+    at = F.array_position(F.transform(lines, lambda x: F.contains(x, token)), True).cast("int")
+    first = F.greatest(at - around_lines, F.lit(1))
+    return F.when(at > 0, F.array_join(F.slice(lines, first, at + around_lines - first + 1), "\n"))
+
+
+def without_fence(reply: Column) -> Column:
+    """A reply without the code fence around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(reply), "^```[a-z]*\n?", ""), "\n?```$", ""))
+
+
+def has_cjk(text: Column) -> Column:
+    return text.rlike("[\u4e00-\u9fff]")
+
+
+def simple_name(qualified: Column) -> Column:
+    return F.element_at(F.split(qualified, r"\."), -1)
+
+
+def version_key(version: Column) -> Column:
+    """Numbers of a version; arrays of them order as versions do."""
+    return F.transform(F.split(F.regexp_replace(version, "^v", ""), r"\."), lambda x: x.cast("int"))

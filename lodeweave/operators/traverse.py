@@ -5,40 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def levels(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth): nodes that reach a ``start`` node (column node) in at most ``max_depth`` steps, by least depth.
 
-    Level n + 1 is what calls level n and was not seen before; the plan has ``max_depth`` joins and
-    stays lazy. Cycles end because seen nodes are left out.
+    Level n + 1 is what calls level n and was not seen before. Each frontier is written, so that plans do not
+    grow with the depth; an empty one ends the walk, and cycles end because seen nodes are left out.
     """
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    step = edges.select(F.col("src").alias("next"), F.col("dst").alias("node"))
+    step = written(edges.select(F.col("src").alias("next"), F.col("dst").alias("node")))
+    frontier = seen = written(start.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         frontier = step.join(frontier.select("node"), "node").select(F.col("next").alias("node")).distinct()
-        frontier = frontier.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionAll(frontier)
-    return seen
-
-
-def _written(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
-def written_levels(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """As ``levels``, for many steps: each frontier is written, so that plans do not grow, and an empty one ends it."""
-    step = _written(edges.select(F.col("src").alias("next"), F.col("dst").alias("node")))
-    frontier = seen = _written(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
-        frontier = step.join(frontier.select("node"), "node").select(F.col("next").alias("node")).distinct()
-        frontier = _written(frontier.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = written(frontier.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionAll(frontier)
     return seen
 
 
+def tree(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
+    """(parent, child, depth, expanded) below the start nodes (column node): every edge from a reached node once,
+    at the node's least depth; only the first edge, by (depth, parent), that leads to a child expands it."""
+    reached = levels(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, max_depth - 1)
+    rows = edges.join(reached, edges.src == reached.node).select(F.col("src").alias("parent"), F.col("dst").alias("child"), (F.col("depth") + 1).alias("depth"))
+    first = rows.groupBy("child").agg(F.min(F.struct("depth", "parent")).alias("first"))
+    start = start.select(F.col("node").alias("child"), F.lit(True).alias("is_start")).distinct()
+    expands = (F.col("first.depth") == F.col("depth")) & (F.col("first.parent") == F.col("parent")) & F.col("is_start").isNull()
+    return rows.join(first, "child").join(start, "child", "left").select("parent", "child", "depth", expands.alias("expanded"))
+
+
 def paths(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(entry, depth, path): all simple paths of at most ``max_depth`` steps that end in a start node."""
     here = start.select("node").distinct().select(F.col("node").alias("entry"), F.array("node").alias("path"))

@@ -104,7 +104,7 @@ def definition_snippet(spark, d):
 
 
 def numbered_lines(spark, d):
-    return _lines(spark, d).filter("pos <= 3").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: F.concat(x["pos"].cast("string"), F.lit(": "), x["line"])), "\n").alias("numbered"))
+    return _lines(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: F.concat(x["pos"].cast("string"), F.lit(": "), x["line"])), "\n").alias("numbered"))
 
 
 def macro_like_lines(spark, d):
@@ -221,11 +221,11 @@ ORACLES = {
     "comment_strip": "select page_id, length(regexp_replace(html, '<!--.*?-->', '', 'g')) as n_chars from pages",
     "line_range_snippet": "select doc_id, substr(array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)), 1, 3000) as snippet from documents",
     "definition_snippet": f"with f as (select doc_id, min(pos) as hit from {_LINES} where contains(line, 'the ') group by 1) select d.doc_id, case when hit is null then substr(text, 1, 800) else array_to_string(list_slice(string_split(text, chr(10)), greatest(hit - 2, 1), hit + 20), chr(10)) end as snippet from documents d left join f on d.doc_id = f.doc_id",
-    "numbered_lines": f"select doc_id, string_agg(cast(pos as varchar) || ': ' || line, chr(10) order by pos, line) as numbered from {_LINES} where pos <= 3 group by 1",
+    "numbered_lines": f"select doc_id, string_agg(cast(pos as varchar) || ': ' || line, chr(10) order by pos, line) as numbered from {_LINES} group by 1",
     "macro_like_lines": f"select doc_id, count(*) as n, min(pos) as first_pos from {_LINES} where regexp_matches(line, '^[A-Z][a-z]+ ') group by 1",
     "first_sentence": "select doc_id, regexp_extract(text, '^([^.!?]*[.!?])', 1) as sentence from documents",
     "strip_markdown": r"select conv_id, turn, regexp_replace(regexp_replace(text, '[*`#]+', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g') as plain from conversations",
-    "symbols_first_occurrence": r"select doc_id, string_agg(symbol, ',' order by place) as symbols from (select doc_id, symbol, min(place) as place from (select doc_id, unnest(s) as symbol, generate_subscripts(s, 1) as place from (select doc_id, regexp_extract_all(text, '(?:^|[ \n])([A-Z][a-z]{3,})[ \n.,]', 1) as s from documents)) group by 1, 2) group by 1",
+    "symbols_first_occurrence": r"select doc_id, string_agg(symbol, ',' order by place) as symbols from (select doc_id, symbol, min(place) as place from (select doc_id, unnest(s) as symbol, generate_subscripts(s, 1) as place from (select doc_id, regexp_extract_all(replace(replace(text, chr(10), '  '), ' ', '  '), '(?:^|[ ])([A-Z][a-z]{3,})[ .,]', 1) as s from documents)) group by 1, 2) group by 1",
     "small_docs_skip": "select source, count(*) as n from documents where length(text) >= 30 group by 1 having count(*) >= 3",
     "doc_by_level": "select doc_id, source from documents where lang = 'en' and n_chars > 2000",
     "not_null_projection": "select doc_id, lang from documents where lang is not null and text is not null",

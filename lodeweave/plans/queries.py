@@ -216,8 +216,8 @@ def affected_callers(spark, d):
 
 
 def pure_callers(spark, d):
-    edges = calls(spark, d)
-    return edges.select(F.col("src").alias("node_id")).distinct().join(edges.filter("indirect").select(F.col("dst").alias("node_id")), "node_id", "left_anti")
+    changed = functions(spark, d).filter("start_line > 45").select("node_id")
+    return affected_callers(spark, d).join(changed, "node_id", "left_anti")
 
 
 def events_dedup(spark, d):
@@ -253,10 +253,10 @@ select s.call_id, b.qn, b.priority from s left join b on s.call_id = b.call_id a
     "trace_levels": f"with recursive {CALLS}, {_UP} select node, min(depth) as depth from up group by node",
     "trace_paths": f"with {CALLS} select src as entry, 1 as depth, cast(src as varchar) || '>{TARGET}' as path from calls where dst = {TARGET} and src <> {TARGET} union all select b.src, 2, cast(b.src as varchar) || '>' || cast(a.src as varchar) || '>{TARGET}' from calls a join calls b on b.dst = a.src where a.dst = {TARGET} and a.src <> {TARGET} and b.src not in (a.src, {TARGET})",
     "containment_reach": "select 'region:1' as node, 0 as depth union all select 'nation:' || cast(n_nationkey as varchar), 1 from nation where n_regionkey = 1 union all select 'customer:' || cast(c_custkey as varchar), 2 from customer join nation on c_nationkey = n_nationkey where n_regionkey = 1",
-    "knn_cosine": "select vec_id, label, round(list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 0)), 4) as score from embeddings order by score desc, vec_id limit 5",
-    "knn_filtered": "select vec_id, round(list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 1)), 4) as score from embeddings where label = 2 order by score desc, vec_id limit 5",
+    "knn_cosine": "select vec_id, label, round(list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 0)), 4) as score from embeddings order by list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 0)) desc, vec_id limit 5",
+    "knn_filtered": "select vec_id, round(list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 1)), 4) as score from embeddings where label = 2 order by list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 1)) desc, vec_id limit 5",
     "keyword_fallback": "select node_id, score from (select p_partkey as node_id, " + " + ".join(f"case when contains(lower(p_name), '{w}') then 1.0::double when contains(lower(p_type), '{w}') then 0.5::double else 0.0::double end" for w in sorted(QUERY.split())) + " as score from part) where score > 0 order by score desc, node_id limit 20",
-    "symbol_index": r"select symbol, count(distinct doc_id) as n_docs, min(doc_id) as first_doc from (select doc_id, unnest(regexp_extract_all(text, '(?:^|[ \n])([A-Z][a-z]{3,})[ \n.,]', 1)) as symbol from documents) group by symbol",
+    "symbol_index": r"select symbol, count(distinct doc_id) as n_docs, min(doc_id) as first_doc from (select doc_id, unnest(regexp_extract_all(replace(replace(text, chr(10), '  '), ' ', '  '), '(?:^|[ ])([A-Z][a-z]{3,})[ .,]', 1)) as symbol from documents) group by symbol",
     "language_stats": "select lang, count(*) as n_files, cast(sum(n_chars) as bigint) as n_chars from documents group by lang",
     "resume_unprocessed": "select doc_id, lang from documents where doc_id not in (select doc_id from labels)",
     "upsert_last_wins": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1",
@@ -274,6 +274,6 @@ select s.call_id, b.qn, b.priority from s left join b on s.call_id = b.call_id a
     "class_hierarchy": "select r_regionkey, r_name, (select string_agg(n_name, ',' order by n_name) from nation where n_regionkey = r_regionkey) as children from region",
     "neighbours_both": f"with {CALLS} select src as node_id from calls where dst = {TARGET} union select dst from calls where src = {TARGET}",
     "affected_callers": f"with {FN}, {CALLS} select distinct src as node_id from calls where dst in (select node_id from fn where start_line > 45)",
-    "pure_callers": f"with {CALLS} select distinct src as node_id from calls where src not in (select dst from calls where indirect)",
+    "pure_callers": f"with {FN}, {CALLS} select distinct src as node_id from calls where dst in (select node_id from fn where start_line > 45) and src not in (select node_id from fn where start_line > 45)",
     "events_dedup": "select user_id, event_type, min(event_id) as first_event, count(*) as n from events group by 1, 2",
 }

@@ -12,9 +12,6 @@ from .queries import CALLS, FN, QUERY, TARGET
 
 GONE = (3, 9, 27)
 DEPTH = 10  # steps of a whole trace
-DAG_BELOW = 300  # the acyclic part of the call graph: ascending edges between keys below it
-ROOTS_BELOW = 1  # callers that count for the modules nobody calls
-_DAG = f"dag as (select src, dst from calls where src < dst and dst < {DAG_BELOW})"
 
 
 def _listed(key: str, *parts, sep: str):
@@ -22,10 +19,6 @@ def _listed(key: str, *parts, sep: str):
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, F.concat(*parts).alias("_t")))), lambda x: x["_t"]), sep)
 
 
-def _dag(spark, d):
-    return calls(spark, d).filter((F.col("src") < F.col("dst")) & (F.col("dst") < DAG_BELOW)).select("src", "dst")
-
-
 def node_by_qn(spark, d):
     return functions(spark, d).filter(F.col("qualified_name") == "Brand#17.1").select("node_id", "kind", "start_line")
 
@@ -130,12 +123,6 @@ def nested_ancestors(spark, d):
     return table(spark, d, "customer").join(up, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat_ws("/", "r_name", "n_name", "c_name").alias("path"))
 
 
-def root_modules(spark, d):
-    fn, edges = functions(spark, d), calls(spark, d).filter(f"src < {ROOTS_BELOW}")
-    called = edges.join(fn.select(F.col("node_id").alias("dst"), "module_qn"), "dst").select("module_qn")
-    return fn.select("module_qn").distinct().join(called, "module_qn", "left_anti")
-
-
 def names_difference(spark, d):
     small = functions(spark, d).filter("start_line < 5").select("name")
     return functions(spark, d).select("name").subtract(small)
@@ -155,7 +142,7 @@ def concat_heterogeneous(spark, d):
 
 def predicates_sorted(spark, d):
     order = Window.partitionBy("module_qn").orderBy(F.desc("start_line"), "node_id")
-    return functions(spark, d).select("module_qn", "node_id", F.row_number().over(order).cast("long").alias("pos")).filter("pos <= 10")
+    return functions(spark, d).select("module_qn", "node_id", F.row_number().over(order).cast("long").alias("pos"))
 
 
 def build_summary(spark, d):
@@ -186,27 +173,25 @@ def knn_batch(spark, d):
     rows = table(spark, d, "embeddings")
     queries = rows.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     # three query vectors go to all rows
-    scored = rows.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(text.cosine(F.col("embedding"), F.col("q")), 4))
+    scored = rows.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).withColumn("score", text.cosine(F.col("embedding"), F.col("q")))
     best = graph.first_n(scored.select("query_id", "vec_id", "score"), ["query_id"], [F.desc("score"), F.col("vec_id")], 4)
-    return best.select("query_id", "vec_id", "score")
+    return best.select("query_id", "vec_id", F.round("score", 4).alias("score"))
 
 
 def knn_batch_whole(spark, d):
     rows = table(spark, d, "embeddings")
     queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     # partitions of queries meet partitions of rows; the best of each partition are kept before the shuffle
-    scored = rows.join(queries.hint("shuffle_replicate_nl"), F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(text.cosine(F.col("embedding"), F.col("q")), 4))
+    scored = rows.join(queries.hint("shuffle_replicate_nl"), F.col("vec_id") != F.col("query_id")).withColumn("score", text.cosine(F.col("embedding"), F.col("q")))
     best = graph.first_n(scored.select("query_id", "vec_id", "score"), ["query_id"], [F.desc("score"), F.col("vec_id")], 4)
-    return best.select("query_id", "vec_id", "score")
+    return best.select("query_id", "vec_id", F.round("score", 4).alias("score"))
 
 
 def hybrid_search(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
-    query = rows.filter("node_id = 2").select(F.col("embedding").alias("q")).limit(1)
-    scored = rows.join(F.broadcast(query), F.lit(True)).join(functions(spark, d), "node_id")  # one query vector
-    words = F.array(*[F.lit(w) for w in sorted(QUERY.split())])
-    score = F.round(F.lit(0.7) * text.cosine(F.col("embedding"), F.col("q")) + F.lit(0.3) * text.hits(words, F.col("name")) / len(QUERY.split()), 4)
-    return scored.select("node_id", score.alias("score")).orderBy(F.desc("score"), "node_id").limit(10)
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    query = rows.filter("vec_id = 2").select(F.col("embedding").alias("q"))
+    named = functions(spark, d).select(F.col("node_id").alias("vec_id"), F.concat_ws(" ", "name", "kind", "module_qn").alias("haystack"))
+    return vectors.hybrid(rows.join(named, "vec_id"), query, QUERY, 10, F.col("label").isin(0, 1, 2)).select(F.col("vec_id").alias("node_id"), "score")
 
 
 def call_tree_depth2(spark, d):
@@ -216,16 +201,9 @@ def call_tree_depth2(spark, d):
 
 
 def trace_entry_points(spark, d):
-    edges = _dag(spark, d)
-    start = edges.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("node"))
-    reached = traverse.levels(edges, start, 4)
-    return reached.join(edges.select(F.col("dst").alias("node")), "node", "left_anti").select(F.col("node").alias("entry"), F.col("depth").cast("long").alias("depth"))
-
-
-def trace_entry_points_whole(spark, d):
     edges = calls(spark, d).select("src", "dst")
     start = edges.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("node"))
-    reached = traverse.written_levels(edges, start, DEPTH).filter("depth > 0")
+    reached = traverse.levels(edges, start, DEPTH).filter("depth > 0")
     called = edges.select(F.col("dst").alias("node"), F.lit(True).alias("called")).distinct()
     # nodes at the limit count as entry points even if they are called
     found = reached.join(called, "node", "left").filter(F.col("called").isNull() | (F.col("depth") == DEPTH))
@@ -234,11 +212,11 @@ def trace_entry_points_whole(spark, d):
 
 def trace_levels_whole(spark, d):
     start = functions(spark, d).filter(F.col("node_id") == TARGET).select(F.col("node_id").alias("node"))
-    found = traverse.written_levels(calls(spark, d), start, DEPTH)
+    found = traverse.levels(calls(spark, d), start, DEPTH)
     return found.select("node", "depth", (F.col("depth") == DEPTH).alias("at_limit"))
 
 
-def root_modules_whole(spark, d):
+def root_modules(spark, d):
     fn = functions(spark, d)
     called = calls(spark, d).join(fn.select(F.col("node_id").alias("dst"), "module_qn"), "dst").select("module_qn")
     return fn.select("module_qn").distinct().join(called, "module_qn", "left_anti")
@@ -280,7 +258,9 @@ def mask_and_clock(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.concat(F.substring("c_name", 1, 4), F.lit("****"), F.expr("right(c_name, 2)")).alias("masked"), F.format_string("%02d:%02d", F.floor(F.col("c_custkey") / 60) % 24, F.col("c_custkey") % 60).alias("clock"))
 
 
-QUERIES = {f.__name__: f for f in (node_by_qn, prefix_suffix_search, registry_remove, prefix_subtree, types_any, metadata_all_match, locate_by_name, call_pairs, callers_with_props, edges_bound_endpoints, bind_edges_dedup, functions_optional_module, caller_module_tag, function_context, visibility_cascade, ownership_hints, signature_text, struct_signature, enclosing_interval, nested_ancestors, root_modules, root_modules_whole, names_difference, path_difference, concat_heterogeneous, predicates_sorted, build_summary, vector_stats, vector_node_join, store_delete_by_id, hits_enriched, knn_batch, knn_batch_whole, hybrid_search, call_tree_depth2, trace_entry_points, trace_entry_points_whole, trace_levels_whole, coerce_node_props, export_nodes_json, project_delete, doc_pages_module, doc_index, trace_page_names, snippet_default_end, mask_and_clock)}
+QUERIES = {f.__name__: f for f in (node_by_qn, prefix_suffix_search, registry_remove, prefix_subtree, types_any, metadata_all_match, locate_by_name, call_pairs, callers_with_props, edges_bound_endpoints, bind_edges_dedup, functions_optional_module, caller_module_tag, function_context, visibility_cascade, ownership_hints, signature_text, struct_signature, enclosing_interval, nested_ancestors, root_modules, names_difference, path_difference, concat_heterogeneous, predicates_sorted, build_summary, vector_stats, vector_node_join, store_delete_by_id, hits_enriched, knn_batch, knn_batch_whole, hybrid_search, call_tree_depth2, trace_entry_points, trace_levels_whole, coerce_node_props, export_nodes_json, project_delete, doc_pages_module, doc_index, trace_page_names, snippet_default_end, mask_and_clock)}
+
+QUERIES |= {"root_modules_whole": root_modules, "trace_entry_points_whole": trace_entry_points}
 
 
 def _like(query: int) -> str:
@@ -308,24 +288,22 @@ ORACLES = {
     "struct_signature": f"with {FN} select module_qn, 'struct {{' || string_agg(name, '; ' order by node_id) || '}}' as signature from fn group by 1",
     "enclosing_interval": f"with {FN} select start_line, arg_max(n_name, n_nationkey) as innermost, count(*) as depth from (select distinct start_line from fn) join nation on start_line between n_nationkey * 2 and n_nationkey * 2 + 6 group by 1",
     "nested_ancestors": "select c_custkey, r_name || '/' || n_name || '/' || c_name as path from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
-    "root_modules": f"with {FN}, {CALLS} select distinct module_qn from fn where module_qn not in (select module_qn from calls join fn on dst = node_id where src < {ROOTS_BELOW})",
     "names_difference": f"with {FN} select name from fn except select name from fn where start_line < 5",
     "path_difference": f"with {CALLS} select src, count(*) as n_one_way from (select src, dst from calls except select dst, src from calls) group by 1",
     "concat_heterogeneous": "select segment, count(*) as n, min(name) as first_name from (select c_name as name, c_mktsegment as segment from customer union all by name select s_name as name from supplier) group by 1",
-    "predicates_sorted": f"with {FN} select module_qn, node_id, row_number() over (partition by module_qn order by start_line desc, node_id) as pos from fn qualify pos <= 10",
+    "predicates_sorted": f"with {FN} select module_qn, node_id, row_number() over (partition by module_qn order by start_line desc, node_id) as pos from fn",
     "build_summary": "select o_orderpriority, count(*) as n, count(*) filter (o_orderstatus = 'F') as n_f, count(*) filter (o_orderstatus = 'O') as n_o, count(distinct o_custkey) as n_customers from orders group by 1",
     "vector_stats": "select label, count(*) as n, min(len(embedding)) as least_size, max(len(embedding)) as most_size from embeddings group by 1",
     "vector_node_join": f"with {FN} select node_id, label, qualified_name from embeddings join fn on vec_id = node_id",
     "store_delete_by_id": f"select label, count(*) as n, min(vec_id) as first_id from embeddings where vec_id not in {GONE} group by 1",
-    "hits_enriched": f"with {FN}, h as (select vec_id, round({_like(4)}, 4) as score from embeddings order by score desc, vec_id limit 8) select vec_id, score, qualified_name from h left join fn on vec_id = node_id",
-    "knn_batch": "select query_id, vec_id, score from (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])), 4) as score from embeddings e join embeddings q on q.vec_id < 3 and e.vec_id <> q.vec_id) qualify row_number() over (partition by query_id order by score desc, vec_id) <= 4",
-    "hybrid_search": f"with {FN} select node_id, round(0.7::double * {_like(2)} + 0.3::double * (" + " + ".join(f"contains(name, '{w}')::int" for w in sorted(QUERY.split())) + f") / {len(QUERY.split())}, 4) as score from embeddings join fn on vec_id = node_id order by score desc, node_id limit 10",
+    "hits_enriched": f"with {FN}, h as (select vec_id, round({_like(4)}, 4) as score from embeddings order by {_like(4)} desc, vec_id limit 8) select vec_id, score, qualified_name from h left join fn on vec_id = node_id",
+    "knn_batch": "select query_id, vec_id, round(score, 4) as score from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as score from embeddings e join embeddings q on q.vec_id < 3 and e.vec_id <> q.vec_id) qualify row_number() over (partition by query_id order by score desc, vec_id) <= 4",
+    "hybrid_search": f"with {FN}, near as (select vec_id as node_id, {_like(2)} as likeness, lower(name || ' ' || kind || ' ' || module_qn) as haystack from embeddings join fn on vec_id = node_id where label in (0, 1, 2) order by likeness desc, vec_id limit 40), boosted as (select node_id, likeness + 0.05::double * (" + " + ".join(f"contains(haystack, '{w}')::int" for w in QUERY.split()) + ") as score from near) select node_id, round(score, 4) as score from boosted order by boosted.score desc, node_id limit 10",
     "call_tree_depth2": f"with {CALLS} select a.dst as child, count(*) as n_grandchildren from calls a join calls b on a.dst = b.src where a.src = {TARGET} group by 1",
-    "trace_entry_points": f"with recursive {CALLS}, {_DAG}, up as (select dst as node, 0 as depth from (select dst, count(*) as n from dag group by 1 order by n desc, dst limit 1) union select src, depth + 1 from up join dag on dst = node where depth < 4) select node as entry, cast(min(depth) as bigint) as depth from up where node not in (select dst from dag) group by 1",
-    "trace_entry_points_whole": f"with recursive {CALLS}, up as (select dst as node, 0 as depth from (select dst, count(*) as n from calls group by 1 order by n desc, dst limit 1) union select src, depth + 1 from up join calls on dst = node where depth < {DEPTH}), least as (select node, min(depth) as depth from up group by 1) select node as entry, cast(depth as bigint) as depth, depth = {DEPTH} as at_limit from least where depth > 0 and (depth = {DEPTH} or node not in (select dst from calls))",
+    "trace_entry_points": f"with recursive {CALLS}, up as (select dst as node, 0 as depth from (select dst, count(*) as n from calls group by 1 order by n desc, dst limit 1) union select src, depth + 1 from up join calls on dst = node where depth < {DEPTH}), least as (select node, min(depth) as depth from up group by 1) select node as entry, cast(depth as bigint) as depth, depth = {DEPTH} as at_limit from least where depth > 0 and (depth = {DEPTH} or node not in (select dst from calls))",
     "trace_levels_whole": f"with recursive {CALLS}, up as (select cast({TARGET} as bigint) as node, 0 as depth union select src, depth + 1 from up join calls on dst = node where depth < {DEPTH}) select node, min(depth) as depth, min(depth) = {DEPTH} as at_limit from up group by node",
-    "root_modules_whole": f"with {FN}, {CALLS} select distinct module_qn from fn where module_qn not in (select module_qn from calls join fn on dst = node_id)",
-    "knn_batch_whole": "select query_id, vec_id, score from (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])), 4) as score from embeddings e join embeddings q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id) qualify row_number() over (partition by query_id order by score desc, vec_id) <= 4",
+    "root_modules": f"with {FN}, {CALLS} select distinct module_qn from fn where module_qn not in (select module_qn from calls join fn on dst = node_id)",
+    "knn_batch_whole": "select query_id, vec_id, round(score, 4) as score from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as score from embeddings e join embeddings q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id) qualify row_number() over (partition by query_id order by score desc, vec_id) <= 4",
     "coerce_node_props": "select doc_id, coalesce(cast(quality as varchar), '') as quality, coalesce(cast(toxic as boolean), false) as toxic from labels",
     "export_nodes_json": f"with {FN} select cast(to_json({{'node_id': node_id, 'qualified_name': qualified_name, 'name': name, 'start_line': start_line}}) as varchar) as node from fn",
     "project_delete": "select c_nationkey, count(*) as n from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey = 1) group by 1",
@@ -335,3 +313,4 @@ ORACLES = {
     "snippet_default_end": f"with {FN} select node_id, start_line, start_line + case when node_id % 3 <> 0 then 5 else 50 end as end_line from fn",
     "mask_and_clock": "select c_custkey, substr(c_name, 1, 4) || '****' || right(c_name, 2) as masked, printf('%02d:%02d', c_custkey // 60 % 24, c_custkey % 60) as clock from customer",
 }
+ORACLES |= {"root_modules_whole": ORACLES["root_modules"], "trace_entry_points_whole": ORACLES["trace_entry_points"]}

@@ -16,7 +16,7 @@ def test_whole_traces_and_batches(spark):
 
     # a chain of twelve callers with a cycle; 10 is still called
     edges = spark.createDataFrame([(i + 1, i) for i in range(12)] + [(0, 3), (40, 2)], "src long, dst long")
-    found = {r["node"]: r["depth"] for r in traverse.written_levels(edges, spark.createDataFrame([(0,)], "node long"), 10).collect()}
+    found = {r["node"]: r["depth"] for r in traverse.levels(edges, spark.createDataFrame([(0,)], "node long"), 10).collect()}
     assert found == {i: i for i in range(11)} | {40: 3}
     asked = registry.QUERIES["knn_batch_whole"](spark, FOLDER).select("query_id").distinct().count()
     assert asked == spark.read.parquet(f"{FOLDER}/embeddings.parquet").filter("vec_id % 20 = 0").count() > 3
