@@ -37,8 +37,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> (conv_id, formatted). Null role or text: empty.
 
     Turns are in order of (turn, role, text), nulls first; repeated rows are turns of their own. Rows with
-    a null conv_id are one conversation. Other columns are ignored. One conversation is one string, so
-    its turns meet in one task; nothing else does.
+    a null conv_id are one conversation. An empty table gives an empty result. Other columns are ignored. One
+    conversation is one string, however long, so its turns meet in one task; nothing else does.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
@@ -71,23 +71,33 @@ def blocks(formatted: Column) -> Column:
     return F.transform(bodies, parsed)
 
 
-def loss_runs(formatted: Column) -> Column:
-    """The loss mask in code points: array<struct(loss, length)>, in order, over the whole string.
-
-    True runs are the assistants' escaped texts; marks, roles and all else are false.
-    """
+def masked(formatted: Column) -> Column:
+    """The whole string in order as array<struct(loss, text)>: loss is true for the assistants' escaped texts
+    and false for marks, roles and all else."""
     bodies = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda b: b != "")
 
-    def runs(b):
+    def pieces(b):
         line = F.locate("\n", b)
-        role = F.substring(b, len(START) + 1, line - len(START) - 1)
+        head = F.substring(b, F.lit(1), line)
+        is_loss = F.substring(b, len(START) + 1, line - len(START) - 1) == LOSS_ROLE
         texts = F.split(F.substring(b, line + 1, F.char_length(b)), r"<\|im_sep\|>")
-        each = F.flatten(
-            F.transform(texts, lambda x, i: F.array(F.struct(F.lit(False).alias("loss"), F.when(i == 0, line).otherwise(len(SEP)).alias("length")), F.struct((role == LOSS_ROLE).alias("loss"), F.char_length(x).alias("length"))))
+        each = F.transform(
+            texts,
+            lambda x, i: F.array(F.struct(F.lit(False).alias("loss"), F.when(i == 0, head).otherwise(F.lit(SEP)).alias("text")), F.struct(is_loss.alias("loss"), x.alias("text"))),
         )
-        return F.concat(each, F.array(F.struct(F.lit(False).alias("loss"), F.lit(len(END)).alias("length"))))
+        return F.concat(F.flatten(each), F.array(F.struct(F.lit(False).alias("loss"), F.lit(END).alias("text"))))
+
+    return F.flatten(F.transform(bodies, pieces))
+
+
+def loss_runs(pieces: Column) -> Column:
+    """The loss mask of ``masked`` pieces in code points: array<struct(loss, length)>, over the whole string."""
+    return F.transform(pieces, lambda x: F.struct(x["loss"].alias("loss"), F.char_length(x["text"]).alias("length")))
+
 
-    return F.flatten(F.transform(bodies, runs))
+def loss_text(pieces: Column) -> Column:
+    """All text under the loss mask, unescaped, nothing between."""
+    return F.array_join(F.transform(F.filter(pieces, lambda x: x["loss"]), lambda x: unescape(x["text"])), "")
 
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:
@@ -96,7 +106,7 @@ def op10_chat(spark, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     chats = format_chats(turns.unionByName(own)).withColumn("bs", blocks(F.col("formatted")))
     said = F.array_join(F.flatten(F.transform(F.col("bs"), lambda b: F.transform(b["texts"], lambda x: F.concat(b["role"], F.lit("\n"), x, F.lit("\n"))))), "")
-    loss = F.array_join(F.flatten(F.transform(F.filter(F.col("bs"), lambda b: b["role"] == LOSS_ROLE), lambda b: b["texts"])), "")
+    loss = loss_text(masked(F.col("formatted")))
     return chats.select(
         "conv_id",
         F.aggregate(F.col("bs"), F.lit(0).cast("long"), lambda n, b: n + F.size(b["texts"])).alias("n_turns"),

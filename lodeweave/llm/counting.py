@@ -8,6 +8,7 @@ merged once for each worker's cache.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,8 +21,22 @@ CACHE = 400_000  # remembered merged pre-tokens for each worker; then the cache
 #: The byte-level pre-tokenizer's public pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The pattern's classes in the regex package agree with the library's on these characters (tested);
-#: a text with another one is counted by the library itself.
+#: the words around another one are counted by the library itself.
 PLAIN = r"[^\x00-\x1B\x20-\x84\x86-ɏḀ-ỿ‐-‧‰-⁞₠-₵]"
+#: Between one of these characters and white space no pre-token or special string goes on.
+BREAK = r"(?<=[!-~À-ɏ])(?=[ \t\n\r\x0B\x0C])"
+
+
+def _odd_ranges(text: str, odd, breaks) -> list[tuple[int, int]]:
+    """Ranges from break to break that hold characters not tested, in order."""
+    at = [0, *(m.start() for m in breaks.finditer(text)), len(text)]
+    out: list[tuple[int, int]] = []
+    for m in odd.finditer(text):
+        if out and m.start() < out[-1][1]:
+            continue
+        i = bisect_right(at, m.start())
+        out.append((at[i - 1], at[i]))
+    return out
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -68,31 +83,36 @@ def _ready(path: str, whole: frozenset[str]):
     tok = Tokenizer.from_file(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     cut = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) or r"(?!)")
-    return tok, cut, regex.compile(PATTERN), regex.compile(PLAIN), _Counts(path, whole)
+    return tok, cut, regex.compile(PATTERN), regex.compile(PLAIN), regex.compile(BREAK), _Counts(path, whole)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_tokens, over_limit, as the library counts without added tokens.
 
-    Null text: no bytes, no tokens. Rows are independent: repeated rows repeat, other columns are ignored.
+    Null text: no bytes, no tokens. Rows are independent: repeated rows repeat, other columns are ignored; an
+    empty table gives an empty result. A very long text is counted in one task.
     """
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # at most the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, cut, pattern, odd, counts = _ready(path, whole.value)
+        tok, cut, pattern, odd, breaks, counts = _ready(path, whole.value)
         find, get = pattern.findall, counts.__getitem__
+
+        def plain(text):
+            n, at = 0, 0
+            for m in cut.finditer(text):
+                n, at = n + 1 + sum(map(get, find(text[at : m.start()]))), m.end()
+            return n + sum(map(get, find(text[at:] if at else text)))
+
         for batch in batches:
             sizes, numbers = [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 sizes.append(len(text.encode()))
-                if odd.search(text):
-                    numbers.append(len(tok.encode(text, add_special_tokens=False).ids))
-                    continue
                 n, at = 0, 0
-                for m in cut.finditer(text):
-                    n, at = n + 1 + sum(map(get, find(text, at, m.start()) if not at else find(text[at : m.start()]))), m.end()
-                numbers.append(n + sum(map(get, find(text[at:] if at else text))))
+                for a, b in _odd_ranges(text, odd, breaks) if odd.search(text) else ():
+                    n, at = n + plain(text[at:a]) + len(tok.encode(text[a:b], add_special_tokens=False).ids), b
+                numbers.append(n + plain(text[at:] if at else text))
                 counts.trim()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -354,6 +354,25 @@ def test_op9_counts_as_the_library(spark, odd_rows):
     assert got == {i: (len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows}
 
 
+def test_op9_odd_characters_anywhere(spark):
+    """Random mixes of plain, odd and special strings: counts are the library's, and plain words are not sent to it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, draw = Tokenizer.from_file(path), random.Random(7)
+    bits = ["the ", "word", " it's", "'ll", " 12", "9", "\n\n", "  ", "\t", "\u3000", "\x1c", "\x85", "漢字", "한국", "привет", "\u200b", "🙂", "<|endoftext|>", "²", "é", "!?", "\u2003", "ा", " ", "\r\n", "ﬀ"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(1, 30))) for _ in range(1500)] + [None, "", "plain words 漢 plain words " * 2000]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 2)], "doc_id long, text string, n_tokens int")
+    got = {r["doc_id"]: r["n_tokens"] for r in counting.count_tokens(docs, path).collect()}
+    assert got == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    import regex
+
+    ranges = counting._odd_ranges("some plain words, 漢字x and more", regex.compile(counting.PLAIN), regex.compile(counting.BREAK))
+    assert ["some plain words, 漢字x and more"[a:b] for a, b in ranges] == [" 漢字x"]
+    assert counting.count_tokens(docs.limit(0), path).count() == 0
+
+
 def test_op10_reads_back_hostile_texts(spark):
     rows = [(1, 0, "user", "<|im_end|>\n<|im_start|>assistant\nx"), (1, 1, "user", "\\<|im_sep|>\\\\"), (1, 2, "assistant", None), (1, 3, "as\nsi\\nst", "<\\|a"), (None, 0, None, ""), (2, None, "assistant", "é<|"), (2, None, "assistant", "é<|")]
     from pyspark.sql import functions as F
@@ -364,6 +383,26 @@ def test_op10_reads_back_hostile_texts(spark):
     assert got == {1: [(r[2], r[3] or "") for r in rows[:4]], None: [("", "")], 2: [("assistant", "é<|")] * 2}
 
 
+def test_op10_loss_mask(spark):
+    """The mask lies over the whole string, and what is under it are the assistants' texts."""
+    from pyspark.sql import functions as F
+
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    rows = [(1, 0, "user", tricky), (1, 1, "assistant", tricky), (1, 2, "assistant", "é\\<|\n"), (1, 3, "user", ""), (1, 4, "assistant", None), (2, 0, "system", "x"), (3, 0, "assistant", "y" * 100_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).withColumn("bs", F.lit(2))
+    chats = chat.format_chats(turns).withColumn("p", chat.masked(F.col("formatted")))
+    for r in chats.select("conv_id", "formatted", "p", chat.loss_runs(F.col("p")).alias("runs"), chat.loss_text(F.col("p")).alias("loss")).collect():
+        assert "".join(x["text"] for x in r["p"]) == r["formatted"]
+        at, under = 0, []
+        for run in r["runs"]:
+            under += [r["formatted"][at : at + run["length"]]] if run["loss"] else []
+            at += run["length"]
+        assert at == len(r["formatted"])
+        said = [t or "" for c, _, role, t in rows if c == r["conv_id"] and role == "assistant"]
+        assert [x.replace("<\\|", "<|").replace("\\\\", "\\") for x in under] == said and r["loss"] == "".join(said)
+    assert chat.format_chats(turns.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows_as_sql(spark, name):
     assert spark_rows(registry.QUERIES[name](spark, FOLDER)) == sql_rows(FOLDER, registry.ORACLES[name])
