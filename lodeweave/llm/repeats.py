@@ -135,17 +135,25 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(step):
         key = key * 260 + padded[i : i + n]
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])  # slots where a group of equal keys begins
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-        if rank[order[-1]] == n - 1:
+        # only groups of several suffixes are sorted again, each within its slots
+        slots = np.flatnonzero(~new | np.concatenate([~new[1:], [False]]))
+        if not len(slots):
             return order
-        after = np.zeros(n, np.int64)
-        if step < n:
-            after[: n - step] = rank[step:] + 1
-        key, step = rank * (n + 1) + after, 2 * step
+        some = order[slots]
+        after = np.where(some + step < n, rank[np.minimum(some + step, n - 1)] + 1, 0)
+        key = rank[some] * (n + 1) + after
+        by = np.argsort(key)
+        some, key = some[by], key[by]
+        order[slots] = some
+        new[slots] = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[some] = np.maximum.accumulate(np.where(new[slots], slots, 0))
+        step *= 2
 
 
 def repeated(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,20 +255,30 @@ def _in_tasks(rows: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, tag int, start long, many int")
 
 
-def _chunks(a: int, start: int, content: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
-    """Hash of a core, start and bytes for each ``CHUNK`` neighbouring windows of a segment.
+def _chunks(a: np.ndarray, start: np.ndarray, contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Segment, hash of a core, start and bytes of each ``CHUNK`` neighbouring windows of the segments.
 
     Chunks lie at fixed places about the anchor and their core is what all their windows share, so equal
     windows are in chunks with equal cores.
     """
-    data = np.frombuffer(content, np.uint8)
-    anchor = int(np.flatnonzero(grams(data).view(np.int64) == a)[0])
-    last = len(content) - length
-    j = np.arange(max(anchor - last, 0) // CHUNK, anchor // CHUNK + 1)
-    core = vectext.mix(vectext.span_hash(data, anchor - CHUNK * j, anchor - CHUNK * j - CHUNK + 1 + length) + j.astype(np.uint64)).view(np.int64)
-    for k, c in zip(j.tolist(), core.tolist(), strict=True):
-        low, high = max(0, anchor - CHUNK * k - CHUNK + 1), min(last, anchor - CHUNK * k)
-        yield c, start + low, content[low : high + length]
+    size = np.array([len(x) for x in contents])
+    begin = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    hashed = grams(data).view(np.int64)
+    at = np.flatnonzero(hashed == np.repeat(a, size)[: len(hashed)])
+    of = np.searchsorted(begin, at, "right") - 1
+    inside = at + GRAM <= (begin + size)[of]
+    at, of = at[inside], of[inside]
+    anchor = at[np.unique(of, return_index=True)[1]] - begin  # the first of each segment; all have one
+    last = size - length
+    least = np.maximum(anchor - last, 0) // CHUNK
+    n = anchor // CHUNK + 1 - least
+    of = np.repeat(np.arange(len(size)), n)
+    j = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + least[of]
+    high = anchor[of] - CHUNK * j
+    core = vectext.mix(vectext.span_hash(data, begin[of] + high, begin[of] + high - CHUNK + 1 + length) + j.astype(np.uint64)).view(np.int64)
+    low, high = np.maximum(high - CHUNK + 1, 0), np.minimum(last[of], high)
+    return of, core, start[of] + low, [contents[k][x:y] for k, x, y in zip(of.tolist(), low.tolist(), (high + length).tolist(), strict=True)]
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -268,20 +286,34 @@ def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     by_doc = wanted.groupBy("doc").agg(F.collect_set(F.struct("tag", "start", "many", "a", "heavy")).alias("segments"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("of"), "text").join(by_doc, F.col("of") == F.col("doc")).select("doc", "text", "segments")
 
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        doc, tag, start, a, heavy = (np.array([x[k] for x in held], t) for k, t in enumerate((np.int64, np.int32, np.int64, np.int64, bool)))
+        whole, cut = np.flatnonzero(~heavy), np.flatnonzero(heavy)
+        row, begin, key, content = whole, start[whole], a[whole], [held[i][5] for i in whole.tolist()]
+        if len(cut):
+            of, core, at, parts = _chunks(a[cut], start[cut], [held[i][5] for i in cut.tolist()], length)
+            row, begin, key, content = np.concatenate([row, cut[of]]), np.concatenate([begin, at]), np.concatenate([key, core]), content + parts
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[row]), pa.array(tag[row]), pa.array(begin), pa.array(key), pa.array(heavy[row]), pa.array(content, pa.binary())],
+            ["doc", "tag", "start", "a", "heavy", "content"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "tag", "start", "a", "heavy", "content"]
         for batch in batches:
+            held, total = [], 0
             for row in range(batch.num_rows):
                 text = _binary(batch.column("text").slice(row, 1))[0]
-                tag = _tag(text)
-                doc, out = batch.column("doc")[row].as_py(), []
-                for s in batch.column("segments")[row].as_py():
-                    if s["tag"] == tag:
-                        content = text[s["start"] : s["start"] + s["many"] - 1 + length]
-                        parts = _chunks(s["a"], s["start"], content, length) if s["heavy"] else [(s["a"], s["start"], content)]
-                        out += [(doc, tag, at, a, s["heavy"], part) for a, at, part in parts]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names)
+                tag, doc = _tag(text), batch.column("doc")[row].as_py()
+                listed = batch.column("segments")[row].values
+                mine = np.flatnonzero(listed.field("tag").to_numpy() == tag)
+                for start, many, a, heavy in zip(*(listed.field(x).to_numpy(zero_copy_only=False)[mine].tolist() for x in ("start", "many", "a", "heavy")), strict=True):
+                    held.append((doc, tag, start, a, heavy, text[start : start + many - 1 + length]))
+                    total += len(held[-1][5])
+                if total > PIECE:
+                    yield out(held)
+                    held, total = [], 0
+            if held:
+                yield out(held)
 
     return rows.mapInArrow(run, "doc long, tag int, start long, a long, heavy boolean, content binary")
 
