@@ -35,3 +35,21 @@ def safe_name(name: Column, most: int) -> Column:
     """A file name of at most ``most`` bytes: other characters become underscores, long names end in a digest."""
     safe = F.regexp_replace(name, "[^A-Za-z0-9_.-]+", "_")
     return F.when(F.octet_length(safe) > most, F.concat(F.substring(safe, 1, most - 9), F.lit("_"), F.substring(F.md5(name), 1, 8))).otherwise(safe)
+
+
+def suffix(path: Column) -> Column:
+    """Extension of a file's path, where # and ? are plain characters; lower-cased, empty if there is none."""
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
+
+
+def stem(path: Column) -> Column:
+    """The last segment without its extension."""
+    return F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def file_name(qualified: Column) -> Column:
+    """A file name for a qualified name: no separators; above 200 bytes the first 180 and eight digits of a digest."""
+    safe = F.replace(F.regexp_replace(F.regexp_replace(qualified, r"[/\\]", "_"), "\n", " "), F.lit("\r"), F.lit(""))
+    cut = F.make_valid_utf8(F.substring(F.encode(safe, "utf-8"), 1, 180).cast("string"))
+    cut = F.rtrim(F.regexp_replace(cut, "\ufffd+$", ""))
+    return F.when(F.octet_length(safe) <= 200, safe).otherwise(F.concat(cut, F.lit("_"), F.substring(F.md5(F.encode(qualified, "utf-8")), 1, 8)))

@@ -81,3 +81,19 @@ def simple_name(qualified: Column) -> Column:
 def version_key(version: Column) -> Column:
     """Numbers of a version; arrays of them order as versions do."""
     return F.transform(F.split(F.regexp_replace(version, "^v", ""), r"\."), lambda x: x.cast("int"))
+
+
+# fixed values: headings of the sections that a summary leaves out
+HEAVY_SECTIONS = ["## 使用示例", "## 实现", "## 参数与内存", "## 描述"]
+
+
+def doc_summary(doc: Column) -> Column:
+    """A rendered document without its heavy sections and without blank lines at its end."""
+    def light(section):
+        found = F.lit(False)
+        for heading in HEAVY_SECTIONS:
+            found = found | F.startswith(section, F.lit(heading))
+        return ~found
+
+    kept = F.array_join(F.filter(F.split(doc, r"(?m)^(?=## )"), light), "")
+    return F.regexp_replace(kept, r"(\n[ \t\r]*)+$", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths, text
+
 
 def by_name_or_suffix(nodes: DataFrame, name: str) -> DataFrame:
     """Nodes of that name; only if there are none, those whose name ends with it."""
@@ -102,3 +104,25 @@ def resolve_steps(calls: DataFrame, definitions: DataFrame, imports: DataFrame,
         every = every.unionAll(more)
     best = every.groupBy("call_id").agg(F.min("b").alias("b"))
     return calls.select("call_id").join(best, "call_id", "left").select("call_id", "b.qn", "b.priority", "b.rank")
+
+
+def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
+    """Includes (..., header) with ``module``, the dotted path of the file (path) that has the header's stem.
+
+    Implementations go before headers, then the least path wins; one file a stem is joined. Null where none has it.
+    """
+    rank = F.when(paths.suffix(F.col("path")).isin("c", "cc", "cpp"), 0).otherwise(1)
+    best = files.groupBy(paths.stem(F.col("path")).alias("_stem")).agg(F.min(F.struct(rank.alias("rank"), "path"))["path"].alias("_path"))
+    found = includes.join(best, paths.stem(F.col("header")) == F.col("_stem"), "left")
+    return found.withColumn("module", F.replace(F.regexp_replace("_path", r"\.[^./]*$", ""), F.lit("/"), F.lit("."))).drop("_stem", "_path")
+
+
+def with_docs(hits: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Hits (node_id, qualified_name, ...) with the summary of their document (name, doc), found by its file name, and
+    their number of callees; hits without a document or callees stay. Hits are few: documents and edges that no hit
+    needs go before they are joined."""
+    named = hits.withColumn("_name", paths.file_name(F.col("qualified_name")))
+    attached = named.join(docs.select(F.col("name").alias("_of"), text.doc_summary(F.col("doc")).alias("api_doc")), F.col("_name") == F.col("_of"), "left").drop("_name", "_of")
+    counts = edges.join(hits.select(F.col("node_id").alias("src")), "src", "left_semi").groupBy("src").agg(F.count("*").alias("_n"))  # edges are distinct
+    counted = attached.join(counts, F.col("node_id") == F.col("src"), "left").withColumn("n_callees", F.coalesce("_n", F.lit(0)))
+    return counted.withColumn("leaf", F.col("n_callees") == 0).drop("src", "_n")

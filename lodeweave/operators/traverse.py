@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -37,17 +37,28 @@ def tree(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
 
 
 def paths(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """(entry, depth, path): all simple paths of at most ``max_depth`` steps that end in a start node."""
-    here = start.select("node").distinct().select(F.col("node").alias("entry"), F.array("node").alias("path"))
-    step = edges.select(F.col("src").alias("next"), F.col("dst").alias("entry"))
+    """(entry, depth, path, indirect): all simple paths of at most ``max_depth`` steps that end in a start node, and
+    whether any of its steps is indirect (a column of the edges, else false)."""
+    here = start.select("node").distinct().select(F.col("node").alias("entry"), F.array("node").alias("path"), F.lit(False).alias("indirect"))
+    step = edges.select(F.col("src").alias("next"), F.col("dst").alias("entry"), (F.col("indirect") if "indirect" in edges.columns else F.lit(False)).alias("hop"))
     found = None
     for depth in range(1, max_depth + 1):
-        here = step.join(here, "entry").filter(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("entry"), F.array_prepend("path", F.col("next")).alias("path"))
-        now = here.select("entry", F.lit(depth).alias("depth"), "path")
+        here = step.join(here, "entry").filter(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("entry"), F.array_prepend("path", F.col("next")).alias("path"), (F.col("indirect") | F.col("hop")).alias("indirect"))
+        now = here.select("entry", F.lit(depth).alias("depth"), "path", "indirect")
         found = now if found is None else found.unionAll(now)
     return found
 
 
+def by_entry(found: DataFrame, most: int) -> DataFrame:
+    """(entry, depth, n_paths, indirect, truncated, paths): of each entry's paths (entry, depth, path, indirect) the
+    first ``most`` by length and text, one a line, and whether that many were reached."""
+    text = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+    order = Window.partitionBy("entry").orderBy("depth", "text")
+    kept = found.select("entry", "depth", "indirect", text.alias("text")).withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most)
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    return kept.groupBy("entry").agg(F.min("depth").alias("depth"), F.count("*").alias("n_paths"), F.bool_or("indirect").alias("indirect"), (F.count("*") >= most).alias("truncated"), lines.alias("paths"))
+
+
 def reach(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) below the start nodes of a containment tree (parent, child)."""
     turned = edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"))

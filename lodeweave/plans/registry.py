@@ -1,6 +1,6 @@
 """All queries of the library and their SQL."""
 
-from . import documents, lookups, queries, upkeep
+from . import documents, lookups, queries, search, upkeep
 
-QUERIES = queries.QUERIES | upkeep.QUERIES | documents.QUERIES | lookups.QUERIES
-ORACLES = queries.ORACLES | upkeep.ORACLES | documents.ORACLES | lookups.ORACLES
+QUERIES = queries.QUERIES | upkeep.QUERIES | documents.QUERIES | lookups.QUERIES | search.QUERIES
+ORACLES = queries.ORACLES | upkeep.ORACLES | documents.ORACLES | lookups.ORACLES | search.ORACLES
