@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, counting, decontaminate, fingerprints, idfiles, lm, mixing, neardup, repeats, toxicity
+from . import chat, counting, decontaminate, fingerprints, idfiles, lm, mixing, neardup, repeats, resampling, runs, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,9 +15,12 @@ QUERIES = {
     "op8_leaks": decontaminate.op8_leaks,
     "op9_token_counts": counting.op9_token_counts,
     "op10_chat": chat.op10_chat,
+    "op12_resample": resampling.op12_resample,
+    "op13_runs": runs.op13_runs,
 }
 
 ORACLES = {
     "op5_mix": mixing.OP5_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op12_resample": resampling.OP12_SQL,
 }
