@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, counting, decontaminate, fingerprints, idfiles, lm, mixing, neardup, repeats, resampling, runs, toxicity
+from . import chat, counting, decontaminate, fingerprints, idfiles, lm, mixing, neardup, personal, repeats, resampling, runs, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_leaks": decontaminate.op8_leaks,
     "op9_token_counts": counting.op9_token_counts,
     "op10_chat": chat.op10_chat,
+    "op11_personal": personal.op11_personal,
     "op12_resample": resampling.op12_resample,
     "op13_runs": runs.op13_runs,
 }
