@@ -68,44 +68,6 @@ def resolve(calls: DataFrame, definitions: DataFrame, imports: DataFrame) -> Dat
     return calls.join(best, "call_id", "left").select("call_id", F.col("b.qn").alias("qn"), F.col("b.priority").alias("priority"))
 
 
-def resolve_steps(calls: DataFrame, definitions: DataFrame, imports: DataFrame, aliases: DataFrame, fields: DataFrame) -> DataFrame:
-    """Call sites (call_id, module, class, name) to definitions (qn, module, class, name) in six steps.
-
-    1: ``self.x`` in the own class; 2: ``alias.x`` in the module of an alias (module, alias, target); 3: in an
-    imported module (module, target); 4: in the own module; 5: ``->f`` by a field (field, qn); 6: the last part of
-    the name anywhere, first below the own top package. Every step joins on its key with one definition for each
-    key, so a common name costs no more than a rare one. The least (priority, rank, qn) wins.
-    """
-    last = F.element_at(F.split("name", r"\.|->"), -1)
-    head = F.regexp_extract("name", r"^(.*)\.", 1)
-    top = F.element_at(F.split("module", r"\."), 1)
-    sites = calls.select("call_id", F.col("module").alias("m"), F.col("class").alias("c"), "name", last.alias("x"), head.alias("head"), top.alias("t"), F.startswith("name", F.lit("->")).alias("field"))
-    plain = sites.filter((F.col("head") == "") & ~F.col("field"))
-    known = definitions.select("qn", "module", "class", F.col("name").alias("d_name"), top.alias("top"))
-
-    def one(*keys: str) -> DataFrame:
-        return known.groupBy(*keys).agg(F.min("qn").alias("qn"))
-
-    def found(rows: DataFrame, priority: int, rank: int = 0) -> DataFrame:
-        return rows.select("call_id", F.struct(F.lit(priority).alias("priority"), F.lit(rank).alias("rank"), "qn").alias("b"))
-
-    by_module = one("module", "d_name")
-    steps = [
-        found(sites.filter("head = 'self'").join(one("module", "class", "d_name"), F.expr("m = module and c = class and x = d_name")), 1),
-        found(sites.filter("head not in ('', 'self')").join(aliases.withColumnRenamed("module", "a_module"), F.expr("m = a_module and head = alias")).join(by_module, F.expr("target = module and x = d_name")), 2),
-        found(plain.join(imports.withColumnRenamed("module", "i_module"), F.expr("m = i_module")).join(by_module, F.expr("target = module and x = d_name")), 3),
-        found(plain.join(by_module, F.expr("m = module and x = d_name")), 4),
-        found(sites.filter("field").join(fields.withColumnRenamed("field", "f_name"), F.expr("x = f_name")), 5),
-        found(sites.join(one("top", "d_name"), F.expr("t = top and x = d_name")), 6, 0),
-        found(sites.join(one("d_name"), F.expr("x = d_name")), 6, 1),
-    ]
-    every = steps[0]
-    for more in steps[1:]:
-        every = every.unionAll(more)
-    best = every.groupBy("call_id").agg(F.min("b").alias("b"))
-    return calls.select("call_id").join(best, "call_id", "left").select("call_id", "b.qn", "b.priority", "b.rank")
-
-
 def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
     """Includes (..., header) with ``module``, the dotted path of the file (path) that has the header's stem.
 

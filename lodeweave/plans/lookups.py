@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, traverse
+from ..operators import graph, resolve, traverse
 from ..sources.tables import calls, functions, table
 from ..streaming import refresh
 from .queries import CALLS, FN, TARGET
@@ -13,16 +13,31 @@ from .queries import CALLS, FN, TARGET
 CHANGED = 45  # functions that start after this line are the changed ones
 
 
+def _members(fn):
+    """Functions as members of classes and modules: node_id, start_line, t (top package), m (module), c (class), qn, adj, noun."""
+    words, top = F.split("name", " "), F.lower("kind")
+    rows = fn.select("node_id", "start_line", top.alias("t"), F.concat_ws(".", top, "module_qn").alias("m"), words[0].alias("adj"), words[1].alias("noun"))
+    in_class = F.col("start_line") % 2 == 1
+    return rows.withColumn("c", F.when(in_class, F.concat_ws(".", "m", "noun"))).withColumn("qn", F.concat_ws(".", F.coalesce("c", "m"), "adj"))
+
+
 def resolve_steps(spark, d):
-    fn = functions(spark, d)
-    kind = F.col("node_id") % 5
-    name = F.when(kind == 0, F.concat(F.lit("self."), "name")).when(kind == 1, F.concat(F.lit("m"), (F.col("start_line") % 3).cast("string"), F.lit("."), "name")).when(kind == 2, F.concat(F.lit("->"), "name")).when(kind == 3, F.col("name")).otherwise(F.concat("name", F.lit(" not")))
-    sites = fn.select(F.col("node_id").alias("call_id"), F.concat(F.lit("Brand#"), F.pmod("node_id", F.lit(60)).cast("string")).alias("module"), F.col("kind").alias("class"), name.alias("name"))
-    known = fn.select(F.col("qualified_name").alias("qn"), F.col("module_qn").alias("module"), F.col("kind").alias("class"), "name")
-    imports = fn.select(F.col("module_qn").alias("module"), F.concat(F.lit("Brand#"), (F.col("start_line") + 10).cast("string")).alias("target")).distinct()
-    aliases = fn.select(F.col("module_qn").alias("module"), F.concat(F.lit("m"), (F.col("start_line") % 3).cast("string")).alias("alias"), F.concat(F.lit("Brand#"), (F.col("start_line") + 5).cast("string")).alias("target")).distinct()
-    fields = fn.filter("start_line < 10").groupBy(F.col("name").alias("field")).agg(F.min("qualified_name").alias("qn"))
-    return graph.resolve_steps(sites, known, imports, aliases, fields)
+    """Every call, written in one of eight ways, to the definition that the six steps find."""
+    own = _members(functions(spark, d))
+    definitions = own.groupBy("qn").agg(F.min("node_id").alias("seq"))
+    other = F.concat(F.col("t"), F.lit(".Brand#"), F.col("start_line").cast("string"))
+    keys = F.array(
+        F.struct(F.concat(F.lit("m"), (F.col("start_line") % 3).cast("string")).alias("key"), other.alias("target")),
+        F.struct(F.col("adj").alias("key"), F.concat_ws(".", other, "adj").alias("target")),
+        F.struct(F.concat(F.lit(resolve.INCLUDED), F.col("start_line").cast("string")).alias("key"), other.alias("target")),
+    )
+    imports = own.select(F.col("m").alias("module"), F.explode(keys).alias("k"), F.col("node_id").alias("seq")).select("module", "k.key", "k.target", "seq")
+    fields = own.filter("start_line < 5").groupBy(F.concat("adj", F.lit("_cb")).alias("field")).agg(F.max_by("qn", "node_id").alias("qn"))
+    called = own.select(F.col("node_id").alias("dst"), "qn", "adj", "noun", F.substring_index("qn", ".", -2).alias("pair"), F.concat(F.lit("m"), (F.col("start_line") % 3).cast("string"), F.lit("."), "adj").alias("via"))
+    ways = [F.concat(F.lit("self."), "adj"), F.concat_ws(".", "noun", "adj"), F.col("via"), F.col("qn"), F.col("adj"), F.concat(F.lit("obj."), "adj", F.lit("_cb")), F.col("pair"), F.concat("noun", F.lit(" not"))]
+    sites = calls(spark, d).select("src", "dst").join(own.select(F.col("node_id").alias("src"), "m", "c"), "src").join(called, "dst")
+    sites = sites.select((F.col("src") * 10_000_000 + F.col("dst")).alias("call_id"), F.col("m").alias("module"), F.col("c").alias("class"), F.element_at(F.array(*ways), ((F.col("src") + F.col("dst")) % 8 + 1).cast("int")).alias("name"))
+    return resolve.resolve(sites, definitions, imports, fields)
 
 
 def tree_text(spark, d):
@@ -126,19 +141,27 @@ QUERIES = {f.__name__: f for f in (resolve_steps, tree_text, incremental_equals_
 _SYMBOLS = r"(select distinct doc_id, source, lang, unnest(regexp_extract_all(replace(replace(text, chr(10), '  '), ' ', '  '), '(?:^|[ ])([A-Z][a-z]{3,})[ .,]', 1)) as symbol from documents)"
 
 ORACLES = {
-    "resolve_steps": f"""with {FN},
-s as (select node_id as call_id, 'Brand#' || (node_id % 60) as m, kind as c, name as x, node_id % 5 as k, 'm' || (start_line % 3) as head from fn),
-i as (select distinct module_qn as module, 'Brand#' || (start_line + 10) as target from fn),
-a as (select distinct module_qn as module, 'm' || (start_line % 3) as alias, 'Brand#' || (start_line + 5) as target from fn),
-f as (select name as field, min(qualified_name) as qn from fn where start_line < 10 group by 1),
-u as (select call_id, 1 as priority, 0 as rank, qualified_name as qn from s join fn on k = 0 and m = module_qn and c = kind and x = name
- union all select call_id, 2, 0, qualified_name from s join a on k = 1 and m = a.module and head = alias join fn on a.target = module_qn and x = name
- union all select call_id, 3, 0, qualified_name from s join i on k = 3 and m = i.module join fn on i.target = module_qn and x = name
- union all select call_id, 4, 0, qualified_name from s join fn on k = 3 and m = module_qn and x = name
- union all select call_id, 5, 0, qn from s join f on k = 2 and x = field
- union all select call_id, 6, case when m = module_qn then 0 else 1 end, qualified_name from s join fn on k <> 4 and x = name),
-b as (select *, row_number() over (partition by call_id order by priority, rank, qn) as n from u)
-select s.call_id, b.qn, b.priority, b.rank from s left join b on s.call_id = b.call_id and b.n = 1""",
+    "resolve_steps": f"""with {FN}, {CALLS},
+q as (select node_id, start_line, lower(kind) as t, lower(kind) || '.' || module_qn as m, split_part(name, ' ', 1) as adj, split_part(name, ' ', 2) as noun,
+ case when start_line % 2 = 1 then lower(kind) || '.' || module_qn || '.' || split_part(name, ' ', 2) end as c, lower(kind) || '.' || module_qn || '.' || case when start_line % 2 = 1 then split_part(name, ' ', 2) || '.' else '' end || split_part(name, ' ', 1) as qn from fn),
+d as (select qn, min(node_id) as seq from q group by 1),
+s as (select src * 10000000 + dst as call_id, a.m, a.c, case (src + dst) % 8 when 0 then 'self.' || b.adj when 1 then b.noun || '.' || b.adj when 2 then 'm' || (b.start_line % 3) || '.' || b.adj when 3 then b.qn when 4 then b.adj
+ when 5 then 'obj.' || b.adj || '_cb' when 6 then array_to_string(string_split(b.qn, '.')[-2:], '.') else b.noun || ' not' end as x from calls join q a on src = a.node_id join q b on dst = b.node_id),
+i as (select m, 'm' || (start_line % 3) as key, arg_max(t || '.Brand#' || start_line, node_id) as target from q group by 1, 2 union all select m, adj, arg_max(t || '.Brand#' || start_line || '.' || adj, node_id) from q group by 1, 2),
+n as (select m, t || '.Brand#' || start_line as target, min(node_id) as seq from q group by 1, 2),
+f as (select adj || '_cb' as field, arg_max(qn, node_id) as target from q where start_line < 5 group by 1),
+k as (select m, x, c is not null and starts_with(x, 'self.') as own, any_value(c) as c, strpos(x, '.') as dot from s group by m, x, c),
+e as (select distinct x, m from k where not own),
+u as (select k.m, k.c, k.x, 1 as step, 0 as rank, c || '.' || substr(x, 6) as qn from k where own
+ union all select k.m, k.c, k.x, 2, 0, target || substr(x, dot) from k join i on i.m = k.m and dot > 0 and key = substr(x, 1, dot - 1) where not own
+ union all select m, c, x, 2, 1, x from k where not own and dot > 0
+ union all select k.m, k.c, k.x, 3, 0, target from k join i on i.m = k.m and key = x where not own
+ union all select k.m, k.c, k.x, 3, seq, target || '.' || x from k join n on n.m = k.m where not own
+ union all select m, c, x, 4, 0, m || '.' || x from k where not own),
+v as (select u.* from u join d on d.qn = u.qn union all select k.m, k.c, k.x, 5, 0, target from k join f on field = string_split(x, '.')[-1] where not own and dot > 0
+ union all select k.m, k.c, k.x, 6, z.rank, z.qn from k join (select e.m, e.x, d.qn, row_number() over (partition by e.m, e.x order by not starts_with(d.qn, split_part(e.m, '.', 1) || '.'), d.seq) as rank from e join d on ends_with(d.qn, '.' || e.x)) z on z.m = k.m and z.x = k.x where not own),
+b as (select * from v qualify row_number() over (partition by m, c, x order by step, rank) = 1)
+select s.call_id, b.qn, b.step from s left join b on b.m = s.m and b.x = s.x and b.c is not distinct from s.c""",
     "tree_text": f"""with {CALLS}, one as (select src as parent, dst as child, 1 as depth from calls where src = {TARGET}),
 lv as (select cast({TARGET} as bigint) as node, 0 as depth union all select child, 1 from one where child <> {TARGET}),
 r as (select src as parent, dst as child, lv.depth + 1 as depth from calls join lv on src = node),
