@@ -1,12 +1,15 @@
 """Benchmark decontamination: approximate occurrences of benchmark items inside documents.
 
-Item-sized windows of words are embedded by CGK random walks, which turn edit distance into Hamming
-distance; bit-sampling LSH over several walks finds candidate items, and an exact edit distance decides.
-Windows start where a short run of item words occurs: with at most k edits one of k + 1 equal parts of
-an item stays whole, so no window within the distance is missed by looking only there.
+Two walks drift apart with every edit, so long items are walked in pieces of 16 to 31 words: within the edits
+allowed one piece at least has no more than its own share of them. Piece-sized windows of words are embedded by CGK
+random walks, which turn edit distance into Hamming distance; bit-sampling LSH over several walks finds candidate
+pieces, an exact edit distance decides on each, and then on the whole item around it. Windows start where a short run
+of a piece's words occurs: with at most k edits one of k + 1 equal parts stays whole, so no window within the
+distance is missed by looking only there.
 
 The items are the query set. Each text of theirs goes out once, in blocks of about ``BLOCK_WORDS`` words,
-each block against all documents; documents are not shuffled. Blocks are written one by one.
+each block against all documents; documents are not shuffled. Blocks are dealt by a running total of words and written
+one by one.
 """
 
 from __future__ import annotations
@@ -18,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import prefix
 from . import scratch, vectext
 
 EDITS = 0.25  # edits allowed, as a share of an item's words
-BLOCK_WORDS = 1_000_000  # words of items broadcast at once
+BLOCK_WORDS = 1_000_000  # words of items broadcast at once; one longer item is still sent whole
+PIECE = 16  # words of an item's pieces, at least; below twice as many an item is one piece
+CELLS = 2_000_000  # cells of the tables of edit distances made at once
 WALKS = 6  # independent random walks
 SAMPLES = 8  # hash functions of each walk
-BITS = 3  # positions each of them takes
+BITS = 2  # positions each of them takes; measured: 0.98 of pieces of 8 to 31 words with all edits allowed are found
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -74,7 +80,7 @@ def _keys(symbols, starts, size, length, walk, samples, bits):
 
 
 class Index:
-    """Items of one block: words, seeds and LSH keys."""
+    """Items of one block: words, pieces, seeds and LSH keys."""
 
     def __init__(self, ids: list, texts: list[str], share: float, walks: int, samples: int, bits: int):
         self.share, self.walks, self.samples, self.bits = share, walks, samples, bits
@@ -83,27 +89,42 @@ class Index:
         self.first, self.size = first[:-1], np.diff(first)
         self.ids = ids
         self.most = allowed(self.size, share)
+        pieces = Pieces(self.words, self.first, self.size, share)
+        self.pieces = pieces
         #: The longest run of words that must stay whole under so many edits.
-        self.part = np.maximum(1, self.size // (self.most + 1))
+        part_of = np.maximum(1, pieces.size // (pieces.most + 1))
         self.seeds, self.lsh = {}, {}
-        for part in np.unique(self.part[self.size > 0]).tolist():
-            # the k + 1 disjoint parts of each item
-            of, offset = [], []
-            for i in np.flatnonzero((self.part == part) & (self.size > 0)).tolist():
-                starts = np.arange(int(self.most[i]) + 1) * part
-                of.append(np.full(len(starts), i))
-                offset.append(starts)
-            of, offset = np.concatenate(of), np.concatenate(offset)
-            key = run_hash(self.words, part)[self.first[of] + offset]
+        for part in np.unique(part_of).tolist():
+            # the k + 1 disjoint parts of each piece
+            some = np.flatnonzero(part_of == part)
+            n = pieces.most[some] + 1
+            of = np.repeat(some, n)
+            offset = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * part
+            key = run_hash(self.words, part)[pieces.first[of] + offset]
             order = np.argsort(key, kind="stable")
             self.seeds[part] = key[order], of[order], offset[order]
-        for length in np.unique(self.size[self.size > 0]).tolist():
-            of = np.flatnonzero(self.size == length)
+        for length in np.unique(pieces.size).tolist():
+            of = np.flatnonzero(pieces.size == length)
             for walk in range(walks):
-                keys = _keys(self.words, self.first[of], self.size[of], length, walk, samples, bits)
-                flat, item = keys.reshape(-1), np.repeat(of, samples)
+                keys = _keys(self.words, pieces.first[of], pieces.size[of], length, walk, samples, bits)
+                flat, piece = keys.reshape(-1), np.repeat(of, samples)
                 order = np.argsort(flat, kind="stable")
-                self.lsh[length, walk] = flat[order], item[order]
+                self.lsh[length, walk] = flat[order], piece[order]
+
+
+class Pieces:
+    """Equal pieces of items. If each of them had more edits than its share, the item would have more than its own."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, size: np.ndarray, share: float):
+        self.words = words
+        n = np.where(size > 0, np.maximum(1, size // PIECE), 0)
+        self.of = np.repeat(np.arange(len(size)), n)  # item
+        at = np.arange(len(self.of)) - np.repeat(np.cumsum(n) - n, n)
+        self.offset = at * size[self.of] // n[self.of]
+        self.first = first[self.of] + self.offset
+        self.size = (at + 1) * size[self.of] // n[self.of] - self.offset
+        self.most = allowed(self.size, share)
+        self.alone = n[self.of] == 1
 
 
 def run_hash(words: np.ndarray, k: int) -> np.ndarray:
@@ -123,18 +144,19 @@ def _ranges(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + left[row]
 
 
-def edit_distances(index: Index, item: np.ndarray, words: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits that turn the item into some run of words inside [start - k, start + size + k), and its end.
+def edit_distances(index, item: np.ndarray, words: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits that turn the item into some run of words inside [start - k, start + size + k + extra), and its end.
 
-    Rows are pairs of one item length, so all dynamic programs advance together.
+    Rows are pairs of one item length, so all dynamic programs advance together. ``index`` has words, and first, size
+    and most (k) of each item.
     """
     size, most = int(index.size[item[0]]), int(index.most[item[0]])
-    width = size + 2 * most
+    width = size + 2 * most + extra
     at = start[:, None] - most + np.arange(width)[None, :]
     inside = (at >= low[:, None]) & (at < high[:, None])
     seen = np.where(inside, words[np.clip(at, 0, len(words) - 1)], np.uint64(0))
     wanted = index.words[index.first[item][:, None] + np.arange(size)[None, :]]
-    kind = np.int16 if size <= 20_000 else np.int32  # differences of up to ``width`` must fit
+    kind = np.int16 if width <= 30_000 else np.int32  # differences of up to ``width`` must fit
     row = np.zeros((len(item), width + 1), kind)  # a match may begin anywhere
     steps = np.arange(width + 1, dtype=kind)
     for i in range(size):
@@ -147,8 +169,15 @@ def edit_distances(index: Index, item: np.ndarray, words: np.ndarray, start: np.
     return row[np.arange(len(row)), end], start - most + end
 
 
-def _matches(index: Index, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """document, item, edits and end word of each verified window of a chunk."""
+def _distances(index, item, words, start, low, high, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The same for any number of pairs: as many at once as ``CELLS`` allow, one at least."""
+    at_once = max(1, CELLS // int(index.size[item[0]] + 2 * index.most[item[0]] + extra))
+    parts = [edit_distances(index, item[i : i + at_once], words, start[i : i + at_once], low[i : i + at_once], high[i : i + at_once], extra) for i in range(0, len(item), at_once)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _piece_matches(index: Index, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """document, piece, start, edits and end word of pieces found within their edits."""
     found = []
     for part, (seeds, of, offset) in index.seeds.items():
         runs = run_hash(words, part)
@@ -159,30 +188,53 @@ def _matches(index: Index, words: np.ndarray, first: np.ndarray) -> tuple[np.nda
         doc = np.searchsorted(first, where, "right") - 1
         inside = where + part <= first[doc + 1]  # a run of one document
         found.append((where[inside] - offset[seed[inside]], of[seed[inside]], doc[inside]))
-    start, item, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-    # each item-sized window once, for all items of its size
-    size = index.size[item]
-    window = np.unique(np.stack([doc, size, start]), axis=1)
-    out = []
+    start, piece, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+    pieces = index.pieces
+    # each piece-sized window once, for all pieces of its size
+    window = np.unique(np.stack([doc, pieces.size[piece], start]), axis=1)
+    out = [np.zeros((5, 0), np.int64)]
     for length in np.unique(window[1]).tolist():
         doc, _, start = window[:, window[1] == length]
         low, high = first[doc], first[doc + 1]
         begin = np.maximum(start, low)
         pairs = []
         for walk in range(index.walks):
-            keys, items = index.lsh[length, walk]
+            keys, owners = index.lsh[length, walk]
             own = _keys(words, begin, np.minimum(length, high - begin), length, walk, index.samples, index.bits)
             left = np.searchsorted(keys, own.reshape(-1))
             hit = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == own.reshape(-1))
             row, k = _ranges(left[hit], np.searchsorted(keys, own.reshape(-1)[hit], "right"))
-            pairs.append(np.stack([hit[row] // index.samples, items[k]]))
-        pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        for i in range(0, pairs.shape[1], 4096):
-            w, it = pairs[:, i : i + 4096]
-            edits, end = edit_distances(index, it, words, start[w], low[w], high[w])
-            good = edits <= index.most[it]
-            out.append(np.stack([doc[w[good]], it[good], edits[good], end[good] - low[w[good]]]))
-    return tuple(np.concatenate(out, axis=1)) if out else tuple(np.zeros((4, 0), np.int64))
+            pairs.append(np.stack([hit[row] // index.samples, owners[k]]))
+        w, which = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        if len(w):
+            edits, end = _distances(pieces, which, words, start[w], low[w], high[w])
+            good = edits <= pieces.most[which]
+            w, which = w[good], which[good]
+            out.append(np.stack([doc[w], which, start[w], edits[good], end[good]]))
+    return np.concatenate(out, axis=1)
+
+
+def _matches(index: Index, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """document, item, edits and end word of each verified window of a chunk."""
+    doc, piece, start, edits, end = _piece_matches(index, words, first)
+    pieces = index.pieces
+    alone = pieces.alone[piece]
+    out = [np.stack([doc, pieces.of[piece], edits, end - first[doc]])[:, alone]]
+    # whole items around their pieces: starts that lie within k words share a table
+    around = np.unique(np.stack([doc, pieces.of[piece], start - pieces.offset[piece]])[:, ~alone], axis=1)
+    groups, last = [], (-1, -1, 0)
+    for d, item, at in around.T.tolist():
+        if (d, item) != last[:2] or at > last[2] + int(index.most[item]):
+            last = (d, item, at)
+            groups.append(last)
+    doc, item, start = np.array(groups, np.int64).reshape(-1, 3).T
+    for length in np.unique(index.size[item]).tolist():
+        some = index.size[item] == length
+        d, it = doc[some], item[some]
+        edits, end = _distances(index, it, words, start[some], first[d], first[d + 1], int(index.most[it[0]]))
+        good = edits <= index.most[it]
+        out.append(np.stack([d[good], it[good], edits[good], end[good] - first[d[good]]]))
+    return tuple(np.concatenate(out, axis=1))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, walks: int = WALKS, samples: int = SAMPLES, bits: int = BITS) -> DataFrame:
@@ -191,19 +243,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, walk
     ``edits`` is the least number of word insertions, deletions and substitutions that turn the item into
     a run of the document's words, where that is at most a quarter of the item's words; ``end_word`` is
     where such a run ends. Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. Null, empty or wordless texts
-    and items match nothing. Each row of either table counts: repeated rows repeat their pairs; of runs with
+    and items match nothing. Items of any length are found alike. Each row of either table counts: repeated rows repeat their pairs; of runs with
     equally few edits the first counts. A very long text is searched in one task. Other columns are ignored.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").filter("text is not null").withColumn("key", F.sha2("text", 256))
-    texts = scratch.save(items.groupBy("key").agg(F.first("text").alias("text"), F.first(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")).filter("n > 0"), scratch.folder(spark))
-    total = texts.agg(F.sum("n")).first()[0] or 0
-    n_blocks = -(-total // BLOCK_WORDS)
+    texts = items.groupBy("key").agg(F.first("text").alias("text"), F.first(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long").alias("n")).filter("n > 0")
+    upto = prefix.running(texts, [F.col("key")], "n", "upto")
+    texts = scratch.save(upto.withColumn("block", F.floor((F.col("upto") - F.col("n")) / BLOCK_WORDS)), scratch.folder(spark))
+    n_blocks = (texts.agg(F.max("block")).first()[0] or 0) + 1
     docs = docs.select("doc_id", "text")
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, n_words int, edits int, likeness double, end_word long"
     results = spark.createDataFrame([], kinds)
     for block in range(n_blocks):
-        rows = texts.filter(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == block).toPandas()  # about BLOCK_WORDS words
+        rows = texts.filter(F.col("block") == block).select("key", "text").toPandas()  # about BLOCK_WORDS words
         if not len(rows):
             continue
         sent = spark.sparkContext.broadcast(Index(rows["key"].tolist(), rows["text"].tolist(), edits, walks, samples, bits))
