@@ -6,7 +6,7 @@ form families. Inside a family signatures are compared first and full shingle se
 are compared in one task each. In large ones every member is first compared with a few well connected
 members, which go to where the others are; then blocks of bounded size are compared as far as their
 members are not linked yet. Full sets are made once for members of families only and travel only to the
-blocks. All links between different sets are found up to the chance (1 - 0.8**4)**32 < 1e-7 that no band
+blocks. Joins of texts by id have a filter of fixed size in front, so only texts that they may concern are dealt. All links between different sets are found up to the chance (1 - 0.8**4)**32 < 1e-7 that no band
 of a pair at the threshold is shared, and up to ``LIKE_LEAST``.
 """
 
@@ -30,7 +30,7 @@ BAND = 4  # signature values in a band; 128 values make 32 bands
 BLOCK = 512  # load of a family's members that one task compares with each other or with another block
 LOAD = 4096  # shingles that count as one member more
 STARS = 3  # members of a large family that all others are compared with first
-SENT_ROWS = 400_000  # ids of rows that are broadcast; more are joined, and the texts dealt by id
+FILTER_BITS = 1 << 27  # bits of the filter in front of joins by id, 16 MB at every size
 SENT = 64_000_000  # bytes of such members that are broadcast; more are joined
 LIKE_LEAST = 0.6  # estimated likeness below which full sets are not compared; 5 standard deviations under 0.8
 
@@ -99,7 +99,8 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in ("node", "family", "load")), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "family", "load", "n", "sig", "set"])
 
-    rows = docs.select(F.col("doc_id").alias("of"), "text").join(_small(wanted), F.col("of").eqNullSafe(F.col("doc_id"))).select("text", "node", "family", "load")
+    rows = _marked(docs.select(F.col("doc_id").alias("of"), "text"), F.col("of"), wanted.select("doc_id"), "maybe").filter("maybe").select("of", "text")
+    rows = rows.join(wanted, F.col("of").eqNullSafe(F.col("doc_id"))).select("text", "node", "family", "load")
     return rows.mapInArrow(run, "node long, family long, load long, n long, sig binary, set binary")
 
 
@@ -273,9 +274,23 @@ def groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return out.unionAll(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    """Rows of a few numbers, broadcast if there are at most ``SENT_ROWS``."""
-    return F.broadcast(ids) if ids.limit(SENT_ROWS + 1).count() <= SENT_ROWS else ids
+def _marked(rows: DataFrame, key: Column, ids: DataFrame, into: str) -> DataFrame:
+    """``rows`` and whether ``key`` may be one of ``ids`` (one column): true for all that are, and for few others.
+
+    One bit for each hash, in pieces of 4 KB; the more ids there are, the more bits are set, up to all.
+    """
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+    (id_column,) = ids.columns
+    piece, at, bits = scratch.unused([*rows.columns, into], "piece", "at", "bits")
+    every = ids.select(place(F.col(f"`{id_column}`")).alias("at")).distinct()
+    pieces = every.groupBy(F.floor(F.col("at") / 32768).alias(piece)).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias(bits))
+    asked = rows.withColumn(at, place(key)).withColumn(piece, F.floor(F.col(at) / 32768))
+    byte = F.conv(F.hex(F.substring(F.col(bits), ((F.col(at) % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col(at) % 8).cast("int")) == 1, F.lit(False))
+    # at most FILTER_BITS / 8 bytes are broadcast
+    return asked.join(F.broadcast(pieces), piece, "left").withColumn(into, hit).select(*[F.col(f"`{c}`") for c in rows.columns], into)
 
 
 def _sortable(column: Column, kind: T.DataType) -> Column:
@@ -292,20 +307,22 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     long texts and empty tables are as in ``groups``.
     """
     spark = docs.sparkSession
-    of, n, most, row = scratch.unused(docs.columns, "of", "n", "most", "row")
-    found = groups(docs, k, percent).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"), F.min(F.when(F.col("kept"), F.col("n_shingles"))).alias(n), F.max(F.when(F.col("kept"), F.col("n_shingles"))).alias(most))
-    # most ids are kept and occur once: their rows stay where they are
-    others = scratch.save(found.filter("not kept or rows > 1").withColumnRenamed("doc_id", of), scratch.folder(spark))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    plain = docs.join(_small(others.select(of)), docs["doc_id"].eqNullSafe(F.col(of)), "left_anti")
-    repeated = others.filter("kept").select(of, n, most)
-    rows = docs.join(_small(repeated), docs["doc_id"].eqNullSafe(F.col(of)))
+    of, n, most, row, keep, maybe, kind = scratch.unused(docs.columns, "of", "n", "most", "row", "keep", "maybe", "kind")
+    found = groups(docs, k, percent).groupBy("doc_id").agg(F.bool_or("kept").alias(keep), F.count("*").alias("rows"), F.min(F.when(F.col("kept"), F.col("n_shingles"))).alias(n), F.max(F.when(F.col("kept"), F.col("n_shingles"))).alias(most))
+    others = found.filter(~F.col(keep) | (F.col("rows") > 1)).select(F.col("doc_id").alias(of), keep, n, most)
+    others = scratch.save(others, scratch.folder(spark))
+    # ids that the filter does not know are kept and occur once: their rows stay where they are
+    marked = _marked(docs, docs["doc_id"], others.select(of), maybe)
+    sure = marked.filter(~F.col(maybe)).drop(maybe)
+    rest = marked.filter(maybe).drop(maybe)
+    rest = rest.join(others, rest["doc_id"].eqNullSafe(F.col(of)), "left").filter(F.col(keep).isNull() | F.col(keep))
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    blank = rows.filter((F.col(n) == 0) & wordless).select(*columns)
+    # 0: kept and single; 1: without words, all stay; 2: one of them stays; the rest goes
+    rest = rest.withColumn(kind, F.when(F.col(keep).isNull(), 0).when(wordless & (F.col(n) == 0), 1).when(~wordless & (F.col(most) > 0), 2)).filter(F.col(kind).isNotNull())
     order = [_sortable(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema if f.name not in ("doc_id", "text")]
-    one = Window.partitionBy("doc_id").orderBy("text", *order)
-    full = rows.filter((F.col(most) > 0) & ~wordless).withColumn(row, F.row_number().over(one)).filter(F.col(row) == 1)
-    return plain.unionAll(full.select(*columns)).unionAll(blank)
+    one = Window.partitionBy("doc_id", kind).orderBy("text", *order)
+    rest = rest.withColumn(row, F.row_number().over(one)).filter((F.col(kind) < 2) | (F.col(row) == 1))
+    return sure.unionAll(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:

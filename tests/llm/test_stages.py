@@ -61,3 +61,23 @@ def test_stage_scratch_is_deleted(spark):
         scratch.folder = folder
     path = spark._jvm.org.apache.hadoop.fs.Path
     assert made and not any(path(x).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(x)) for x in made)
+
+
+def test_filter_in_front_of_joins_by_id(spark, monkeypatch):
+    """Every id of the list passes, whatever the filter's size; results do not depend on it."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(F.when(F.col("id") != 7, F.col("id")).alias("doc_id"), F.lit(1).alias("at"))
+    ids = spark.createDataFrame([(i,) for i in range(0, 5000, 50)] + [(None,)], "x long")
+    passed = {}
+    for bits in (1 << 15, 1 << 27):
+        monkeypatch.setattr(neardup, "FILTER_BITS", bits)
+        marked = neardup._marked(rows, F.col("doc_id"), ids, "maybe")
+        assert marked.columns == ["doc_id", "at", "maybe"] and marked.count() == 5000
+        passed[bits] = {r["doc_id"] for r in marked.filter("maybe").collect()}
+        assert passed[bits] >= {None, *range(0, 5000, 50)}
+    assert len(passed[1 << 27]) < 105 and not neardup._marked(rows, F.col("doc_id"), ids.limit(0), "maybe").filter("maybe").count()
+    monkeypatch.setattr(neardup, "FILTER_BITS", 1 << 5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j + i // 3 * 30}" for j in range(30))) for i in range(60)] + [(3, "a b"), (None, ""), (None, "")], "doc_id long, text string")
+    kept = sorted(str(r["doc_id"]) for r in neardup.deduplicate(docs).collect())
+    assert kept == sorted([str(i) for i in range(0, 60, 3)] + ["None", "None"])
