@@ -14,6 +14,8 @@ from ..streaming import refresh
 FN = "fn as (select p_partkey as node_id, p_brand || '.' || cast(p_partkey as varchar) as qualified_name, p_name as name, p_type as kind, p_brand as module_qn, cast(p_size as bigint) as start_line from part)"
 CALLS = """pairs as (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag) as dst, l_returnflag = 'R' as indirect from lineitem),
 calls as (select src, dst, bool_and(indirect) as indirect from pairs where dst is not null group by src, dst)"""
+LATER = CALLS + """,
+later as (select * from calls where src < dst), late as (select max(p_partkey) * 3 // 4 as node from part)"""
 TARGET = 7
 QUERY = "small widget economy"
 

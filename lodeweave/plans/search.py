@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import graph, traverse, vectors
-from ..sources.tables import calls, functions, table
-from .queries import CALLS, FN, QUERY, TARGET
+from ..operators import callpaths, graph, traverse, vectors
+from ..sources.tables import calls, functions, late_function, later_calls, table
+from .queries import CALLS, FN, LATER, QUERY
+from .upkeep import DEPTH
 
 ROOT = "Brand#12"  # the module whose includes are shown
 MOST = 20  # paths of an entry point
@@ -35,9 +36,12 @@ def find_api(spark, d):
 
 
 def paths_by_entry(spark, d):
-    """Callers up to three steps away, each with at most twenty paths, shortest first."""
-    start = functions(spark, d).filter(F.col("node_id") == TARGET).select(F.col("node_id").alias("node"))
-    return traverse.by_entry(traverse.paths(calls(spark, d), start, 3), MOST).withColumn("depth", F.col("depth").cast("long"))
+    """Entry points whose calls reach a function in ten steps at most, each with its first twenty paths, the shortest first."""
+    points, paths = callpaths.trace(later_calls(spark, d), late_function(spark, d), DEPTH, MOST)
+    line = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+    points = points.select("target", "entry", "at_limit", "truncated")
+    rows = paths.select("target", "entry", F.col("pos").cast("long").alias("pos"), F.col("depth").cast("long").alias("depth"), line.alias("path"), "indirect")
+    return rows.join(points, ["target", "entry"]).drop("target")
 
 
 def dependency_tree(spark, d):
@@ -69,11 +73,14 @@ best as (select node_id, qualified_name, likeness + 0.05::double * ({_HITS}) as
 n as (select src, count(distinct dst) as n from calls group by 1)
 select node_id, qualified_name, round(score, 4) as score, '# ' || qualified_name || chr(10) || chr(10) || '> ' || lang || chr(10) || '## Callers' || chr(10) || '- ' || source as api_doc, coalesce(n, 0) as n_callees, n is null as leaf
 from best left join documents on doc_id = node_id left join n on src = node_id""",
-    "paths_by_entry": f"""with recursive {CALLS},
-p as (select cast({TARGET} as bigint) as entry, 0 as depth, [cast({TARGET} as bigint)] as path, false as indirect
- union all select c.src, depth + 1, list_prepend(c.src, path), p.indirect or c.indirect from p join calls c on c.dst = p.entry where depth < 3 and not list_contains(path, c.src)),
-t as (select entry, depth, indirect, array_to_string(path, '>') as path, row_number() over (partition by entry order by depth, array_to_string(path, '>')) as pos from p where depth > 0)
-select entry, cast(min(depth) as bigint) as depth, count(*) as n_paths, bool_or(indirect) as indirect, count(*) >= {MOST} as truncated, string_agg(path, chr(10) order by pos) as paths from t where pos <= {MOST} group by 1""",
+    "paths_by_entry": f"""with recursive {LATER},
+up as (select node, 0 as depth from late union select src, depth + 1 from up join later on dst = node where depth < {DEPTH}),
+lv as (select node as entry, min(depth) as depth from up group by 1),
+ep as (select entry, depth = {DEPTH} as at_limit from lv where depth > 0 and (depth = {DEPTH} or entry not in (select dst from later))),
+p as (select node as entry, 0 as depth, [node] as path, false as indirect from late
+ union all select c.src, depth + 1, list_prepend(c.src, path), p.indirect or c.indirect from p join later c on c.dst = p.entry where depth < {DEPTH} and not list_contains(path, c.src)),
+r as (select p.*, at_limit, row_number() over (partition by p.entry order by depth, path) as pos, count(*) over (partition by p.entry) as n from p join ep on ep.entry = p.entry)
+select entry, pos, cast(depth as bigint) as depth, array_to_string(path, '>') as path, indirect, at_limit, n >= {MOST} as truncated from r where pos <= {MOST}""",
     "dependency_tree": f"""with recursive {FN}, e as (select distinct module_qn as src, 'Brand#' || (start_line + 10) as dst from fn where start_line % 10 = 1),
 down as (select distinct module_qn as node, 0 as depth from fn where module_qn = '{ROOT}' union select dst, depth + 1 from down join e on src = node where depth < 2),
 least as (select node, min(depth) as depth from down group by 1),

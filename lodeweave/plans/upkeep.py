@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, traverse, vectors
-from ..sources.tables import calls, functions, table
-from .queries import CALLS, FN, QUERY, TARGET
+from ..operators import callpaths, graph, traverse, vectors
+from ..sources.tables import calls, functions, late_function, later_calls, table
+from .queries import CALLS, FN, LATER, QUERY, TARGET
 
 GONE = (3, 9, 27)
 DEPTH = 10  # steps of a whole trace
@@ -201,6 +201,13 @@ def call_tree_depth2(spark, d):
 
 
 def trace_entry_points(spark, d):
+    """Where a trace of callers upwards ends: functions that nothing calls, or at the limit."""
+    edges = later_calls(spark, d)
+    found = callpaths.entry_points(edges, callpaths.distances(edges, late_function(spark, d), DEPTH), DEPTH)
+    return found.select("entry", F.col("depth").cast("long").alias("depth"), "at_limit")
+
+
+def trace_entry_points_whole(spark, d):
     edges = calls(spark, d).select("src", "dst")
     start = edges.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("node"))
     reached = traverse.levels(edges, start, DEPTH).filter("depth > 0")
@@ -217,6 +224,12 @@ def trace_levels_whole(spark, d):
 
 
 def root_modules(spark, d):
+    """Modules that import others and are imported by none."""
+    imports = functions(spark, d).select("module_qn", F.concat(F.lit("Brand#"), (F.col("start_line") + 10).cast("string")).alias("target"))
+    return imports.select("module_qn").distinct().join(imports.select(F.col("target").alias("module_qn")).distinct(), "module_qn", "left_anti")
+
+
+def root_modules_whole(spark, d):
     fn = functions(spark, d)
     called = calls(spark, d).join(fn.select(F.col("node_id").alias("dst"), "module_qn"), "dst").select("module_qn")
     return fn.select("module_qn").distinct().join(called, "module_qn", "left_anti")
@@ -260,7 +273,7 @@ def mask_and_clock(spark, d):
 
 QUERIES = {f.__name__: f for f in (node_by_qn, prefix_suffix_search, registry_remove, prefix_subtree, types_any, metadata_all_match, locate_by_name, call_pairs, callers_with_props, edges_bound_endpoints, bind_edges_dedup, functions_optional_module, caller_module_tag, function_context, visibility_cascade, ownership_hints, signature_text, struct_signature, enclosing_interval, nested_ancestors, root_modules, names_difference, path_difference, concat_heterogeneous, predicates_sorted, build_summary, vector_stats, vector_node_join, store_delete_by_id, hits_enriched, knn_batch, knn_batch_whole, hybrid_search, call_tree_depth2, trace_entry_points, trace_levels_whole, coerce_node_props, export_nodes_json, project_delete, doc_pages_module, doc_index, trace_page_names, snippet_default_end, mask_and_clock)}
 
-QUERIES |= {"root_modules_whole": root_modules, "trace_entry_points_whole": trace_entry_points}
+QUERIES |= {f.__name__: f for f in (root_modules_whole, trace_entry_points_whole)}
 
 
 def _like(query: int) -> str:
@@ -300,9 +313,11 @@ ORACLES = {
     "knn_batch": "select query_id, vec_id, round(score, 4) as score from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as score from embeddings e join embeddings q on q.vec_id < 3 and e.vec_id <> q.vec_id) qualify row_number() over (partition by query_id order by score desc, vec_id) <= 4",
     "hybrid_search": f"with {FN}, near as (select vec_id as node_id, {_like(2)} as likeness, lower(name || ' ' || kind || ' ' || module_qn) as haystack from embeddings join fn on vec_id = node_id where label in (0, 1, 2) order by likeness desc, vec_id limit 40), boosted as (select node_id, likeness + 0.05::double * (" + " + ".join(f"contains(haystack, '{w}')::int" for w in QUERY.split()) + ") as score from near) select node_id, round(score, 4) as score from boosted order by boosted.score desc, node_id limit 10",
     "call_tree_depth2": f"with {CALLS} select a.dst as child, count(*) as n_grandchildren from calls a join calls b on a.dst = b.src where a.src = {TARGET} group by 1",
-    "trace_entry_points": f"with recursive {CALLS}, up as (select dst as node, 0 as depth from (select dst, count(*) as n from calls group by 1 order by n desc, dst limit 1) union select src, depth + 1 from up join calls on dst = node where depth < {DEPTH}), least as (select node, min(depth) as depth from up group by 1) select node as entry, cast(depth as bigint) as depth, depth = {DEPTH} as at_limit from least where depth > 0 and (depth = {DEPTH} or node not in (select dst from calls))",
+    "trace_entry_points": f"with recursive {LATER}, up as (select node, 0 as depth from late union select src, depth + 1 from up join later on dst = node where depth < {DEPTH}), lv as (select node as entry, min(depth) as depth from up group by 1) select entry, cast(depth as bigint) as depth, depth = {DEPTH} as at_limit from lv where depth > 0 and (depth = {DEPTH} or entry not in (select dst from later))",
+    "trace_entry_points_whole": f"with recursive {CALLS}, up as (select dst as node, 0 as depth from (select dst, count(*) as n from calls group by 1 order by n desc, dst limit 1) union select src, depth + 1 from up join calls on dst = node where depth < {DEPTH}), least as (select node, min(depth) as depth from up group by 1) select node as entry, cast(depth as bigint) as depth, depth = {DEPTH} as at_limit from least where depth > 0 and (depth = {DEPTH} or node not in (select dst from calls))",
     "trace_levels_whole": f"with recursive {CALLS}, up as (select cast({TARGET} as bigint) as node, 0 as depth union select src, depth + 1 from up join calls on dst = node where depth < {DEPTH}) select node, min(depth) as depth, min(depth) = {DEPTH} as at_limit from up group by node",
-    "root_modules": f"with {FN}, {CALLS} select distinct module_qn from fn where module_qn not in (select module_qn from calls join fn on dst = node_id)",
+    "root_modules": f"with {FN} select distinct module_qn from fn where module_qn not in (select 'Brand#' || (start_line + 10) from fn)",
+    "root_modules_whole": f"with {FN}, {CALLS} select distinct module_qn from fn where module_qn not in (select module_qn from calls join fn on dst = node_id)",
     "knn_batch_whole": "select query_id, vec_id, round(score, 4) as score from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as score from embeddings e join embeddings q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id) qualify row_number() over (partition by query_id order by score desc, vec_id) <= 4",
     "coerce_node_props": "select doc_id, coalesce(cast(quality as varchar), '') as quality, coalesce(cast(toxic as boolean), false) as toxic from labels",
     "export_nodes_json": f"with {FN} select cast(to_json({{'node_id': node_id, 'qualified_name': qualified_name, 'name': name, 'start_line': start_line}}) as varchar) as node from fn",
@@ -313,4 +328,3 @@ ORACLES = {
     "snippet_default_end": f"with {FN} select node_id, start_line, start_line + case when node_id % 3 <> 0 then 5 else 50 end as end_line from fn",
     "mask_and_clock": "select c_custkey, substr(c_name, 1, 4) || '****' || right(c_name, 2) as masked, printf('%02d:%02d', c_custkey // 60 % 24, c_custkey % 60) as clock from customer",
 }
-ORACLES |= {"root_modules_whole": ORACLES["root_modules"], "trace_entry_points_whole": ORACLES["trace_entry_points"]}

@@ -35,6 +35,16 @@ def calls(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.filter("dst is not null").groupBy("src", "dst").agg(F.min("indirect").alias("indirect"))
 
 
+def later_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls to a function with a greater key than the caller's: they have entry points that nothing calls, and no cycles."""
+    return calls(spark, folder).filter("src < dst")
+
+
+def late_function(spark: SparkSession, folder: str) -> DataFrame:
+    """One row (node): the function at three quarters of all keys."""
+    return table(spark, folder, "part").agg(F.floor(F.max("p_partkey") * 3 / 4).alias("node"))
+
+
 def containment(spark: SparkSession, folder: str) -> DataFrame:
     """(parent, child) keys: region, nation, customer."""
     nation, customer = table(spark, folder, "nation"), table(spark, folder, "customer")
