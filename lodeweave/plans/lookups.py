@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph, resolve, traverse
+from ..sources.shared import folder
 from ..sources.tables import calls, functions, table
-from ..streaming import refresh
+from ..streaming import store
 from .queries import CALLS, FN, TARGET
 
 CHANGED = 45  # functions that start after this line are the changed ones
@@ -47,16 +48,38 @@ def tree_text(spark, d):
     return rows.select("parent", "child", F.col("depth").cast("long").alias("depth"), line.alias("line"))
 
 
+def _filed(spark, d):
+    """Definitions (brand, file, name, qn) and sites (brand, file, name, site): a file for each kind of a brand."""
+    fn = functions(spark, d).select("node_id", F.regexp_extract("module_qn", "[0-9]+", 0).cast("int").alias("brand"), F.concat_ws("/", F.lower("kind"), "module_qn").alias("file"), "name")
+    definitions = fn.select("brand", "file", "name", F.concat_ws(".", "file", "name").alias("qn")).distinct()
+    called = fn.select(F.col("node_id").alias("dst"), "name")
+    sites = calls(spark, d).select("src", "dst").join(called, "dst").join(fn.select(F.col("node_id").alias("src"), "brand", "file"), "src")
+    return definitions, sites.select("brand", "file", "name", (F.col("src") * 10_000_000 + F.col("dst")).alias("site"))
+
+
 def incremental_equals_rebuild(spark, d):
-    """Nodes and edges of changed functions deleted and put back, against the whole table: no difference either way."""
-    nodes, edges = functions(spark, d).select("node_id", "qualified_name"), calls(spark, d).select("src", "dst")
-    gone = functions(spark, d).filter(F.col("start_line") > CHANGED).select("node_id")
-    changed_nodes, changed_edges = nodes.join(gone, "node_id", "left_semi"), edges.join(gone, (F.col("src") == F.col("node_id")) | (F.col("dst") == F.col("node_id")), "left_semi")
-    left, kept = refresh.delete_nodes(nodes, edges, gone)
-    new_nodes, new_edges = refresh.upsert(left, changed_nodes, ["node_id"]), refresh.upsert(kept, changed_edges, ["src", "dst"])
-    rows = [(name, new.exceptAll(old).unionAll(old.exceptAll(new)), new) for name, new, old in (("nodes", new_nodes, nodes), ("edges", new_edges, edges))]
-    counts = [x.agg(F.count("*").alias("n")).crossJoin(y.agg(F.count("*").alias("n_differ"))).select(F.lit(name).alias("what"), "n", "n_differ") for name, y, x in rows]  # one row each
-    return counts[0].unionAll(counts[1])
+    """Calls of a kept graph after three batches: an older state, files added, files changed and deleted; one comes twice.
+
+    In the older state brands up to 5 are missing, those up to 10 have their names turned, and copies of those up to 15 lie in
+    files of their own that go later. The SQL builds the last state from the tables alone.
+    """
+    definitions, sites = _filed(spark, d)
+    turned = F.when(F.col("brand") <= 10, F.concat_ws(" ", F.substring_index("name", " ", -1), F.substring_index("name", " ", 1))).otherwise(F.col("name"))
+    later, copied = F.col("brand") <= 5, F.col("brand").between(11, 15)
+    gone = F.concat(F.lit("gone/"), "file")
+
+    def older(rows, qualified):
+        old = rows.filter(~later).withColumn("name", turned)
+        old = old.unionByName(rows.filter(copied).withColumn("file", gone))
+        return old.withColumn("qn", F.concat_ws(".", "file", "name")) if qualified else old
+
+    files = definitions.select("brand", "file").distinct()
+    kept = store.Store(spark, folder(spark), buckets=8)
+    kept.apply(0, files.filter(~later).unionByName(files.filter(copied).withColumn("file", gone)), older(definitions, True), older(sites, False))
+    kept.apply(1, files.filter(later), definitions, sites)
+    for _ in range(2):
+        kept.apply(2, files.filter(F.col("brand").between(6, 10)).unionByName(files.filter(copied).withColumn("file", gone)), definitions, sites)
+    return kept.read("calls").groupBy("file", "name", "qn").agg(F.count("*").alias("n"), F.min("site").alias("first_site"))
 
 
 def refresh_high_water(spark, d):
@@ -167,7 +190,9 @@ lv as (select cast({TARGET} as bigint) as node, 0 as depth union all select chil
 r as (select src as parent, dst as child, lv.depth + 1 as depth from calls join lv on src = node),
 e as (select *, child <> {TARGET} and row_number() over (partition by child order by depth, parent) = 1 as expanded from r)
 select parent, child, cast(depth as bigint) as depth, repeat('  ', depth) || '- ' || child || case when expanded then '' else ' *' end as line from e""",
-    "incremental_equals_rebuild": f"with {CALLS} select 'nodes' as what, count(*) as n, 0 as n_differ from part union all select 'edges', count(*), 0 from calls",
+    "incremental_equals_rebuild": f"""with {FN}, {CALLS}, f as (select node_id, lower(kind) || '/' || module_qn as file, name from fn),
+d as (select distinct file, name, file || '.' || name as qn from f), s as (select a.file, b.name, src * 10000000 + dst as site from calls join f a on src = a.node_id join f b on dst = b.node_id)
+select s.file, s.name, coalesce(o.qn, l.qn) as qn, count(*) as n, min(site) as first_site from s left join d o on o.file = s.file and o.name = s.name left join (select name, min(qn) as qn from d group by 1) l on l.name = s.name group by 1, 2, 3""",
     "refresh_high_water": "with m as (select max(ts) as mark from events where cast(ts as date) < (select max(cast(ts as date)) from events)) select event_type, count(*) as n, min(event_id) as first_event from events, m where ts > mark group by 1",
     "any_label_in_paths": f"with {FN} select * from (select 'Function' as label, module_qn as path, cast(node_id as varchar) as node from fn union all select 'Customer', cast(c_nationkey as varchar), cast(c_custkey as varchar) from customer union all select 'Supplier', cast(s_nationkey as varchar), cast(s_suppkey as varchar) from supplier) where path in ('Brand#11', 'Brand#12', '1', '3')",
     "module_type_apis": f"with {FN}, r as (select module_qn, 'function' as what, name, start_line, node_id from fn union all select module_qn, 'type', kind, start_line, node_id from fn where kind like '%STEEL%') select module_qn, what, name, start_line, row_number() over (partition by module_qn order by what, start_line, node_id) as pos from r qualify pos <= 50",
