@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import callpaths, graph, traverse, vectors
+from ..operators import callpaths, graph, ivf, traverse, vectors
 from ..sources.tables import calls, functions, late_function, later_calls, table
 from .queries import CALLS, FN, LATER, QUERY, TARGET
 
@@ -179,12 +179,16 @@ def knn_batch(spark, d):
 
 
 def knn_batch_whole(spark, d):
-    rows = table(spark, d, "embeddings")
-    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    # partitions of queries meet partitions of rows; the best of each partition are kept before the shuffle
-    scored = rows.join(queries.hint("shuffle_replicate_nl"), F.col("vec_id") != F.col("query_id")).withColumn("score", text.cosine(F.col("embedding"), F.col("q")))
-    best = graph.first_n(scored.select("query_id", "vec_id", "score"), ["query_id"], [F.desc("score"), F.col("vec_id")], 4)
-    return best.select("query_id", "vec_id", F.round("score", 4).alias("score"))
+    """The four rows most like every twentieth vector, of all rows: blocks of queries go to the rows."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return ivf.exact(rows, rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 4, others=True).select("query_id", "vec_id", F.round("score", 4).alias("score"))
+
+
+def knn_cells(spark, d):
+    """The ten rows most like every twentieth vector by an inverted file, cells that cannot hold a nearer row left out."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    found = ivf.search(ivf.build(rows, cells=16), rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10, others=True)
+    return found.select("query_id", F.col("pos").cast("long").alias("pos"), "vec_id", F.round("score", 4).alias("score"))
 
 
 def hybrid_search(spark, d):
@@ -273,7 +277,7 @@ def mask_and_clock(spark, d):
 
 QUERIES = {f.__name__: f for f in (node_by_qn, prefix_suffix_search, registry_remove, prefix_subtree, types_any, metadata_all_match, locate_by_name, call_pairs, callers_with_props, edges_bound_endpoints, bind_edges_dedup, functions_optional_module, caller_module_tag, function_context, visibility_cascade, ownership_hints, signature_text, struct_signature, enclosing_interval, nested_ancestors, root_modules, names_difference, path_difference, concat_heterogeneous, predicates_sorted, build_summary, vector_stats, vector_node_join, store_delete_by_id, hits_enriched, knn_batch, knn_batch_whole, hybrid_search, call_tree_depth2, trace_entry_points, trace_levels_whole, coerce_node_props, export_nodes_json, project_delete, doc_pages_module, doc_index, trace_page_names, snippet_default_end, mask_and_clock)}
 
-QUERIES |= {f.__name__: f for f in (root_modules_whole, trace_entry_points_whole)}
+QUERIES |= {f.__name__: f for f in (knn_cells, root_modules_whole, trace_entry_points_whole)}
 
 
 def _like(query: int) -> str:
@@ -319,6 +323,7 @@ ORACLES = {
     "root_modules": f"with {FN} select distinct module_qn from fn where module_qn not in (select 'Brand#' || (start_line + 10) from fn)",
     "root_modules_whole": f"with {FN}, {CALLS} select distinct module_qn from fn where module_qn not in (select module_qn from calls join fn on dst = node_id)",
     "knn_batch_whole": "select query_id, vec_id, round(score, 4) as score from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as score from embeddings e join embeddings q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id) qualify row_number() over (partition by query_id order by score desc, vec_id) <= 4",
+    "knn_cells": "select query_id, row_number() over (partition by query_id order by score desc, vec_id) as pos, vec_id, round(score, 4) as score from (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as score from embeddings e join embeddings q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id) qualify pos <= 10",
     "coerce_node_props": "select doc_id, coalesce(cast(quality as varchar), '') as quality, coalesce(cast(toxic as boolean), false) as toxic from labels",
     "export_nodes_json": f"with {FN} select cast(to_json({{'node_id': node_id, 'qualified_name': qualified_name, 'name': name, 'start_line': start_line}}) as varchar) as node from fn",
     "project_delete": "select c_nationkey, count(*) as n from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey = 1) group by 1",
