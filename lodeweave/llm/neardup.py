@@ -30,7 +30,7 @@ BAND = 4  # signature values in a band; 128 values make 32 bands
 BLOCK = 512  # load of a family's members that one task compares with each other or with another block
 LOAD = 4096  # shingles that count as one member more
 STARS = 3  # members of a large family that all others are compared with first
-FILTER_BITS = 1 << 27  # bits of the filter in front of joins by id, 16 MB at every size
+FILTER_BITS = 1 << 26  # bits of the filter in front of joins by id, 8 MB at every size
 SENT = 64_000_000  # bytes of such members that are broadcast; more are joined
 LIKE_LEAST = 0.6  # estimated likeness below which full sets are not compared; 5 standard deviations under 0.8
 
