@@ -76,6 +76,24 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(a["n"] == 0, F.lit(1.0)).otherwise(_shared(a, b, lambda x, y, z: F.when(x == 0, F.lit(0.0)).otherwise(z / x)))
 
 
+def merge(a: Column, b: Column) -> Column:
+    """The sketch of both documents' shingles together: what both keep below the lower bound of the two.
+
+    ``n`` is exact where both sketches hold all of their documents, else estimated from how many hashes lie below the bound.
+    """
+    both = F.struct(a.alias("a"), b.alias("b"), F.least(bound(a), bound(b)).alias("to"))
+
+    def joined(x):
+        return F.struct(F.sort_array(F.filter(F.array_union(x["a"]["hashes"], x["b"]["hashes"]), lambda h: h <= x["to"])).alias("h"), x["to"].alias("to"))
+
+    def sized(x):
+        part = (x["to"].cast("double") - F.lit(float(_LEAST))) / F.lit(float(1 << 64))
+        guess = F.greatest(F.round(F.size(x["h"]) / part).cast("int"), F.size(x["h"]) + 1)
+        return F.struct(F.when(x["to"] == F.lit(_MOST), F.size(x["h"])).otherwise(guess).alias("n"), x["h"].alias("hashes"))
+
+    return _let(_let(both, joined), sized)
+
+
 def as_text(sk: Column) -> Column:
     """The sketch as a string: distinct shingles, then the kept hashes in hexadecimal."""
     return F.concat(sk["n"].cast("string"), F.lit(":"), F.array_join(F.transform(sk["hashes"], lambda h: F.hex(h)), ","))

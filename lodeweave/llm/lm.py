@@ -29,7 +29,8 @@ WORDS = 8192  # words that are clustered on the driver, the most frequent ones
 POOLS = 2048  # items that pool other words
 ENDING = 3  # bytes of a word that choose its pool
 CLASSES = 64
-ROUNDS = 4  # rounds of exchange on the driver
+ROUNDS = 24  # rounds of exchange on the driver at most; they end before when fewer than SETTLED of the items move
+SETTLED = 0.005
 PASSES = 2  # passes that assign all other words
 MIN = 3  # occurrences of a word that is in a class itself
 TOP = 2_000_000  # words in classes at most
@@ -205,15 +206,16 @@ def _cluster(bigrams: DataFrame, n_items: int, size: np.ndarray, seeds: np.ndarr
 
     order = np.flatnonzero(size[:-1] > 0)
     order = order[np.argsort(-size[order], kind="stable")]
-    best = None
+    best, settled = None, not len(order)
     for round_ in range(ROUNDS + 1):
         after, before, twice = around(klass)
         grid = np.zeros((CLASSES, CLASSES))
         np.add.at(grid, klass, after)
         if best is None or likelihood(grid) > best[0]:
             best = likelihood(grid), klass.copy(), grid
-        if round_ == ROUNDS or not exchange(klass, after, before, twice, order):
+        if round_ == ROUNDS or settled:
             break
+        settled = exchange(klass, after, before, twice, order) < SETTLED * len(order)
     return best[1], best[2]
 
 

@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_scopes: list[list[str]] = []
+BATCH_ROWS = 1000  # rows of an Arrow batch where texts may be long
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())  # each thread has its own
 
 
 def folder(spark: SparkSession, kept: bool = False) -> str:
@@ -26,22 +28,31 @@ def folder(spark: SparkSession, kept: bool = False) -> str:
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/lodeweave-{uuid.uuid4().hex}"
-    if _scopes and not kept:
-        _scopes[-1].append(path)
+    if _scopes.get() and not kept:
+        _scopes.get()[-1].append(path)
     return path
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Folders made inside are deleted at the end; what is needed later must be saved in one made before or kept."""
-    _scopes.append([])
+    made: list[str] = []
+    outer = _scopes.set((*_scopes.get(), made))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(outer)
+        for path in made:
             remove(spark, path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold ``BATCH_ROWS`` rows at most: executors hold a few of them at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """These names, with underscores in front where ``columns`` has them, whatever their case."""
     taken = {c.lower() for c in columns}

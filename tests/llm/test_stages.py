@@ -81,3 +81,36 @@ def test_filter_in_front_of_joins_by_id(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{j + i // 3 * 30}" for j in range(30))) for i in range(60)] + [(3, "a b"), (None, ""), (None, "")], "doc_id long, text string")
     kept = sorted(str(r["doc_id"]) for r in neardup.deduplicate(docs).collect())
     assert kept == sorted([str(i) for i in range(0, 60, 3)] + ["None", "None"])
+
+
+def test_scopes_of_threads(spark, tmp_path):
+    """A scope that ends in one thread leaves the tables of another one."""
+    import threading
+
+    inner, go = [], threading.Event()
+
+    def other():
+        with scratch.scope(spark):
+            inner.append(scratch.folder(spark))
+            scratch.save(spark.range(3), inner[0])
+            go.wait(30)
+            inner.append(spark.read.parquet(inner[0]).count())
+
+    thread = threading.Thread(target=other)
+    with scratch.scope(spark):
+        own = scratch.folder(spark)
+        thread.start()
+        while not inner:
+            pass
+        scratch.save(spark.range(5), own)
+    go.set()
+    thread.join()
+    assert inner[1] == 3 and not spark._jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(own))
+
+
+def test_ids_go_where_they_are_asked_for(spark, tmp_path):
+    from lodeweave.llm import idfiles
+
+    rows = [(2, "x y", "en", "a", 5), (1, None, None, None, None)]
+    out = corpus_pipeline.write_ids(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), FOLDER, str(tmp_path / "ids"))
+    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in idfiles.summaries(spark, str(tmp_path / "ids")).collect())
