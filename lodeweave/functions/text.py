@@ -16,8 +16,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def query_tokens(query: Column) -> Column:
-    """Lower-case pieces of at least two characters between white space and punctuation."""
-    return F.filter(F.split(F.lower(query), r"[\s,.;:!?()\[\]{}]+"), lambda t: F.char_length(t) >= 2)
+    """Lower-case pieces of at least two characters between white space and punctuation, ASCII or wide; full stops are kept."""
+    return F.filter(F.split(F.lower(query), r"(?U)[\s,，。、；;:：!！?？()\[\]{}]+"), lambda t: F.char_length(t) >= 2)
 
 
 def hits(tokens: Column, text: Column) -> Column:

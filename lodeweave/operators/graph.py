@@ -84,7 +84,8 @@ def with_docs(hits: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:
     their number of callees; hits without a document or callees stay. Hits are few: documents and edges that no hit
     needs go before they are joined."""
     named = hits.withColumn("_name", paths.file_name(F.col("qualified_name")))
-    attached = named.join(docs.select(F.col("name").alias("_of"), text.doc_summary(F.col("doc")).alias("api_doc")), F.col("_name") == F.col("_of"), "left").drop("_name", "_of")
+    wanted = docs.join(named.select(F.col("_name").alias("name")).distinct(), "name", "left_semi")
+    attached = named.join(wanted.select(F.col("name").alias("_of"), text.doc_summary(F.col("doc")).alias("api_doc")), F.col("_name") == F.col("_of"), "left").drop("_name", "_of")
     counts = edges.join(hits.select(F.col("node_id").alias("src")), "src", "left_semi").groupBy("src").agg(F.count("*").alias("_n"))  # edges are distinct
     counted = attached.join(counts, F.col("node_id") == F.col("src"), "left").withColumn("n_callees", F.coalesce("_n", F.lit(0)))
     return counted.withColumn("leaf", F.col("n_callees") == 0).drop("src", "_n")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, resolve, traverse
+from ..operators import graph, resolve
 from ..sources.shared import folder
 from ..sources.tables import calls, functions, table
 from ..streaming import store
-from .queries import CALLS, FN, TARGET
+from .queries import CALLS, FN
 
-CHANGED = 45  # functions that start after this line are the changed ones
 
 
 def _members(fn):
@@ -41,13 +40,6 @@ def resolve_steps(spark, d):
     return resolve.resolve(sites, definitions, imports, fields)
 
 
-def tree_text(spark, d):
-    start = functions(spark, d).filter(F.col("node_id") == TARGET).select(F.col("node_id").alias("node"))
-    rows = traverse.tree(calls(spark, d).select("src", "dst"), start, 2)
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("child").cast("string"), F.when(F.col("expanded"), "").otherwise(" *"))
-    return rows.select("parent", "child", F.col("depth").cast("long").alias("depth"), line.alias("line"))
-
-
 def _filed(spark, d):
     """Definitions (brand, file, name, qn) and sites (brand, file, name, site): a file for each kind of a brand."""
     fn = functions(spark, d).select("node_id", F.regexp_extract("module_qn", "[0-9]+", 0).cast("int").alias("brand"), F.concat_ws("/", F.lower("kind"), "module_qn").alias("file"), "name")
@@ -159,7 +151,7 @@ def params_removed(spark, d):
     return docs.filter(~F.col("symbol").eqNullSafe(F.col("own"))).groupBy("doc_id").agg(F.count("*").alias("n_symbols"))
 
 
-QUERIES = {f.__name__: f for f in (resolve_steps, tree_text, incremental_equals_rebuild, refresh_high_water, any_label_in_paths, module_type_apis, usage_snippet, rag_contexts, symbol_lookup, links_self_join, func_map_join, version_order, simple_names, fence_strip, params_removed)}
+QUERIES = {f.__name__: f for f in (resolve_steps, incremental_equals_rebuild, refresh_high_water, any_label_in_paths, module_type_apis, usage_snippet, rag_contexts, symbol_lookup, links_self_join, func_map_join, version_order, simple_names, fence_strip, params_removed)}
 
 _SYMBOLS = r"(select distinct doc_id, source, lang, unnest(regexp_extract_all(replace(replace(text, chr(10), '  '), ' ', '  '), '(?:^|[ ])([A-Z][a-z]{3,})[ .,]', 1)) as symbol from documents)"
 
@@ -185,11 +177,6 @@ v as (select u.* from u join d on d.qn = u.qn union all select k.m, k.c, k.x, 5,
  union all select k.m, k.c, k.x, 6, z.rank, z.qn from k join (select e.m, e.x, d.qn, row_number() over (partition by e.m, e.x order by not starts_with(d.qn, split_part(e.m, '.', 1) || '.'), d.seq) as rank from e join d on ends_with(d.qn, '.' || e.x)) z on z.m = k.m and z.x = k.x where not own),
 b as (select * from v qualify row_number() over (partition by m, c, x order by step, rank) = 1)
 select s.call_id, b.qn, b.step from s left join b on b.m = s.m and b.x = s.x and b.c is not distinct from s.c""",
-    "tree_text": f"""with {CALLS}, one as (select src as parent, dst as child, 1 as depth from calls where src = {TARGET}),
-lv as (select cast({TARGET} as bigint) as node, 0 as depth union all select child, 1 from one where child <> {TARGET}),
-r as (select src as parent, dst as child, lv.depth + 1 as depth from calls join lv on src = node),
-e as (select *, child <> {TARGET} and row_number() over (partition by child order by depth, parent) = 1 as expanded from r)
-select parent, child, cast(depth as bigint) as depth, repeat('  ', depth) || '- ' || child || case when expanded then '' else ' *' end as line from e""",
     "incremental_equals_rebuild": f"""with {FN}, {CALLS}, f as (select node_id, lower(kind) || '/' || module_qn as file, name from fn),
 d as (select distinct file, name, file || '.' || name as qn from f), s as (select a.file, b.name, src * 10000000 + dst as site from calls join f a on src = a.node_id join f b on dst = b.node_id)
 select s.file, s.name, coalesce(o.qn, l.qn) as qn, count(*) as n, min(site) as first_site from s left join d o on o.file = s.file and o.name = s.name left join (select name, min(qn) as qn from d group by 1) l on l.name = s.name group by 1, 2, 3""",
