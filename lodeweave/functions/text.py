@@ -67,7 +67,10 @@ def usage(text: Column, token: Column, around_lines: int) -> Column:
 
 def without_fence(reply: Column) -> Column:
     """A reply without the code fence around it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(reply), "^```[a-z]*\n?", ""), "\n?```$", ""))
+    def stripped(x: Column) -> Column:
+        return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+    return stripped(F.regexp_replace(F.regexp_replace(stripped(reply), "^```[a-z]*\n?", ""), "\n?```$", ""))
 
 
 def has_cjk(text: Column) -> Column:

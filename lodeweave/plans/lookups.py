@@ -114,12 +114,14 @@ def rag_contexts(spark, d):
 
 
 def symbol_lookup(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", F.explode(text.symbols(F.col("text"))).alias("symbol"))
-    return docs.join(docs.groupBy("symbol").agg(F.count("*").alias("n")).filter("n = 2"), "symbol").select("symbol", "doc_id", "source")
+    """Documents that hold a symbol of a benchmark item, by an index of symbols."""
+    index = table(spark, d, "documents").select("doc_id", "source", F.explode(text.symbols(F.col("text"))).alias("symbol"))
+    asked = table(spark, d, "benchmark").select(F.explode(text.symbols(F.col("text"))).alias("symbol")).distinct()
+    return index.join(asked, "symbol", "left_semi").select("symbol", "doc_id", "source")
 
 
 def links_self_join(spark, d):
-    """Pages that link to a page's address: link target to its sources."""
+    """Link targets with the pages that link to them."""
     pages = table(spark, d, "pages").select("page_id", "url", text.links(F.col("html")).alias("links"))
     out = pages.select("page_id", F.explode("links").alias("target")).distinct()
     return out.groupBy("target").agg(F.count("*").alias("n_sources"), F.min("page_id").alias("first_source"))
@@ -137,18 +139,21 @@ def version_order(spark, d):
 
 
 def simple_names(spark, d):
-    return functions(spark, d).select(text.simple_name(F.col("qualified_name")).alias("simple"), "module_qn", text.has_cjk(F.col("name")).alias("cjk"))
+    name = F.when(F.col("start_line") > 25, F.concat("name", F.lit("部件"))).otherwise(F.col("name"))
+    return functions(spark, d).select(text.simple_name(F.col("qualified_name")).alias("simple"), "module_qn", text.has_cjk(name).alias("cjk"))
 
 
 def fence_strip(spark, d):
-    reply = F.concat(F.lit("```sql\n"), F.col("p_name"), F.lit("\n```"))
+    """Replies with a fence and a language, with a bare fence, or without one."""
+    size, name = F.col("p_size"), F.col("p_name")
+    reply = F.when(size < 15, F.concat(F.lit("```sql\n"), name, F.lit("\n```"))).when(size < 30, F.concat(F.lit("  ```\n"), name, F.lit(" ```x\n```\n"))).otherwise(F.concat(name, F.lit(" ")))
     return table(spark, d, "part").select("p_partkey", text.without_fence(reply).alias("query"))
 
 
 def params_removed(spark, d):
-    """Capitalised words of a text that are no value of its own row."""
-    docs = table(spark, d, "documents").select("doc_id", F.explode(text.symbols(F.col("text"))).alias("symbol"), F.initcap("lang").alias("own"))
-    return docs.filter(~F.col("symbol").eqNullSafe(F.col("own"))).groupBy("doc_id").agg(F.count("*").alias("n_symbols"))
+    """Symbols of a text that its first line does not hold already."""
+    own = text.symbols(F.substring_index("text", "\n", 1))
+    return table(spark, d, "documents").select("doc_id", F.size(F.array_except(text.symbols(F.col("text")), own)).cast("long").alias("n_symbols")).filter("n_symbols > 0")
 
 
 QUERIES = {f.__name__: f for f in (resolve_steps, incremental_equals_rebuild, refresh_high_water, any_label_in_paths, module_type_apis, usage_snippet, rag_contexts, symbol_lookup, links_self_join, func_map_join, version_order, simple_names, fence_strip, params_removed)}
@@ -188,11 +193,14 @@ t as (select w.dst, w.src, token, string_split(text, chr(10)) as lines from w le
 p as (select *, list_position(list_transform(lines, lambda x: contains(x, token)), true) as hit from t)
 select dst, src, case when hit > 0 then array_to_string(list_slice(lines, greatest(hit - 3, 1), hit + 3), chr(10)) end as usage from p""",
     "rag_contexts": f"with {FN}, {CALLS}, n as (select src, qualified_name as entity from calls join fn on dst = node_id and contains(name, 'widget') qualify row_number() over (partition by dst order by src) <= 5) select entity, qualified_name as related, module_qn from n join fn on src = node_id",
-    "symbol_lookup": f"with s as {_SYMBOLS} select symbol, doc_id, source from s qualify count(*) over (partition by symbol) = 2",
+    "symbol_lookup": f"with s as {_SYMBOLS}, b as (select distinct unnest(regexp_extract_all(replace(replace(text, chr(10), '  '), ' ', '  '), '(?:^|[ ])([A-Z][a-z]{{3,}})[ .,]', 1)) as symbol from benchmark) select symbol, doc_id, source from s where symbol in (select symbol from b)",
     "links_self_join": "select target, count(*) as n_sources, min(page_id) as first_source from (select distinct page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as target from pages) group by 1",
     "func_map_join": f"with {FN} select name, min(qualified_name) as qualified_name, count(*) as n_hits from fn join embeddings on vec_id = node_id where label = 2 group by 1",
     "version_order": "select p_brand as module, arg_max('v' || (p_size % 12) || '.' || (p_partkey % 13), (p_size % 12) * 100 + p_partkey % 13) as newest from part group by 1",
-    "simple_names": f"with {FN} select string_split(qualified_name, '.')[-1] as simple, module_qn, false as cjk from fn",
-    "fence_strip": "select p_partkey, p_name as query from part",
-    "params_removed": f"select doc_id, count(*) as n_symbols from {_SYMBOLS} where symbol is distinct from upper(substr(lang, 1, 1)) || lower(substr(lang, 2)) group by 1",
+    "simple_names": f"with {FN} select string_split(qualified_name, '.')[-1] as simple, module_qn, regexp_matches(case when start_line > 25 then name || '部件' else name end, '[一-鿿]') as cjk from fn",
+    "fence_strip": "select p_partkey, case when p_size >= 15 and p_size < 30 then p_name || ' ```x' else p_name end as query from part",
+    "params_removed": """with t as (select doc_id, text, split_part(text, chr(10), 1) as head from documents),
+s as (select doc_id, unnest(regexp_extract_all(replace(replace(text, chr(10), '  '), ' ', '  '), '(?:^|[ ])([A-Z][a-z]{3,})[ .,]', 1)) as symbol from t),
+h as (select doc_id, unnest(regexp_extract_all(replace(head, ' ', '  '), '(?:^|[ ])([A-Z][a-z]{3,})[ .,]', 1)) as symbol from t)
+select doc_id, count(*) as n_symbols from (select doc_id, symbol from s except select doc_id, symbol from h) group by 1""",
 }
