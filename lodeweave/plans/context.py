@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import context
+from ..operators import context, streaks
+from ..sources import files
 from ..sources.tables import calls, containment, functions, table
 from .queries import CALLS, FN
 
@@ -65,7 +66,26 @@ def first_meaningful_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("n"), F.md5(F.array_join(lines, "\n")).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (functions_named, callers_of_names, function_both_ways, function_call_pairs, edges_with_places, module_overviews, hierarchy_both_sides, first_meaningful_lines)}
+def decoded_documents(spark, d):
+    """Documents as the bytes of files with carriage returns, decoded again."""
+    raw = F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8")
+    found = files.decoded(table(spark, d, "documents").select("doc_id", raw.alias("content")))
+    return found.select("doc_id", F.md5("text").alias("digest"), "encoding")
+
+
+def event_streaks(spark, d):
+    """Stretches of at least two events of one kind in a row, by user."""
+    found = streaks.streaks(table(spark, d, "events"), "user_id", [F.col("ts"), F.col("event_id")], F.col("event_type"))
+    return found.filter("size > 1").select("user_id", F.col("outcome").alias("event_type"), "first_pos", "size")
+
+
+def breaker_skips(spark, d):
+    """Events of each user that a breaker skips once three errors came in a row."""
+    found = streaks.broken(table(spark, d, "events"), "user_id", [F.col("ts"), F.col("event_id")], F.col("event_type") == "error", 3)
+    return found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("skipped").cast("long")).alias("n_skipped"), F.min(F.when(F.col("skipped"), F.col("event_id"))).alias("first_skipped"))
+
+
+QUERIES = {f.__name__: f for f in (functions_named, callers_of_names, function_both_ways, function_call_pairs, edges_with_places, module_overviews, hierarchy_both_sides, first_meaningful_lines, decoded_documents, event_streaks, breaker_skips)}
 
 _ASK = f"{FN}, ask as (select distinct name as ask from fn union select qualified_name from fn union select 'no ' || name from fn)"
 
@@ -83,4 +103,8 @@ select module_qn, count(*) as n_functions, (select count(*) from m where a = mod
     "hierarchy_both_sides": """with e as (select 'region:' || n_regionkey as parent, 'nation:' || n_nationkey as child from nation union select 'nation:' || c_nationkey, 'customer:' || c_custkey from customer), n as (select parent as node from e union select child from e)
 select node, (select string_agg(parent, ',' order by parent) from e where child = node) as parents, (select count(*) from e where parent = node) as n_children, (select array_to_string(list(child order by child)[:5], ',') from e where parent = node) as children from n""",
     "first_meaningful_lines": "with l as (select doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: not regexp_matches(trim(x, ' '), '^(|[-=#*/]+)$'))[:15] as lines from documents) select doc_id, len(lines) as n, md5(array_to_string(lines, chr(10))) as digest from l",
+    "decoded_documents": "select doc_id, md5(replace(text, chr(13), '')) as digest, 'utf-8' as encoding from documents",
+    "event_streaks": "with p as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as pos, row_number() over (partition by user_id, event_type order by ts, event_id) as own from events) select user_id, event_type, min(pos) as first_pos, count(*) as size from p group by user_id, event_type, pos - own having count(*) > 1",
+    "breaker_skips": """with e as (select *, row_number() over w as pos, event_type = 'error' and lag(event_type, 1) over w = 'error' and lag(event_type, 2) over w = 'error' as third from events window w as (partition by user_id order by ts, event_id)),
+o as (select user_id, min(pos) as opened from e where third group by 1) select e.user_id, count(*) as n, count(*) filter (pos > opened) as n_skipped, min(event_id) filter (pos > opened) as first_skipped from e left join o on o.user_id = e.user_id group by 1""",
 }
