@@ -19,7 +19,9 @@ from ..sources.shared import written
 def distances(edges: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
     """(target, node, walks): bit n of ``walks`` is set where a walk of n steps along ``edges`` (src, dst) leads from the node
     to the target (column node of ``targets``) without passing it before; n is at most ``max_depth``. The lowest bit is
-    the least number of steps. Each frontier is written, an empty one ends the search."""
+    the least number of steps. Each frontier is written, an empty one ends the search. ``max_depth`` is 62 at most, a bit each."""
+    if not 0 <= max_depth <= 62:
+        raise ValueError("max_depth must be from 0 to 62")
     step = written(edges.select("src", "dst").distinct())
     frontier = every = written(targets.select(F.col("node").alias("target"), "node").filter("node is not null").distinct().withColumn("n", F.lit(0)))
     for n in range(1, max_depth + 1):

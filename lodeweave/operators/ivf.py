@@ -105,11 +105,15 @@ def build(store: DataFrame, cells: int = 64, sample: int = SAMPLE, rounds: int =
     for r in found:
         if r["cell"] >= 0:
             radius[r["cell"]] = r["radius"]
-    split = F.lit(1)
-    for cell, n in parts.items():
-        if n > 1:
-            split = F.when(F.col("cell") == cell, F.lit(n)).otherwise(split)
-    return Index(centers, radius, parts, placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), split).cast("int")))
+    index = Index(centers, radius, parts, placed)
+    dealt = placed.join(F.broadcast(_parts(index)), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("n_parts")).cast("int"))
+    index.rows = dealt.drop("n_parts")
+    return index
+
+
+def _parts(index: Index) -> DataFrame:
+    """(cell, n_parts): a row for each cell that has rows."""
+    return index.rows.sparkSession.createDataFrame(list(index.parts.items()), "cell int, n_parts int")
 
 
 def _nearest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -145,13 +149,9 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def _probe(index: Index, asked: DataFrame, k: int, others: bool) -> DataFrame:
     """(query_id, vec_id, score): the best of each cell's part for ``asked`` (query_id, unit, cell)."""
-    n_parts = F.lit(1)
-    for cell, n in index.parts.items():
-        if n > 1:
-            n_parts = F.when(F.col("cell") == cell, F.lit(n)).otherwise(n_parts)
     counts = asked.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))  # a row a cell
     asked = asked.join(F.broadcast(counts), "cell").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1))).select("query_id", "unit", "cell", "part", "chunk")
+    asked = asked.join(F.broadcast(_parts(index)), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).select("query_id", "unit", "cell", "part", "chunk")
     rows = index.rows.join(F.broadcast(counts), "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("vec_id", "unit", "cell", "part", "chunk")
     keys = ["cell", "part", "chunk"]
     kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, vec_id {rows.schema['vec_id'].dataType.simpleString()}, score double"
