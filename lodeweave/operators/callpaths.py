@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import folder, scope, written
 
 
 def distances(edges: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
@@ -22,6 +22,13 @@ def distances(edges: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame
     the least number of steps. Each frontier is written, an empty one ends the search. ``max_depth`` is 62 at most, a bit each."""
     if not 0 <= max_depth <= 62:
         raise ValueError("max_depth must be from 0 to 62")
+    spark = edges.sparkSession
+    place = folder(spark)
+    with scope(spark):
+        return written(_distances(edges, targets, max_depth), place)
+
+
+def _distances(edges: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
     step = written(edges.select("src", "dst").distinct())
     frontier = every = written(targets.select(F.col("node").alias("target"), "node").filter("node is not null").distinct().withColumn("n", F.lit(0)))
     for n in range(1, max_depth + 1):
@@ -30,7 +37,7 @@ def distances(edges: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame
         if frontier.isEmpty():
             break
         every = every.unionAll(frontier)
-    return written(every.groupBy("target", "node").agg(F.bit_or(F.expr("shiftleft(1L, n)")).alias("walks")))
+    return every.groupBy("target", "node").agg(F.bit_or(F.expr("shiftleft(1L, n)")).alias("walks"))
 
 
 def _least(walks: Column) -> Column:
@@ -53,6 +60,13 @@ def first_paths(edges: DataFrame, reached: DataFrame, entries: DataFrame, max_de
 
     ``reached`` comes from ``distances`` with the same edges. A path is an array of nodes from the entry to the target.
     """
+    spark = edges.sparkSession
+    place = folder(spark)
+    with scope(spark):
+        return written(_first_paths(edges, reached, entries, max_depth, most, room), place)
+
+
+def _first_paths(edges: DataFrame, reached: DataFrame, entries: DataFrame, max_depth: int, most: int, room: int | None) -> DataFrame:
     step = written(edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).filter("src != dst").distinct())
     room = room or 2 * most
     lengths = F.filter(F.sequence(F.lit(1), F.lit(max_depth)), lambda n: F.getbit("walks", n.cast("int")) == 1)
@@ -105,7 +119,7 @@ def trace(edges: DataFrame, targets: DataFrame, max_depth: int = 10, most: int =
     edges = edges.filter("src is not null and dst is not null")
     reached = distances(edges, targets, max_depth)
     entries = written(entry_points(edges, reached, max_depth))
-    found = written(first_paths(edges, reached, entries, max_depth, most))
+    found = first_paths(edges, reached, entries, max_depth, most)
     hops = found.select("target", "entry", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("src"), F.get("path", i).alias("dst")))).alias("e"))
     flag = F.col("indirect") if "indirect" in edges.columns else F.lit(False)
     direct = edges.groupBy("src", "dst").agg(F.min(flag).alias("_indirect"))

@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import folder, scope, written
 
 
 def levels(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth): nodes that reach a ``start`` node (column node) in at most ``max_depth`` steps, by least depth.
 
-    Level n + 1 is what calls level n and was not seen before. Each frontier is written, so that plans do not
+    Level n + 1 is what calls level n and was not seen before. Each frontier is written and deleted at the end, so that plans do not
     grow with the depth; an empty one ends the walk, and cycles end because seen nodes are left out.
     """
-    step = written(edges.select(F.col("src").alias("next"), F.col("dst").alias("node")))
-    frontier = seen = written(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
-        frontier = step.join(frontier.select("node"), "node").select(F.col("next").alias("node")).distinct()
-        frontier = written(frontier.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionAll(frontier)
-    return seen
+    spark = edges.sparkSession
+    out = folder(spark)
+    with scope(spark):
+        step = written(edges.select(F.col("src").alias("next"), F.col("dst").alias("node")))
+        frontier = seen = written(start.select("node").distinct().withColumn("depth", F.lit(0)))
+        for depth in range(1, max_depth + 1):
+            frontier = step.join(frontier.select("node"), "node").select(F.col("next").alias("node")).distinct()
+            frontier = written(frontier.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+            if frontier.isEmpty():
+                break
+            seen = seen.unionAll(frontier)
+        return written(seen, out)
 
 
 def tree(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:

@@ -65,3 +65,21 @@ def test_depth_ten_and_empty(spark):
         assert traced(spark, chain, [0], depth, 20) == listed(set(chain), 0, depth, 20)
     points, paths = callpaths.trace(spark.createDataFrame([], "src long, dst long"), spark.createDataFrame([(1,)], "node long"))
     assert points.isEmpty() and paths.isEmpty()
+
+
+def test_frontiers_are_deleted(spark):
+    from lodeweave.operators import rendering, traverse
+    from lodeweave.sources import shared
+
+    place = spark.conf.get("spark.checkpoint.dir")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    count = lambda: len(fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs_path))
+    edges, start = spark.createDataFrame([(i + 1, i) for i in range(6)], "src long, dst long"), spark.createDataFrame([(0,)], "node long")
+    before = count()
+    found = traverse.levels(edges, start, 4)
+    rows = rendering.tree(edges, spark.createDataFrame([(6,)], "node long"), 3)
+    reached = callpaths.distances(edges, start, 5)
+    assert count() == before + 3 and found.count() == 5 and rows.count() == 4 and reached.count() == 6
+    with shared.scope(spark):
+        traverse.levels(edges, start, 2)
+    assert count() == before + 3
