@@ -2,8 +2,8 @@
 
 Every word that occurs at least ``MIN`` times belongs to a class; rarer words are pooled by their ending.
 The most frequent words and the pools are clustered by exchange: each round counts, over all bigrams of the
-corpus, how often an item stands before and after each class, and then items move one by one to the class
-that gains most in the likelihood of the class bigrams, whose counts follow every move. All other words are
+corpus, how often an item stands before and after each class, and then a quarter of the items move one by one to the
+class that gains most in the likelihood of the class bigrams, whose counts follow every move. All other words are
 too many for the driver: in further passes over the corpus each is counted on Spark before and after each
 class, and a task moves it to its likeliest class. The model multiplies class transition, word emission and,
 for pooled words, the word's smoothed share of its pool.
@@ -29,8 +29,9 @@ WORDS = 8192  # words that are clustered on the driver, the most frequent ones
 POOLS = 2048  # items that pool other words
 ENDING = 3  # bytes of a word that choose its pool
 CLASSES = 64
-ROUNDS = 24  # rounds of exchange on the driver at most; they end before when fewer than SETTLED of the items move
-SETTLED = 0.005
+SLICES = 4  # parts of the items; a round moves one of them, so that what stands around them is fresh
+ROUNDS = 32  # rounds of exchange on the driver at most; they end before when fewer than SETTLED of all items moved in SLICES rounds
+SETTLED = 0.02
 PASSES = 2  # passes that assign all other words
 MIN = 3  # occurrences of a word that is in a class itself
 TOP = 2_000_000  # words in classes at most
@@ -140,25 +141,30 @@ def exchange(klass: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np
     """
     grid = np.zeros((CLASSES, CLASSES))
     np.add.at(grid, klass, after)
-    rows, cols = grid.sum(1), grid.sum(0)
+    rows, cols, cells = grid.sum(1), grid.sum(0), _xlogx(grid)
     moved, diagonal = 0, np.arange(CLASSES)
+
+    def renewed(k: int) -> None:
+        cells[k], cells[:, k] = _xlogx(grid[k]), _xlogx(grid[:, k])
+
     for i in order.tolist():
         own, t = klass[i], twice[i]
         f, p = after[i].copy(), before[i].copy()
         f[own] -= t
         p[own] -= t
         n_out, n_in = f.sum() + t, p.sum() + t
-        grid[own] -= f
-        grid[:, own] -= p
-        grid[own, own] -= t
-        np.maximum(grid, 0, out=grid)  # neighbours may have moved since the round began
+        # neighbours may have moved since the round began: no count falls below 0
+        grid[own] = np.maximum(grid[own] - f, 0)
+        grid[:, own] = np.maximum(grid[:, own] - p, 0)
+        grid[own, own] = max(grid[own, own] - t, 0)
+        renewed(own)
         rows[own] -= n_out
         cols[own] -= n_in
-        cells = _xlogx(grid)
-        put_row, put_col = _xlogx(grid + f), _xlogx(grid + p[:, None])
-        both = grid[diagonal, diagonal] + f + p + t
-        gain = (put_row - cells).sum(1) + (put_col - cells).sum(0)
-        gain += _xlogx(both) - put_row[diagonal, diagonal] - put_col[diagonal, diagonal] + cells[diagonal, diagonal]
+        # only classes that stand around the item change
+        some_f, some_p = np.flatnonzero(f), np.flatnonzero(p)
+        gain = (_xlogx(grid[:, some_f] + f[some_f]) - cells[:, some_f]).sum(1) + (_xlogx(grid[some_p] + p[some_p, None]) - cells[some_p]).sum(0)
+        same = grid[diagonal, diagonal]
+        gain += _xlogx(same + f + p + t) - _xlogx(same + f) - _xlogx(same + p) + cells[diagonal, diagonal]
         gain -= _xlogx(np.maximum(rows + n_out, 0)) - _xlogx(np.maximum(rows, 0)) + _xlogx(np.maximum(cols + n_in, 0)) - _xlogx(np.maximum(cols, 0))
         gain[-1] = -np.inf
         best = int(gain.argmax())
@@ -169,6 +175,7 @@ def exchange(klass: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np
         grid[best] += f
         grid[:, best] += p
         grid[best, best] += t
+        renewed(best)
         rows[best] += n_out
         cols[best] += n_in
     return moved
@@ -206,7 +213,7 @@ def _cluster(bigrams: DataFrame, n_items: int, size: np.ndarray, seeds: np.ndarr
 
     order = np.flatnonzero(size[:-1] > 0)
     order = order[np.argsort(-size[order], kind="stable")]
-    best, settled = None, not len(order)
+    best, settled, moved = None, not len(order), []
     for round_ in range(ROUNDS + 1):
         after, before, twice = around(klass)
         grid = np.zeros((CLASSES, CLASSES))
@@ -215,7 +222,9 @@ def _cluster(bigrams: DataFrame, n_items: int, size: np.ndarray, seeds: np.ndarr
             best = likelihood(grid), klass.copy(), grid
         if round_ == ROUNDS or settled:
             break
-        settled = exchange(klass, after, before, twice, order) < SETTLED * len(order)
+        slices = np.random.default_rng(round_ // SLICES).permutation(len(order)) % SLICES
+        moved.append(exchange(klass, after, before, twice, order[slices == round_ % SLICES]))
+        settled = len(moved) >= SLICES and sum(moved[-SLICES:]) < SETTLED * len(order)
     return best[1], best[2]
 
 
