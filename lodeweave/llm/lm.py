@@ -133,14 +133,16 @@ def likelihood(grid: np.ndarray) -> float:
     return float(_xlogx(grid).sum() - _xlogx(grid.sum(0)).sum() - _xlogx(grid.sum(1)).sum())
 
 
-def exchange(klass: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray, order: np.ndarray) -> int:
+def exchange(klass: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray, order: np.ndarray, grid: np.ndarray | None = None) -> int:
     """Move the items of ``order`` one by one, in place, to the class that makes class bigrams likeliest; how many moved.
 
     ``after`` and ``before`` count the classes around each item at the start of the round, ``twice`` an item
-    beside itself. The counts of class bigrams follow each move. The last class takes and gives no item.
+    beside itself; only rows of ``order`` count if ``grid``, the class bigrams, is given. The counts of class bigrams follow each move. The last class takes and gives no item.
     """
-    grid = np.zeros((CLASSES, CLASSES))
-    np.add.at(grid, klass, after)
+    if grid is None:
+        grid = np.zeros((CLASSES, CLASSES))
+        np.add.at(grid, klass, after)
+    grid = grid.copy()
     rows, cols, cells = grid.sum(1), grid.sum(0), _xlogx(grid)
     moved, diagonal = 0, np.arange(CLASSES)
 
@@ -189,41 +191,42 @@ def _cluster(bigrams: DataFrame, n_items: int, size: np.ndarray, seeds: np.ndarr
     klass[-1] = CLASSES - 1
     cells_of = 2 * n_items * CLASSES
 
-    def around(klass):
-        """Counts of (item, class after it), (class before it, item) and (item, itself)."""
-        sent = spark.sparkContext.broadcast(klass)
+    def around(klass, wanted):
+        """Counts of (item, class after it), (class before it, item) and (item, itself) for the items ``wanted``, and the class bigrams."""
+        sent = spark.sparkContext.broadcast((klass, wanted))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = sent.value
-            total = np.zeros(cells_of + n_items, np.int64)
+            of, wanted = sent.value
+            total = np.zeros(cells_of + n_items + CLASSES * CLASSES, np.int64)
             for batch in batches:
                 a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
-                total += np.bincount(a * CLASSES + of[b], weights=n, minlength=len(total)).astype(np.int64)
-                total += np.bincount((n_items + b) * CLASSES + of[a], weights=n, minlength=len(total)).astype(np.int64)
-                total += np.bincount(cells_of + a[a == b], weights=n[a == b], minlength=len(total)).astype(np.int64)
+                x, y, z = wanted[a], wanted[b], wanted[a] & (a == b)
+                where = [a[x] * CLASSES + of[b[x]], (n_items + b[y]) * CLASSES + of[a[y]], cells_of + a[z], cells_of + n_items + of[a] * CLASSES + of[b]]
+                total += np.bincount(np.concatenate(where), weights=np.concatenate([n[x], n[y], n[z], n]), minlength=len(total)).astype(np.int64)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
 
         cells = bigrams.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most (2 * classes + 1) * items rows
-        total = np.zeros(cells_of + n_items)
+        total = np.zeros(cells_of + n_items + CLASSES * CLASSES)
         total[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
         sent.unpersist()
         after, before = total[:cells_of].reshape(2, n_items, CLASSES)
-        return after, before, total[cells_of:]
+        return after, before, total[cells_of : cells_of + n_items], total[cells_of + n_items :].reshape(CLASSES, CLASSES)
 
     order = np.flatnonzero(size[:-1] > 0)
     order = order[np.argsort(-size[order], kind="stable")]
     best, settled, moved = None, not len(order), []
     for round_ in range(ROUNDS + 1):
-        after, before, twice = around(klass)
-        grid = np.zeros((CLASSES, CLASSES))
-        np.add.at(grid, klass, after)
+        slices = np.random.default_rng(round_ // SLICES).permutation(len(order)) % SLICES
+        chosen = order[slices == round_ % SLICES]
+        wanted = np.zeros(n_items, bool)
+        wanted[chosen] = True
+        after, before, twice, grid = around(klass, wanted)
         if best is None or likelihood(grid) > best[0]:
             best = likelihood(grid), klass.copy(), grid
         if round_ == ROUNDS or settled:
             break
-        slices = np.random.default_rng(round_ // SLICES).permutation(len(order)) % SLICES
-        moved.append(exchange(klass, after, before, twice, order[slices == round_ % SLICES]))
+        moved.append(exchange(klass, after, before, twice, chosen, grid))
         settled = len(moved) >= SLICES and sum(moved[-SLICES:]) < SETTLED * len(order)
     return best[1], best[2]
 
