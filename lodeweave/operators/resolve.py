@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 INCLUDED = "__c_module__"  # fixed value: the mark of included modules among import keys
 
 
@@ -57,14 +59,18 @@ def resolve(sites: DataFrame, definitions: DataFrame, imports: DataFrame, fields
     4: a definition of the own module. 5, dotted names: the last part by ``fields`` (field, qn).
     6: the first registered name that ends with a dot and the whole name, names of the own top package before others.
 
-    Null and empty names lead nowhere, null modules and classes are taken as empty. Each (module, class, name) is resolved once, so
-    a call that a third of all sites make costs as much as a rare one. All steps are equi-joins.
+    Null and empty names lead nowhere, null modules and classes are taken as empty. Each name is resolved once for a module, or
+    for a class in step 1, so a call that a third of all sites make costs as much as a rare one; a module that is included
+    many times counts once, where it comes first. All steps are equi-joins. Sites are written once and read back.
     """
     index = suffix_index(definitions) if index is None else index
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     keyed = sites.select("call_id", text("module").alias("m"), text("class").alias("c"), text("name").alias("x"))
-    asked = keyed.select("m", "c", "x").distinct().filter("x != ''")
     own = (F.col("c") != "") & (F.startswith("x", F.lit("self.")) | F.startswith("x", F.lit("this.")))
+    # the first step heeds the class alone, the others the module alone
+    keyed = keyed.select("call_id", F.when(own, "").otherwise(F.col("m")).alias("m"), F.when(own, F.col("c")).otherwise("").alias("c"), "x")
+    keyed = written(keyed)
+    asked = written(keyed.select("m", "c", "x").distinct().filter("x != ''"))  # nine steps read it
     dot = F.locate(".", F.col("x"))
     selfs = asked.filter(own)
     rest = asked.filter(~own)
@@ -72,7 +78,7 @@ def resolve(sites: DataFrame, definitions: DataFrame, imports: DataFrame, fields
     maps = imports.filter("module is not null and key is not null and target is not null").select(F.col("module").alias("m"), "key", "target", "seq")
     named = maps.filter(~F.startswith("key", F.lit(INCLUDED)))
     plain = named.groupBy("m", "key").agg(F.max_by("target", "seq").alias("target"))  # a later import of a key replaces it
-    included = maps.filter(F.startswith("key", F.lit(INCLUDED))).select("m", F.col("target").alias("im"), "seq")
+    included = maps.filter(F.startswith("key", F.lit(INCLUDED))).groupBy("m", F.col("target").alias("im")).agg(F.min("seq").alias("seq"))
 
     def way(rows: DataFrame, step: int, qn: Column, rank: Column | int = 0, half: int = 0) -> DataFrame:
         """Candidates: the name that would be right, and how early it counts."""

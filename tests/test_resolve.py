@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodeweave.operators import resolve
+from lodeweave.operators import graph, resolve
+from measured import most_rows
 
 
 def cascade(name, module, cls, registry, imports, fields):
@@ -84,3 +85,28 @@ def test_index_is_refreshed_like_rebuilt(spark):
     assert flat(got) == flat(resolve.suffix_index(left.unionByName(new)))
     assert resolve.suffix_index(old.limit(0)).count() == 0 and resolve.suffix_index(spark.createDataFrame([("plain", 1)], "qn string, seq long")).isEmpty()
     assert [r[0] for r in spark.createDataFrame([("a.b..c",)], "q string").select(F.explode(resolve.suffixes(F.col("q")))).collect()][:3] == ["b..c", ".c", "c"]
+
+
+def test_included_modules_that_repeat_count_once(spark):
+    # one module includes two others 500 times each and calls 200 names of theirs, from 50 classes
+    registry = [f"{m}.n{i}" for m in ("b.x", "b.y") for i in range(200)]
+    sites = [("a.m", f"a.m.C{c}", f"n{i}") for c in range(50) for i in range(200)]
+    calls, definitions, _, fields = frames(spark, registry, {}, {"none": "none"}, sites)
+    rows = [("a.m", f"{resolve.INCLUDED}{i}", ("b.y", "b.x")[i % 2], i) for i in range(1000)]
+    imports = spark.createDataFrame(rows, "module string, key string, target string, seq long")
+    got, most = most_rows(resolve.resolve(calls, definitions, imports, fields))
+    assert {r["call_id"]: (r["qn"], r["step"]) for r in got} == {i: (f"b.y.{n}", 3) for i, (_, _, n) in enumerate(sites)}
+    assert most <= 2 * len(sites)
+
+
+def test_priority_with_names_that_many_share(spark):
+    # 300 sites and 300 definitions of one name in one module, which is imported 300 times
+    definitions = [("m", "f", f"m.f{i:03}") for i in range(300)] + [("k", "g", "k.g"), ("k", "h", "k.h2"), ("k", "h", "k.h1"), (None, "z", "z"), ("m", None, "m.null")]
+    sites = [("m", "f")] * 300 + [("o", "f")] * 300 + [("m", "g"), ("m", "h"), (None, "g"), (None, "h"), ("m", None), ("k", "h"), ("m", "z")]
+    calls = spark.createDataFrame([(i, *s) for i, s in enumerate(sites)], "call_id long, module string, name string")
+    known = spark.createDataFrame(definitions, "module string, name string, qn string")
+    imports = spark.createDataFrame([("o", "m")] * 300, "module string, target string")
+    got, most = most_rows(graph.resolve(calls, known, imports))
+    last = [("k.g", 3), (None, None), ("k.g", 3), (None, None), (None, None), ("k.h1", 1), ("z", 3)]
+    assert {r["call_id"]: (r["qn"], r["priority"]) for r in got} == dict(enumerate([("m.f000", 1)] * 300 + [("m.f000", 2)] * 300 + last))
+    assert most <= len(sites)
