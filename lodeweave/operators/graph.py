@@ -57,15 +57,19 @@ def resolve(calls: DataFrame, definitions: DataFrame, imports: DataFrame) -> Dat
     """Call sites (call_id, module, name) to definitions (qn, module, name) by priority.
 
     1: in the same module; 2: in an imported module (module, target); 3: a name defined only once anywhere.
-    Each step is an equi-join; the least (priority, qn) wins.
+    Each step is an equi-join; the least (priority, qn) wins. Each (module, name) is resolved once, against the least
+    definition of a name in a module, so no join grows with the sites or definitions that share them.
     """
-    d = definitions.select(F.col("module").alias("d_module"), F.col("name").alias("d_name"), "qn")
-    own = calls.join(d, (calls.module == d.d_module) & (calls.name == d.d_name)).select("call_id", F.lit(1).alias("priority"), "qn")
-    imported = calls.join(imports, "module").join(d, (F.col("target") == F.col("d_module")) & (F.col("name") == F.col("d_name"))).select("call_id", F.lit(2).alias("priority"), "qn")
-    single = d.groupBy("d_name").agg(F.min("qn").alias("qn"), F.count("*").alias("n")).filter("n = 1")
-    unique = calls.join(single, calls.name == single.d_name).select("call_id", F.lit(3).alias("priority"), "qn")
-    best = own.unionAll(imported).unionAll(unique).groupBy("call_id").agg(F.min(F.struct("priority", "qn")).alias("b"))
-    return calls.join(best, "call_id", "left").select("call_id", F.col("b.qn").alias("qn"), F.col("b.priority").alias("priority"))
+    asked = calls.select("module", "name").distinct()
+    d = definitions.groupBy(F.col("module").alias("d_module"), F.col("name").alias("d_name")).agg(F.min("qn").alias("qn"), F.count("*").alias("n"))
+    own = asked.join(d, (asked.module == d.d_module) & (asked.name == d.d_name)).select(asked.module, asked.name, F.lit(1).alias("priority"), "qn")
+    targets = imports.select(F.col("module").alias("i_module"), "target").distinct()
+    imported = asked.join(targets, asked.module == targets.i_module).join(d, (F.col("target") == F.col("d_module")) & (F.col("name") == F.col("d_name"))).select(asked.module, asked.name, F.lit(2).alias("priority"), "qn")
+    single = d.groupBy("d_name").agg(F.min("qn").alias("qn"), F.sum("n").alias("n")).filter("n = 1")
+    unique = asked.join(single, asked.name == single.d_name).select(asked.module, asked.name, F.lit(3).alias("priority"), "qn")
+    best = own.unionAll(imported).unionAll(unique).groupBy(F.col("module").alias("b_module"), F.col("name").alias("b_name")).agg(F.min(F.struct("priority", "qn")).alias("b"))
+    found = calls.join(best, F.col("module").eqNullSafe(F.col("b_module")) & F.col("name").eqNullSafe(F.col("b_name")), "left")
+    return found.select("call_id", F.col("b.qn").alias("qn"), F.col("b.priority").alias("priority"))
 
 
 def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
