@@ -4,7 +4,7 @@ Cells are those of centroids fitted on a bounded sample; every row is assigned t
 queries with the cells nearest to them and scores whole vectors there, so scores are exact; with ``probes`` it is
 approximate, without it more cells are joined until none that is left can hold a nearer row: a row of a cell is no
 nearer than the distance to the centroid less the cell's radius. Large cells are split into parts, many queries into
-chunks, so no task holds more than ``PART`` rows and ``CHUNK`` queries at once.
+chunks, so no task holds more than ``PART`` rows, ``CHUNK`` queries and ``SCORES`` scores at once.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from ..sources.shared import written
 
 SAMPLE = 20_000  # rows that centroids are fitted on, at most
 PART = 20_000  # rows of a cell that one task scores at once
-CHUNK = 2_000  # queries that they are scored with at once
+CHUNK = 2_000  # queries that they are scored with in one task
+SCORES = 2_000_000  # scores that a task holds at once, if a part has no more rows
+ASKED = 500  # queries whose cells are listed at once
 FIRST = 4  # cells probed first in an exact search
 NOWHERE = -1  # the cell of rows without direction (null, zero, another length): their likeness to all is 0
 DIGITS = 12  # decimals by which scores are told apart; ties go to the lesser id
@@ -127,19 +129,27 @@ def _nearest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _score(rows: pd.DataFrame, queries: pd.DataFrame, k: int, others: bool) -> pd.DataFrame:
-    """The best of some rows for some queries."""
-    found = []
+    """The best of some rows for some queries, of which so many are scored at once that there are ``SCORES`` scores at most."""
+    which, best, found = [], [], []
     if len(rows) and len(queries):
         rows = rows.sort_values("vec_id", kind="stable")
-        ids = rows["vec_id"].to_numpy()
-        scores = np.round(np.stack(queries["unit"].to_numpy()) @ np.stack(rows["unit"].to_numpy()).T, DIGITS)
-        for q, own in zip(queries["query_id"].tolist(), scores, strict=True):
-            if others:
-                own = np.where(ids == q, -np.inf, own)
-            best = _nearest(own, ids, k)
-            best = best[own[best] > -np.inf]
-            found.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": own[best]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        ids, units = rows["vec_id"].to_numpy(), np.stack(rows["unit"].to_numpy()).T
+        step = max(1, SCORES // len(rows))
+        for at in range(0, len(queries), step):
+            some = queries.iloc[at : at + step]
+            scores = np.stack(some["unit"].to_numpy()) @ units
+            np.round(scores, DIGITS, out=scores)
+            for i, (q, own) in enumerate(zip(some["query_id"].tolist(), scores, strict=True)):
+                if others:
+                    own[ids == q] = -np.inf
+                near = _nearest(own, ids, k)
+                near = near[own[near] > -np.inf]
+                which.append(np.full(len(near), at + i))
+                best.append(near)
+                found.append(own[near])
+    if not which:
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    return pd.DataFrame({"query_id": queries["query_id"].iloc[np.concatenate(which)].reset_index(drop=True), "vec_id": ids[np.concatenate(best)], "score": np.concatenate(found)})
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -176,7 +186,7 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None,
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centers, radius = sent.value
-            for batch in batches:
+            for batch in (b.slice(at, ASKED) for b in batches for at in range(0, b.num_rows, ASKED)):
                 units = _units(batch.column("embedding"), size)
                 like = units @ centers.T
                 order = np.argsort(-like, axis=1, kind="stable")

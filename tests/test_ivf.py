@@ -61,3 +61,23 @@ def test_recall_and_plan(spark):
     assert ivf.recall(ivf.search(index, queries, 10, probes=1, others=True), truth) < 0.95
     plan = near._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_scores_are_bounded_whatever_a_task_gets():
+    import tracemalloc
+
+    import pandas as pd
+
+    draw = np.random.default_rng(3)
+    units = lambda n: list(draw.normal(size=(n, 4)).round(1))
+    rows, queries = pd.DataFrame({"vec_id": draw.permutation(5000), "unit": units(5000)}), pd.DataFrame({"query_id": np.arange(2000), "unit": units(2000)})
+    tracemalloc.start()
+    got = ivf._score(rows, queries, 3, True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    by_id = np.stack(rows.sort_values("vec_id")["unit"].to_numpy())
+    scores = np.round(np.stack(queries["unit"].to_numpy()) @ by_id.T, ivf.DIGITS)
+    scores[np.arange(2000), np.arange(2000)] = -np.inf
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :3]
+    assert got["query_id"].tolist() == np.repeat(np.arange(2000), 3).tolist() and got["vec_id"].tolist() == want.reshape(-1).tolist()
+    assert most < 40_000_000  # all scores would take 80,000,000 bytes
