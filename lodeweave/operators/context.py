@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
 from . import graph
 
 
@@ -17,12 +18,12 @@ def named(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     return whole.unionAll(rest.join(nodes.select("node_id", F.col("name").alias("ask")), "ask").withColumn("qualified", F.lit(False)))
 
 
-def callers_of_names(nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
-    """Distinct (ask, src): callers of every function whose qualified or simple name is asked for."""
+def callers_of_names(nodes: DataFrame, edges: DataFrame, asked: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Distinct (ask, src): callers of every function whose qualified or simple name is asked for, told apart in ``tasks`` tasks."""
     asked = asked.select("ask").filter("ask is not null").distinct()
     either = nodes.select("node_id", F.col("qualified_name").alias("ask")).unionAll(nodes.select("node_id", F.col("name").alias("ask")))
-    targets = asked.join(either, "ask").select("ask", F.col("node_id").alias("dst")).distinct()
-    return targets.join(edges.select("src", "dst"), "dst").select("ask", "src").distinct()
+    targets = dealt(asked.join(either, "ask").select("ask", F.col("node_id").alias("dst")), tasks, "ask", "dst").distinct()
+    return dealt(targets.join(edges.select("src", "dst"), "dst").select("ask", "src"), tasks, "ask", "src").distinct()
 
 
 def _first(rows: DataFrame, key: str, other: str, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import context, streaks
 from ..sources import files
-from ..sources.tables import calls, containment, functions, table
+from ..sources.tables import calls, containment, dealt, functions, table, tasks
 from .queries import CALLS, FN
 
 
@@ -23,7 +23,7 @@ def functions_named(spark, d):
 
 
 def callers_of_names(spark, d):
-    found = context.callers_of_names(functions(spark, d), calls(spark, d), _asked(spark, d))
+    found = context.callers_of_names(functions(spark, d), calls(spark, d), _asked(spark, d), tasks(spark, d))
     return found.groupBy("ask").agg(F.count("*").alias("n_callers"), F.min("src").alias("first_caller"))
 
 
@@ -40,7 +40,8 @@ def function_call_pairs(spark, d):
     """Distinct pairs of qualified names, caller and callee."""
     fn = functions(spark, d)
     left, right = fn.select(F.col("node_id").alias("src"), F.col("qualified_name").alias("caller")), fn.select(F.col("node_id").alias("dst"), F.col("qualified_name").alias("callee"))
-    return calls(spark, d).join(left, "src").join(right, "dst").select("caller", "callee").distinct()
+    pairs = calls(spark, d).join(left, "src").join(right, "dst").select("caller", "callee")
+    return dealt(pairs, tasks(spark, d), "caller", "callee").distinct()
 
 
 def edges_with_places(spark, d):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+TASK_ROWS = 250_000  # rows of lineitem that a task sorts or counts where there are many
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -26,13 +28,25 @@ def functions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tasks(spark: SparkSession, folder: str) -> int | None:
+    """Tasks among which rows that grow with lineitem are dealt, so that one's memory stays as it is; None: Spark's own number does."""
+    n = -(-table(spark, folder, "lineitem").count() // TASK_ROWS)  # from the files' footers
+    return n if n > spark.sparkContext.defaultParallelism else None
+
+
+def dealt(rows: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` among ``n`` tasks; groups and windows by these keys need no other exchange."""
+    return rows.repartition(n, *keys) if n else rows
+
+
 def calls(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct (src, dst, indirect): a part calls the next one of its order; an edge is indirect if every such call is."""
+    n = tasks(spark, folder)
     line = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_returnflag")
     # the return flag ends the order: full ties are then equal in all that is used
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    pairs = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), (F.col("l_returnflag") == "R").alias("indirect"))
-    return pairs.filter("dst is not null").groupBy("src", "dst").agg(F.min("indirect").alias("indirect"))
+    pairs = dealt(line, n, "l_orderkey").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), (F.col("l_returnflag") == "R").alias("indirect"))
+    return dealt(pairs.filter("dst is not null"), n, "src", "dst").groupBy("src", "dst").agg(F.min("indirect").alias("indirect"))
 
 
 def later_calls(spark: SparkSession, folder: str) -> DataFrame:
