@@ -235,7 +235,7 @@ def root_modules(spark, d):
 
 def root_modules_whole(spark, d):
     fn = functions(spark, d)
-    called = calls(spark, d).join(fn.select(F.col("node_id").alias("dst"), "module_qn"), "dst").select("module_qn")
+    called = calls(spark, d).join(fn.select(F.col("node_id").alias("dst"), "module_qn"), "dst").select("module_qn").distinct()  # a row a module
     return fn.select("module_qn").distinct().join(called, "module_qn", "left_anti")
 
 
