@@ -116,14 +116,14 @@ def trace(edges: DataFrame, targets: DataFrame, max_depth: int = 10, most: int =
     false). A target that nothing calls has no rows. Cycles are walked around once; edges from a node to itself count
     as callers but lead nowhere; edges with a null end are ignored.
     """
-    edges = edges.filter("src is not null and dst is not null")
+    flag = F.col("indirect") if "indirect" in edges.columns else F.lit(False)
+    # written once: five steps read it
+    edges = written(edges.filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.min(flag).alias("_indirect")))
     reached = distances(edges, targets, max_depth)
     entries = written(entry_points(edges, reached, max_depth))
     found = first_paths(edges, reached, entries, max_depth, most)
     hops = found.select("target", "entry", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("src"), F.get("path", i).alias("dst")))).alias("e"))
-    flag = F.col("indirect") if "indirect" in edges.columns else F.lit(False)
-    direct = edges.groupBy("src", "dst").agg(F.min(flag).alias("_indirect"))
-    flags = hops.select("target", "entry", "pos", "e.*").join(direct, ["src", "dst"]).groupBy("target", "entry", "pos").agg(F.max("_indirect").alias("indirect"))
+    flags = hops.select("target", "entry", "pos", "e.*").join(edges, ["src", "dst"]).groupBy("target", "entry", "pos").agg(F.max("_indirect").alias("indirect"))
     paths = found.join(flags, ["target", "entry", "pos"])
     counts = found.groupBy("target", "entry").agg(F.count("*").alias("n_paths"))
     points = entries.join(counts, ["target", "entry"], "left").withColumn("n_paths", F.coalesce("n_paths", F.lit(0)).cast("long"))
