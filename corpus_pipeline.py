@@ -22,6 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (score,) = scratch.unused(docs.columns, "score")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs, model, score)
+    scratch.release()
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     return scored.filter(~toxicity.rejected(F.col(score), lang, model)).drop(score)
 

@@ -25,11 +25,11 @@ def components(links: DataFrame) -> DataFrame:
         if now[0] == 0 or now == before:
             break
         before = now
-        # large star: a node's greater neighbours are linked to its least neighbour
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # large star: a node's greater neighbours are linked to its least neighbour; rows are dealt by node once for both uses
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: a node and its lesser neighbours are linked to the least of them
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
+        # small star: a node and its lesser neighbours are linked to the least of them; what repeats goes here
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u != v").distinct()
         done, path = path, scratch.folder(spark)

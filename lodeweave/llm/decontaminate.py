@@ -283,7 +283,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, walk
                     )
 
         # a block's pairs are written before the next block goes out, so one index is in memory at a time
-        results = results.unionAll(scratch.save(docs.mapInArrow(search, kinds), scratch.folder(spark)))
+        results = results.unionAll(scratch.save(docs.mapInArrow(scratch.releasing(search), kinds), scratch.folder(spark)))
         sent.destroy()
     return results.join(items.select("item_id", "key"), "key").select("doc_id", "item_id", "n_words", "edits", "likeness", "end_word")
 

@@ -175,7 +175,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID, width: in
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), column], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(scratch.releasing(encode), f"doc_id {kind}, ids binary")
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -326,7 +326,7 @@ def write_ids(rows: DataFrame, path: str, width: int = 4) -> None:
     kind = rows.schema["doc_id"].dataType.simpleString()
     dealt = rows.select("doc_id", "ids", F.crc32("ids").alias("tie")).repartitionByRange(scratch.partitions(spark), *order).sortWithinPartitions(*order, "ids")
     schema = f"part int, number int, ids_before long, doc_ids array<{kind}>, sizes array<long>, n_ids long, bits binary, checkpoints binary"
-    scratch.save(dealt.select("doc_id", "ids").mapInArrow(blocks, schema), f"{path}/blocks")
+    scratch.save(dealt.select("doc_id", "ids").mapInArrow(scratch.releasing(blocks), schema), f"{path}/blocks")
 
 
 def _decoded(spark: SparkSession, path: str, make, schema: str) -> DataFrame:
@@ -347,7 +347,7 @@ def _decoded(spark: SparkSession, path: str, make, schema: str) -> DataFrame:
                 starts = ends - row["sizes"]
                 yield make(batch.schema, row, starts, ends, ids)
 
-    return spark.read.parquet(f"{path}/blocks").mapInArrow(decode, schema)
+    return spark.read.parquet(f"{path}/blocks").mapInArrow(scratch.releasing(decode), schema)
 
 
 def _starts(spark: SparkSession, path: str) -> DataFrame:

@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "node", "node2", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, node2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(scratch.releasing(run), f"doc_id {kind}, n_shingles long, node long, node2 long, sig binary")
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -101,7 +101,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     rows = _marked(docs.select(F.col("doc_id").alias("of"), "text"), F.col("of"), wanted.select("doc_id"), "maybe").filter("maybe").select("of", "text")
     rows = rows.join(wanted, F.col("of").eqNullSafe(F.col("doc_id"))).select("text", "node", "family", "load")
-    return rows.mapInArrow(run, "node long, family long, load long, n long, sig binary, set binary")
+    return rows.mapInArrow(scratch.releasing(run), "node long, family long, load long, n long, sig binary, set binary")
 
 
 class _Groups:

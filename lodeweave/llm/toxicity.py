@@ -280,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     del data
     model = train(np.concatenate(kinds), np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), y, np.ones(len(y)))
     del kinds, parts
-    pa.default_memory_pool().release_unused()
+    scratch.release()
     scored = _outputs(rest, model, ["doc_id", "lang"], "z", Model.raw)
     bins = F.floor(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col("z"))) * BINS).cast("int").alias("bin")
     counts = scored.select("doc_id", "lang", bins).join(known, "doc_id").groupBy("lang", "bin", "y").agg(F.count("*").alias("n")).toArrow()
@@ -301,7 +301,7 @@ def _outputs(docs: DataFrame, model: Model, columns: list[str], name: str, of: C
             column = pa.array(np.concatenate(parts).astype(np.float64) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in columns), column], [*columns, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(scratch.releasing(run), schema)
 
 
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
