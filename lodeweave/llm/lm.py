@@ -15,7 +15,7 @@ by the parameters: items, classes, and hash, count and class of at most ``TOP``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,11 @@ PASSES = 2  # passes that assign all other words
 MIN = 3  # occurrences of a word that is in a class itself
 TOP = 2_000_000  # words in classes at most
 HELD = 2_000_000  # distinct words or bigrams that a task gathers before it hands them on
+KEYS = 4_000_000  # tokens or what stands around them that a task sorts at once to count them
+ROWS = 200_000  # rows of a batch that it hands on
+PAIRS = 16_384  # bigrams of items in a row of their table
+AT_ONCE = 1 << 20  # bigrams of items that a task adds at once
+_CELL = np.dtype([("cell", "u1"), ("n", "<u4")])  # how often a class stands on a side of a word
 END = np.uint64(0x0E0D0E0D0E0D0E0D)  # the end token
 
 
@@ -86,6 +91,31 @@ def _gathered(make, schema: str, names: list[str]):
     return run
 
 
+def _sorted_counts(make) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Sorted keys and their counts, of at most about ``KEYS`` keys at once: ``make(data, offs)`` gives an array of keys."""
+
+    def counted(held):
+        key = np.concatenate(held)
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return key[first].view(np.int64), np.diff(np.append(first, len(key)))
+
+    def run(batches):
+        held, total = [], 0
+        for batch in batches:
+            data, offs = vectext.raw(batch.column("text"))
+            for i, j in vectext.chunks(offs):
+                held.append(make(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+                total += len(held[-1])
+                if total > KEYS:
+                    yield counted(held)
+                    held, total = [], 0
+        if total:
+            yield counted(held)
+
+    return run
+
+
 @dataclass
 class Model:
     words: np.ndarray  # sorted hashes of the words in classes, the end among them
@@ -198,11 +228,24 @@ def _cluster(bigrams: DataFrame, n_items: int, size: np.ndarray, seeds: np.ndarr
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, wanted = sent.value
             total = np.zeros(cells_of + n_items + CLASSES * CLASSES, np.int64)
-            for batch in batches:
-                a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+            held, many = [], 0
+
+            def add():
+                a, b, n = (np.concatenate([np.frombuffer(x, kind) for x in column]) for column, kind in zip(zip(*held, strict=True), (np.uint16, np.uint16, np.int64), strict=True))
+                a, b = a.astype(np.int64), b.astype(np.int64)
                 x, y, z = wanted[a], wanted[b], wanted[a] & (a == b)
                 where = [a[x] * CLASSES + of[b[x]], (n_items + b[y]) * CLASSES + of[a[y]], cells_of + a[z], cells_of + n_items + of[a] * CLASSES + of[b]]
-                total += np.bincount(np.concatenate(where), weights=np.concatenate([n[x], n[y], n[z], n]), minlength=len(total)).astype(np.int64)
+                return np.bincount(np.concatenate(where), weights=np.concatenate([n[x], n[y], n[z], n]), minlength=len(total)).astype(np.int64)
+
+            for batch in batches:
+                for row in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n")), strict=True):
+                    held.append(row)
+                    many += len(row[0]) // 2
+                    if many >= AT_ONCE:
+                        total += add()
+                        held, many = [], 0
+            if held:
+                total += add()
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
 
@@ -269,12 +312,28 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         hashed, pool, first = _tokens(data, offs)
         item = _items(sent.value, hashed, pool)
         before = np.concatenate([[n_items - 1], item[:-1]])  # a text starts after an end
-        key = (before * n_items + item).view(np.uint64)
-        return key, np.zeros(len(key), np.int32)
+        return (before * n_items + item).view(np.uint64)
 
-    run = _gathered(bigrams, "key long, zero int, n long", ["key", "zero", "n"])
-    pairs = docs.select("text").mapInArrow(run, "key long, zero int, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    pairs = scratch.save(pairs.select(F.expr(f"key div {n_items}").alias("a"), (F.col("key") % n_items).alias("b"), "n"), scratch.folder(spark))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n in _sorted_counts(bigrams)(batches):
+            yield from (pa.RecordBatch.from_arrays([pa.array(key[i : i + ROWS]), pa.array(n[i : i + ROWS])], ["key", "n"]) for i in range(0, len(key), ROWS))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(key, n):
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in ((key // n_items).astype(np.uint16), (key % n_items).astype(np.uint16), n)], ["a", "b", "n"])
+
+        held, many = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("key", "n")])
+            many += batch.num_rows
+            if many >= PAIRS:
+                yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, many = [], 0
+        if many:
+            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    pairs = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = scratch.save(pairs.mapInArrow(packed, "a binary, b binary, n binary"), scratch.folder(spark))
     size = np.zeros(n_items)
     size[: len(words)] = n[own]
     size[-1] = n[hashed == END].sum()
@@ -333,14 +392,22 @@ def _assign(docs: DataFrame, words: np.ndarray, klass: np.ndarray, pools: np.nda
         mine = np.flatnonzero(there & rest[at])
         left = np.where(mine > 0, k[mine - 1], CLASSES - 1)
         right = k[np.minimum(mine + 1, len(k) - 1)]  # after a word there is always an end at least
-        key = np.concatenate([at[mine] * 2 * CLASSES + left, at[mine] * 2 * CLASSES + CLASSES + right])
-        return key.astype(np.uint64), np.zeros(len(key), np.int32)
-
-    run = _gathered(around, "key long, zero int, n long", ["key", "zero", "n"])
-    cells = docs.select("text").mapInArrow(run, "key long, zero int, n long").select(F.expr(f"key div {2 * CLASSES}").alias("w"), (F.col("key") % (2 * CLASSES)).alias("cell"), "n")
+        return np.concatenate([at[mine] * 2 * CLASSES + left, at[mine] * 2 * CLASSES + CLASSES + right]).view(np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n in _sorted_counts(around)(batches):
+            cells = np.empty(len(key), _CELL)
+            cells["cell"], cells["n"] = key % (2 * CLASSES), n
+            w = key // (2 * CLASSES)
+            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            edges = (np.append(first, len(key)) * _CELL.itemsize).astype(np.int32)
+            of_word = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edges), pa.py_buffer(cells.tobytes())])
+            rows = pa.RecordBatch.from_arrays([pa.array(w[first]), of_word], ["w", "cells"])
+            yield from (rows.slice(i, ROWS) for i in range(0, len(rows), ROWS))
+
+    cells = docs.select("text").mapInArrow(count, "w long, cells binary")  # a row for each word and task
     log = np.log(grid + 0.1)
     log = np.concatenate([log - np.log(grid.sum(0) + 6.4)[None, :], log.T - np.log(grid.sum(1) + 6.4)[None, :]])  # (before, class) and (after, class), a class's own size taken out
-    log[:, -1] = -np.inf
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(w, gain):
@@ -348,11 +415,16 @@ def _assign(docs: DataFrame, words: np.ndarray, klass: np.ndarray, pools: np.nda
 
         last, held = np.zeros(0, np.int64), np.zeros((0, CLASSES))  # a word that may go on in the next batch
         for batch in batches:
-            w, cell, n = (batch.column(c).to_numpy() for c in ("w", "cell", "n"))
+            w = batch.column("w").to_numpy()
             if not len(w):
                 continue
+            data, offs = vectext.raw(batch.column("cells"))
+            cells = np.frombuffer(data[offs[0] : offs[-1]].tobytes(), _CELL)
             begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            gain = np.add.reduceat(log[cell] * n[:, None], begin, axis=0)
+            word = np.repeat(np.arange(len(begin)), np.diff(np.append(offs[begin], offs[-1])) // _CELL.itemsize)
+            n = np.bincount(word * (2 * CLASSES) + cells["cell"], weights=cells["n"], minlength=len(begin) * 2 * CLASSES)
+            gain = n.reshape(-1, 2 * CLASSES) @ log
+            gain[:, -1] = -np.inf  # the end's own class
             if len(last) and last[0] == w[0]:
                 gain[0] += held[0]
             elif len(last):

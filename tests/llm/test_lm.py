@@ -111,3 +111,35 @@ def test_exchange_takes_the_best_move(monkeypatch):
         lm.exchange(now, after, before, np.diag(pairs).astype(float), np.array([i]))
         assert value(now) == pytest.approx(max(tried)) and (np.delete(now, i) == np.delete(klass, i)).all()
         klass = now
+
+
+def test_rounds_read_few_rows(spark, monkeypatch):
+    """The bigrams that every round reads lie packed in rows, and all of them are there; small limits change no score."""
+    from lodeweave.llm import lm, scratch
+
+    texts = [(i, " ".join(f"w{(i * j * 7 + j) % 97}" for j in range(60))) for i in range(200)]
+    docs, tables, save = spark.createDataFrame(texts, "doc_id long, text string"), [], scratch.save
+
+    def seen(df, path):
+        tables.append(save(df, path))
+        return tables[-1]
+
+    monkeypatch.setattr(scratch, "save", seen)
+
+    def scores():
+        return sorted((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in lm.score_documents(docs).collect())
+
+    whole = scores()
+    (pairs,) = [t for t in tables if t.columns == ["a", "b", "n"]]
+    rows = pairs.collect()
+    total = sum(int.from_bytes(r["n"][i : i + 8], "little") for r in rows for i in range(0, len(r["n"]), 8))
+    assert len(rows) <= 4 and total == 61 * docs.filter(~lm.held_out(docs["doc_id"])).count()
+    monkeypatch.setattr(lm, "PAIRS", 50)
+    monkeypatch.setattr(lm, "AT_ONCE", 70)
+    monkeypatch.setattr(lm, "KEYS", 300)
+    monkeypatch.setattr(lm, "ROWS", 7)
+    monkeypatch.setattr(lm, "WORDS", 40)
+    less = scores()
+    monkeypatch.undo()
+    monkeypatch.setattr(lm, "WORDS", 40)
+    assert less == scores() and [x[:2] for x in less] == [x[:2] for x in whole]
