@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import graph, resolve
-from ..sources.shared import folder
+from ..sources.shared import folder, written
 from ..sources.tables import calls, functions, table
 from ..streaming import store
 from .queries import CALLS, FN
@@ -55,7 +55,7 @@ def incremental_equals_rebuild(spark, d):
     In the older state brands up to 5 are missing, those up to 10 have their names turned, and copies of those up to 15 lie in
     files of their own that go later. The SQL builds the last state from the tables alone.
     """
-    definitions, sites = _filed(spark, d)
+    definitions, sites = (written(rows) for rows in _filed(spark, d))  # three batches read them
     turned = F.when(F.col("brand") <= 10, F.concat_ws(" ", F.substring_index("name", " ", -1), F.substring_index("name", " ", 1))).otherwise(F.col("name"))
     later, copied = F.col("brand") <= 5, F.col("brand").between(11, 15)
     gone = F.concat(F.lit("gone/"), "file")

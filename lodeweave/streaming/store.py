@@ -127,15 +127,20 @@ class Store:
         names = self.read("names", by_file, state)
         touched = saved(names.join(files, "file", "left_semi").select("name").unionAll(new_names.select("name")).distinct(), "touched")
         by_name = self._buckets_of(touched, "name")
-        now = {k: saved(self.read(k, by_name, state).join(files, "file", "left_anti").select(*v.columns).unionAll(v), f"now-{k}") for k, v in new.items()}
+        # definitions and sites as they are now are written once, in their buckets; the former ones stay in ``before``
+        before = state | {"tables": dict(state["tables"])}
+        for k, v in new.items():
+            now = self.read(k, by_name, before).join(files, "file", "left_anti").select(*v.columns).unionAll(v)
+            self._write(k, now, by_name, state, folder)
+        now = {k: self.read(k, by_name, state) for k in new}
         linked = self.link(*(now[k].join(touched, "name", "left_semi") for k in ("sites", "definitions"))).select("name", "file", "site", "qn")
-        calls = self.read("calls", by_name, state).join(touched, "name", "left_anti").select("name", "file", "site", "qn").unionAll(linked)
+        calls = self.read("calls", by_name, before).join(touched, "name", "left_anti").select("name", "file", "site", "qn").unionAll(linked)
         left = names.join(files, "file", "left_anti").select("file", "name").unionAll(new_names)
-        for name, rows, buckets in (("names", left, by_file), ("definitions", now["definitions"], by_name), ("sites", now["sites"], by_name), ("calls", calls, by_name)):
+        for name, rows, buckets in (("names", left, by_file), ("calls", calls, by_name)):
             self._write(name, rows, buckets, state, folder)
         state |= {"version": state["version"] + 1, "applied": batch, "mark": mark if mark is not None else state["mark"]}
         self._publish(state)
-        for name in ("files", "definitions", "sites", "touched", "now-definitions", "now-sites"):
+        for name in ("files", "definitions", "sites", "touched"):
             self._fs().delete(self._path(f"{folder}/step-{name}"), True)
         return True
 

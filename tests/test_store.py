@@ -94,3 +94,13 @@ def test_stream_of_changes(spark, tmp_path):
     for _ in range(2):
         kept.apply_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "changes")), load, str(tmp_path / "checkpoint")).awaitTermination()
     assert calls_of(kept) == sorted(rebuilt(files), key=str) and kept.manifest()["mark"] == "3" and kept.versions() == [1]
+
+
+def test_sites_are_written_once_a_batch(spark, tmp_path, monkeypatch):
+    files = {"a": (["f"], ["g", "g"]), "b": (["g"], ["f"])}
+    kept, deleted = store.Store(spark, str(tmp_path), buckets=2), []
+    path = store.Store._path
+    monkeypatch.setattr(store.Store, "_path", lambda self, name: deleted.append(name.split("/")[-1]) or path(self, name))
+    kept.apply(0, *batch_of(spark, files, ["a", "b"]))
+    assert {x for x in deleted if x.startswith("step-")} == {"step-files", "step-definitions", "step-sites", "step-touched"}
+    assert calls_of(kept) == sorted(rebuilt(files), key=str)
