@@ -8,7 +8,8 @@ too many for the driver: in further passes over the corpus each is counted on Sp
 class, and a task moves it to its likeliest class. The model multiplies class transition, word emission and,
 for pooled words, the word's smoothed share of its pool.
 
-Counts are gathered from all training texts. What goes to the driver or to all executors has a size set
+Texts are read twice: to count words, and to write the code of each token in a table from which bigrams, passes
+and scores are taken. Counts are gathered from all training texts. What goes to the driver or to all executors has a size set
 by the parameters: items, classes, and hash, count and class of at most ``TOP`` words; if more words occur
 ``MIN`` times, the least count rises until they fit. Counts of pooled words are joined.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ KEYS = 4_000_000  # tokens or what stands around them that a task sorts at once
 ROWS = 200_000  # rows of a batch that it hands on
 PAIRS = 16_384  # bigrams of items in a row of their table
 AT_ONCE = 1 << 20  # bigrams of items that a task adds at once
-_CELL = np.dtype([("cell", "u1"), ("n", "<u4")])  # how often a class stands on a side of a word
+BUCKET = 4096  # words whose surroundings lie together in a row
 END = np.uint64(0x0E0D0E0D0E0D0E0D)  # the end token
 
 
@@ -49,17 +51,30 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(True))
 
 
-def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with an end after each text, pools of the words, and where each text starts (one more at the end)."""
+def _pools(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return (vectext.span_hash(data, np.maximum(s, e - ENDING), e) % np.uint64(POOLS)).astype(np.int32)
+
+
+def _tokens(data: np.ndarray, offs: np.ndarray, known: vectext.Places | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes with an end after each text, pools of the words, and where each text starts (one more at the end).
+
+    If words are ``known`` there are codes in the place of pools: the place of a known word, then the pools of others, then the end.
+    """
     s, e, first = vectext.spans(data, offs)
     data = vectext.lower(data)
     hashed = vectext.span_hash(data, s, e)
-    pool = (vectext.span_hash(data, np.maximum(s, e - ENDING), e) % np.uint64(POOLS)).astype(np.int32)
-    return np.insert(hashed, first[1:], END), np.insert(pool, first[1:], 0), first + np.arange(len(first))
+    if known is None:
+        code, end = _pools(data, s, e), 0
+    else:
+        at, there = known.find(hashed)
+        code, end = at.astype(np.int32), len(known.keys) + POOLS
+        other = np.flatnonzero(~there)
+        code[other] = len(known.keys) + _pools(data, s[other], e[other])
+    return np.insert(hashed, first[1:], END), np.insert(code, first[1:], end), first + np.arange(len(first))
 
 
 def _gathered(make, schema: str, names: list[str]):
-    """A mapInArrow function that sums counts of keys: ``make(data, offs)`` gives arrays of key, extra and n."""
+    """A mapInArrow function that sums counts of keys: ``make(data, offs)`` gives arrays of key, extra and n, a key once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -75,10 +90,8 @@ def _gathered(make, schema: str, names: list[str]):
         for batch in batches:
             data, offs = vectext.raw(batch.column("text"))
             for i, j in vectext.chunks(offs):
-                key, extra = make(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                key, first, n = np.unique(key, return_index=True, return_counts=True)
-                held.append((key, extra[first], n))
-                total += len(key)
+                held.append(make(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+                total += len(held[-1][0])
                 if total > HELD:
                     held = [merged()]
                     total = len(held[0][0])
@@ -91,31 +104,53 @@ def _gathered(make, schema: str, names: list[str]):
     return run
 
 
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Codes of some whole texts at once; each text ends with the end, and so starts after one."""
+    for batch in batches:
+        data, offs = vectext.raw(batch.column("codes"))
+        for i, j in vectext.chunks(offs):
+            yield data[offs[i] : offs[j]].view("<i4")
+
+
+def _after_end(x: np.ndarray) -> np.ndarray:
+    """What stands before each token, by the values of codes that start after an end and end with it."""
+    return np.concatenate([x[-1:], x[:-1]])
+
+
 def _sorted_counts(make) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """Sorted keys and their counts, of at most about ``KEYS`` keys at once: ``make(data, offs)`` gives an array of keys."""
+    """Sorted keys and their counts, of at most about ``KEYS`` keys at once: ``make(codes)`` gives an array of keys."""
 
     def counted(held):
         key = np.concatenate(held)
         key.sort()
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return key[first].view(np.int64), np.diff(np.append(first, len(key)))
+        return key[first], np.diff(np.append(first, len(key)))
 
     def run(batches):
         held, total = [], 0
-        for batch in batches:
-            data, offs = vectext.raw(batch.column("text"))
-            for i, j in vectext.chunks(offs):
-                held.append(make(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
-                total += len(held[-1])
-                if total > KEYS:
-                    yield counted(held)
-                    held, total = [], 0
+        for codes in _codes(batches):
+            held.append(make(codes))
+            total += len(held[-1])
+            if total > KEYS:
+                yield counted(held)
+                held, total = [], 0
         if total:
             yield counted(held)
 
     return run
 
 
+@dataclass
+class Vocabulary:
+    words: np.ndarray  # sorted hashes of the words in classes, the end among them
+    counts: np.ndarray
+    in_pool: np.ndarray  # the pool that each would be in
+    pool_n: np.ndarray  # occurrences of the words of each pool
+    pool_kinds: np.ndarray
+    tokens: int
+    kinds: int
+
+
 @dataclass
 class Model:
     words: np.ndarray  # sorted hashes of the words in classes, the end among them
@@ -129,30 +164,6 @@ class Model:
     tokens: int
     kinds: int
 
-    def look(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in ``words``, and whether the word is there."""
-        if not len(self.words):
-            return np.zeros(len(hashed), np.int64), np.zeros(len(hashed), bool)
-        at = np.minimum(np.searchsorted(self.words, hashed), len(self.words) - 1)
-        return at, self.words[at] == hashed
-
-
-def _classes(words: np.ndarray, klass: np.ndarray, pools: np.ndarray, hashed: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each token, its own or its pool's; its place in ``words``, and whether it is there."""
-    at = np.minimum(np.searchsorted(words, hashed), len(words) - 1)
-    there = words[at] == hashed
-    return np.where(there, klass[at], np.where(hashed == END, CLASSES - 1, pools[pool])).astype(np.int64), at, there
-
-
-def _items(words: np.ndarray, hashed: np.ndarray, pool: np.ndarray) -> np.ndarray:
-    """Item of each token: sorted one-word items, then pools, then the end."""
-    out = len(words) + pool.astype(np.int64)
-    if len(words):
-        at = np.minimum(np.searchsorted(words, hashed), len(words) - 1)
-        out = np.where(words[at] == hashed, at, out)
-    out[hashed == END] = len(words) + POOLS
-    return out
-
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
@@ -274,13 +285,15 @@ def _cluster(bigrams: DataFrame, n_items: int, size: np.ndarray, seeds: np.ndarr
     return best[1], best[2]
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the counts (w, n) of all words of ``docs`` (text)."""
+def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The words of ``docs`` (text) that are in classes, and the counts (w, n) of all others."""
     spark = docs.sparkSession
 
     def word_counts(data, offs):
-        hashed, pool, _ = _tokens(data, offs)
-        return hashed, pool
+        s, e, _ = vectext.spans(data, offs)
+        data = vectext.lower(data)
+        key, first, n = np.unique(vectext.span_hash(data, s, e), return_index=True, return_counts=True)
+        return np.append(key, END), np.append(_pools(data, s[first], e[first]), 0), np.append(n, len(offs) - 1)
 
     run = _gathered(word_counts, "w long, pool int, n long", ["w", "pool", "n"])
     counts = docs.select("text").mapInArrow(run, "w long, pool int, n long").groupBy("w").agg(F.first("pool").alias("pool"), F.sum("n").alias("n"))
@@ -302,20 +315,65 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     pool_n, pool_kinds = np.zeros(POOLS), np.zeros(POOLS)
     at = tail.column("pool").to_numpy()
     pool_n[at], pool_kinds[at] = tail.column("n").to_numpy(), tail.column("kinds").to_numpy()
+    return Vocabulary(hashed, n, in_pool, pool_n, pool_kinds, int(tokens), int(kinds)), counts.filter(F.col("n") < least).select("w", "n")
+
+
+def encode(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """Texts of ``docs`` (doc_id, text) as codes, made once and read by all later steps.
+
+    (row, doc_id, codes, rare): a number of the row; a code of four bytes for each token, the place in ``words``, then the pools of
+    other words, then the end, which every text has; hashes of words in pools.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(vectext.Places(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        known, row = sent.value, TaskContext.get().partitionId() << 40
+        pooled = len(known.keys)
+        for batch in batches:
+            data, offs = vectext.raw(batch.column("text"))
+            for i, j in vectext.chunks(offs):
+                hashed, codes, first = _tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], known)
+                rare = (codes >= pooled) & (codes < pooled + POOLS)
+                n_rare = np.concatenate([[0], np.cumsum(rare)])[first]
+                body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(first * 4), pa.py_buffer(codes.astype("<i4"))]).cast(pa.binary())
+                rest = pa.ListArray.from_arrays(pa.array(n_rare.astype(np.int32)), pa.array(hashed[rare].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(j - i)), batch.column("doc_id").slice(i, j - i), body, rest], ["row", "doc_id", "codes", "rare"])
+                row += j - i
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    coded = docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, codes binary, rare array<long>")
+    return scratch.save(coded, scratch.folder(spark))  # row numbers hold for these files
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the counts (w, n) of the words of ``docs`` (doc_id, text) that are in no class themselves."""
+    known, counts = vocabulary(docs)
+    return fit(encode(docs, known.words), known), counts
+
+
+def fit(coded: DataFrame, known: Vocabulary) -> Model:
+    """The model of texts in codes of these words."""
+    spark = coded.sparkSession
+    hashed, n, in_pool, pool_n = known.words, known.counts, known.in_pool, known.pool_n
     own = np.flatnonzero(hashed != END)
     own = np.sort(own[np.lexsort([hashed[own], -n[own]])][:WORDS])
     words = hashed[own]  # sorted
-    sent = spark.sparkContext.broadcast(words)
     n_items = len(words) + POOLS + 1
+    # item of each code: sorted one-word items, then pools, then the end
+    item = np.concatenate([len(words) + in_pool, len(words) + np.arange(POOLS + 1)]).astype(np.uint16)
+    item[own] = np.arange(len(words))
+    sent = spark.sparkContext.broadcast(item)
 
-    def bigrams(data, offs):
-        hashed, pool, first = _tokens(data, offs)
-        item = _items(sent.value, hashed, pool)
-        before = np.concatenate([[n_items - 1], item[:-1]])  # a text starts after an end
-        return (before * n_items + item).view(np.uint64)
+    def bigrams(codes):
+        item = sent.value[codes].astype(np.uint32)
+        return _after_end(item) * np.uint32(n_items) + item
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n in _sorted_counts(bigrams)(batches):
+            key = key.astype(np.int64)
             yield from (pa.RecordBatch.from_arrays([pa.array(key[i : i + ROWS]), pa.array(n[i : i + ROWS])], ["key", "n"]) for i in range(0, len(key), ROWS))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +390,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         if many:
             yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    pairs = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = coded.select("codes").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     pairs = scratch.save(pairs.mapInArrow(packed, "a binary, b binary, n binary"), scratch.folder(spark))
     size = np.zeros(n_items)
     size[: len(words)] = n[own]
@@ -347,137 +405,128 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     klass[own] = item_class[: len(words)]
     klass[hashed == END] = CLASSES - 1
     for _ in range(PASSES if rest.any() else 0):
-        _assign(docs, hashed, klass, pools, rest, grid)
+        _assign(coded, klass, pools, rest, grid)
     if rest.any():
-        grid = _grid(docs, hashed, klass, pools)
+        grid = _grid(coded, klass, pools)
     share = (grid.sum(0) + 1) / (grid.sum() + CLASSES)
     move = np.log10((grid + CLASSES * share[None, :]) / (grid.sum(1)[:, None] + CLASSES))
     weight = np.bincount(klass, weights=n + 0.5, minlength=CLASSES) + np.bincount(pools, weights=pool_n + 0.5, minlength=CLASSES)
     emit = np.log10((n + 0.5) / weight[klass]) if len(n) else np.zeros(0)
-    model = Model(hashed, n, klass, pools, move, emit, np.log10((pool_n + 0.5) / weight[pools]), np.log10(pool_n + pool_kinds + 1), int(tokens), int(kinds))
-    return model, counts.filter(F.col("n") < least).select("w", "n")
+    return Model(hashed, n, klass, pools, move, emit, np.log10((pool_n + 0.5) / weight[pools]), np.log10(pool_n + known.pool_kinds + 1), known.tokens, known.kinds)
 
 
-def _grid(docs: DataFrame, words: np.ndarray, klass: np.ndarray, pools: np.ndarray) -> np.ndarray:
+def _class_of(klass: np.ndarray, pools: np.ndarray) -> np.ndarray:
+    """Class of each code."""
+    return np.concatenate([klass, pools, [CLASSES - 1]]).astype(np.uint8)
+
+
+def _grid(coded: DataFrame, klass: np.ndarray, pools: np.ndarray) -> np.ndarray:
     """Class bigrams of all texts."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, klass, pools))
+    sent = coded.sparkSession.sparkContext.broadcast(_class_of(klass, pools))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES * CLASSES, np.int64)
-        for batch in batches:
-            data, offs = vectext.raw(batch.column("text"))
-            for i, j in vectext.chunks(offs):
-                hashed, pool, _ = _tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                k, _, _ = _classes(*sent.value, hashed, pool)
-                total += np.bincount(np.concatenate([[CLASSES - 1], k[:-1]]) * CLASSES + k, minlength=len(total))
+        for codes in _codes(batches):
+            k = sent.value[codes].astype(np.int64)
+            total += np.bincount(_after_end(k) * CLASSES + k, minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
 
-    cells = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = coded.select("codes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     grid = np.zeros(CLASSES * CLASSES)
     grid[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     sent.unpersist()
     return grid.reshape(CLASSES, CLASSES)
 
 
-def _assign(docs: DataFrame, words: np.ndarray, klass: np.ndarray, pools: np.ndarray, rest: np.ndarray, grid: np.ndarray) -> None:
-    """Move the ``rest`` of ``words``, in place, each to the class in which what stands around it is likeliest."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((words, klass.copy(), pools, rest))
+def _assign(coded: DataFrame, klass: np.ndarray, pools: np.ndarray, rest: np.ndarray, grid: np.ndarray) -> None:
+    """Move the ``rest`` of the words, in place, each to the class in which what stands around it is likeliest."""
+    spark = coded.sparkSession
+    sides, n_words = 2 * CLASSES, len(klass)
+    sent = spark.sparkContext.broadcast((_class_of(klass, pools), np.append(rest, np.zeros(POOLS + 1, bool))))
 
-    def around(data, offs):
-        hashed, pool, _ = _tokens(data, offs)
-        words, klass, pools, rest = sent.value
-        k, at, there = _classes(words, klass, pools, hashed, pool)
-        mine = np.flatnonzero(there & rest[at])
-        left = np.where(mine > 0, k[mine - 1], CLASSES - 1)
-        right = k[np.minimum(mine + 1, len(k) - 1)]  # after a word there is always an end at least
-        return np.concatenate([at[mine] * 2 * CLASSES + left, at[mine] * 2 * CLASSES + CLASSES + right]).view(np.uint64)
+    def around(codes):
+        of, rest = sent.value
+        k = of[codes].astype(np.uint32)
+        mine = np.flatnonzero(rest[codes])
+        w = codes[mine].astype(np.uint32) * np.uint32(sides)
+        return np.concatenate([w + k[mine - 1], w + np.uint32(CLASSES) + k[mine + 1]])  # a text starts after an end and has one
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a row holds the cells of a stretch of BUCKET words
         for key, n in _sorted_counts(around)(batches):
-            cells = np.empty(len(key), _CELL)
-            cells["cell"], cells["n"] = key % (2 * CLASSES), n
-            w = key // (2 * CLASSES)
-            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            edges = (np.append(first, len(key)) * _CELL.itemsize).astype(np.int32)
-            of_word = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edges), pa.py_buffer(cells.tobytes())])
-            rows = pa.RecordBatch.from_arrays([pa.array(w[first]), of_word], ["w", "cells"])
-            yield from (rows.slice(i, ROWS) for i in range(0, len(rows), ROWS))
-
-    cells = docs.select("text").mapInArrow(count, "w long, cells binary")  # a row for each word and task
+            cuts = np.searchsorted(key, np.arange(0, n_words + BUCKET, BUCKET) * sides).tolist()
+            n = n.astype(np.uint32)
+            for bucket, (i, j) in enumerate(pairwise(cuts)):
+                if j > i:
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([(key[i:j] - np.uint32(bucket * BUCKET * sides)).tobytes()], pa.binary()), pa.array([n[i:j].tobytes()], pa.binary())], ["bucket", "cell", "n"])
+
     log = np.log(grid + 0.1)
     log = np.concatenate([log - np.log(grid.sum(0) + 6.4)[None, :], log.T - np.log(grid.sum(1) + 6.4)[None, :]])  # (before, class) and (after, class), a class's own size taken out
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(w, gain):
-            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(gain.argmax(1).astype(np.int32))], ["w", "k"])
+        now, total, held, many = None, np.zeros(BUCKET * sides), [], 0
 
-        last, held = np.zeros(0, np.int64), np.zeros((0, CLASSES))  # a word that may go on in the next batch
-        for batch in batches:
-            w = batch.column("w").to_numpy()
-            if not len(w):
-                continue
-            data, offs = vectext.raw(batch.column("cells"))
-            cells = np.frombuffer(data[offs[0] : offs[-1]].tobytes(), _CELL)
-            begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            word = np.repeat(np.arange(len(begin)), np.diff(np.append(offs[begin], offs[-1])) // _CELL.itemsize)
-            n = np.bincount(word * (2 * CLASSES) + cells["cell"], weights=cells["n"], minlength=len(begin) * 2 * CLASSES)
-            gain = n.reshape(-1, 2 * CLASSES) @ log
+        def add():
+            cell, n = (np.concatenate([np.frombuffer(x, np.uint32) for x in column]) for column in zip(*held, strict=True))
+            return np.bincount(cell, weights=n, minlength=len(total))
+
+        def out():
+            around = total.reshape(-1, sides)
+            w = np.flatnonzero(around.any(1))
+            gain = around[w] @ log
             gain[:, -1] = -np.inf  # the end's own class
-            if len(last) and last[0] == w[0]:
-                gain[0] += held[0]
-            elif len(last):
-                yield out(last, held)
-            yield out(w[begin[:-1]], gain[:-1])
-            last, held = w[begin[-1:]].copy(), gain[-1:].copy()
-        yield out(last, held)
-
-    # a word's cells, few for each task that counted, lie together in one task
-    dealt = cells.repartition("w").sortWithinPartitions("w")
+            return pa.RecordBatch.from_arrays([pa.array(now * BUCKET + w), pa.array(gain.argmax(1).astype(np.int32))], ["w", "k"])
+
+        for batch in batches:
+            for bucket, *cells in zip(*(batch.column(c).to_pylist() for c in ("bucket", "cell", "n")), strict=True):
+                if held and (bucket != now or many >= AT_ONCE):
+                    total += add()
+                    held, many = [], 0
+                if bucket != now:
+                    if now is not None:
+                        yield out()
+                    now, total = bucket, np.zeros(BUCKET * sides)
+                held.append(cells)
+                many += len(cells[0]) // 4
+        if held:
+            total += add()
+            yield out()
+
+    # a stretch's rows, one for each time that a task counted, lie together in one task
+    cells = coded.select("codes").mapInArrow(count, "bucket int, cell binary, n binary")
+    dealt = cells.repartition("bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(best, "w long, k int").toArrow()  # at most TOP rows
     klass[found.column("w").to_numpy()] = found.column("k").to_numpy()
     sent.unpersist()
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"]
+def score(coded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) for every row of ``coded``, texts in codes of the model's words."""
+    spark = coded.sparkSession
+    # values of each code; the end is one of the words if a text was learned from
+    end = np.flatnonzero(model.words == END)
+    count = np.concatenate([model.counts, np.zeros(POOLS, np.int64), [model.counts[end].sum()]])
+    emit = np.concatenate([model.emit, model.emit_pool - model.size, [model.emit[end].sum()]])
+    sent = spark.sparkContext.broadcast((_class_of(model.klass, model.pools), np.log10(count + 1.0), emit))
+    move, base_of = model.move, np.log10(model.tokens + model.kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        m, row = sent.value, TaskContext.get().partitionId() << 40
-        base_of = np.log10(m.tokens + m.kinds + 1)
+        of, log_count_of, emit_of = sent.value
         for batch in batches:
-            data, offs = vectext.raw(batch.column("text"))
+            data, offs = vectext.raw(batch.column("codes"))
             for i, j in vectext.chunks(offs):
-                hashed, pool, first = _tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                at, there = m.look(hashed)
-                end = hashed == END
-                pooled = ~there & ~end
-                k = np.where(end, CLASSES - 1, m.pools[pool]).astype(np.int64)
-                count, emit = np.zeros(len(hashed), np.int64), np.where(end, 0.0, m.emit_pool[pool] - m.size[pool])
-                k[there], count[there], emit[there] = m.klass[at[there]], m.counts[at[there]], m.emit[at[there]]
-                k_before = np.concatenate([[CLASSES - 1], k[:-1]])
-                log_count = np.log10(count + 1.0)
-                value = m.move[k_before, k] + emit
-                starts = first[:-1]
-                rare = pooled
-                n_rare = np.add.reduceat(rare.astype(np.int64), starts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(j - i)), batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first)), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(log_count - base_of, starts)), pa.array(np.add.reduceat(value, starts)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)), pa.array(hashed[rare].view(np.int64)))],
-                    names,
-                )
-                row += j - i
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<long>")
-    rows = scratch.save(rows, scratch.folder(spark))  # row numbers hold for these files
-    rare = rows.select("row", F.explode("rare").alias("w")).join(counts, "w").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("log_count"))
-    out = rows.drop("rare").join(rare, "row", "left")
+                codes, first = data[offs[i] : offs[j]].view("<i4"), (offs[i : j + 1] - offs[i]) // 4
+                k, starts = of[codes].astype(np.int64), first[:-1]
+                log_count = log_count_of[codes]
+                value = move[_after_end(k), k] + emit_of[codes]
+                sums = (np.add.reduceat(x, starts) for x in ((log_count > 0).astype(np.int64), log_count - base_of, value))
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(np.diff(first)), *map(pa.array, sums)], ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    rows = coded.select("row", "doc_id", "codes").mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    rare = coded.select("row", F.explode("rare").alias("w")).join(counts, "w").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("log_count"))
+    out = rows.join(rare, "row", "left")
     more = F.coalesce("log_count", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
 
@@ -498,8 +547,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     in count are in classes all or none. Other columns are ignored. Without training rows every token is
     unknown; an empty table gives an empty result.
     """
-    model, counts = train(docs.filter(~held_out(F.col("doc_id"))))
-    rows = score(docs, model, counts)
+    learned = ~held_out(F.col("doc_id"))
+    known, counts = vocabulary(docs.filter(learned))
+    coded = encode(docs, known.words)
+    model = fit(coded.filter(learned), known)
+    rows = score(coded, model, counts)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -17,6 +17,7 @@ import xxhash
 
 CHUNK = 500_000  # bytes handled at once; one longer text is still handled whole
 LONG = 256  # bytes of a range from which on it is hashed by itself
+STEPS = 16  # neighbours tried before a hash is searched for
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -133,6 +134,39 @@ def same(data: np.ndarray, s: np.ndarray, e: np.ndarray, other: np.ndarray, s2:
     return out
 
 
+class Places:
+    """Finds hashes in a sorted array by their leading bits, which are as good as random. A copy sent to a task is indexed there."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = len(keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        n = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first = np.minimum(np.cumsum(n) - n, max(len(keys) - 1, 0)).astype(np.int32)
+
+    def __reduce__(self):
+        return Places, (self.keys,)
+
+    def find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(hashed), np.int64), np.zeros(len(hashed), bool)
+        at = self.first[(hashed >> self.shift).astype(np.int64)].astype(np.int64)
+        found = self.keys[at]
+        there = found == hashed
+        some = np.flatnonzero(found < hashed)
+        for _ in range(STEPS):
+            if not len(some):
+                return at, there
+            at[some] = np.minimum(at[some] + 1, len(self.keys) - 1)
+            found = self.keys[at[some]]
+            there[some] = found == hashed[some]
+            some = some[(found < hashed[some]) & (at[some] < len(self.keys) - 1)]
+        at[some] = np.minimum(np.searchsorted(self.keys, hashed[some]), len(self.keys) - 1)
+        there[some] = self.keys[at[some]] == hashed[some]
+        return at, there
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each lower-cased word, and the index of each document's first word."""
     s, e, first = spans(data, offs)

@@ -143,3 +143,42 @@ def test_rounds_read_few_rows(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(lm, "WORDS", 40)
     assert less == scores() and [x[:2] for x in less] == [x[:2] for x in whole]
+
+
+def test_texts_are_read_twice(spark, monkeypatch):
+    """Words are counted and codes written from the texts; bigrams, passes and scores come from the codes, which tell all of the texts."""
+    monkeypatch.setattr(lm, "WORDS", 300)  # so that many words are assigned in passes
+    docs, read = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text"), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    counted = docs.mapInArrow(seen, docs.schema)
+    whole = sorted(tuple(r) for r in lm.score_documents(counted).collect())
+    assert read.value == 2 * len(whole)
+    known, _ = lm.vocabulary(docs)
+    coded = {r["doc_id"]: r for r in lm.encode(docs, known.words).collect()}
+    place = {w: i for i, w in enumerate(known.words.tolist())} | {int(lm.END): len(known.words) + lm.POOLS}
+    for i, text in docs.collect():
+        hashed, pool = tokens_of(text)
+        assert np.frombuffer(coded[i]["codes"], "<i4").tolist() == [place.get(w, len(known.words) + p) for w, p in zip(hashed.tolist(), pool.tolist(), strict=True)]
+        assert [w % 2**64 for w in coded[i]["rare"]] == [w for w in hashed.tolist() if w not in place]
+    # words lie in stretches; small ones, added up often, change no score
+    monkeypatch.setattr(lm, "BUCKET", 64)
+    monkeypatch.setattr(lm, "KEYS", 5000)
+    monkeypatch.setattr(lm, "AT_ONCE", 100)
+    assert sorted(tuple(r) for r in lm.score_documents(docs).collect()) == whole
+
+
+def test_places_of_hashes(monkeypatch):
+    """Places are those of a search, for hashes that are as good as random and for such as are not."""
+    random = np.random.default_rng(4)
+    for keys in (random.integers(0, 2**64, 5000, dtype=np.uint64), np.arange(3000, dtype=np.uint64), np.full(1, 2**64 - 1, np.uint64), np.zeros(0, np.uint64)):
+        keys = np.unique(keys)
+        asked = np.concatenate([keys, keys + np.uint64(1), random.integers(0, 2**64, 2000, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        for steps in (16, 1):
+            monkeypatch.setattr(vectext, "STEPS", steps)
+            at, there = vectext.Places(keys).find(asked)
+            assert (there == np.isin(asked, keys)).all() and (keys[at[there]] == asked[there]).all()
