@@ -8,6 +8,7 @@ ids are decoded side by side by table look-up, and no block needs another one.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ END_ID = 2
 LONGEST = 16  # bits of a code; more only where so many ids are in use that they need it
 BLOCK = 1 << 16  # ids in a block, unless one document has more
 RUN = 64  # ids between two checkpoints
-CACHE = 400_000  # units whose ids a worker remembers; then it starts anew
+CACHE = 400_000  # units whose ids a worker remembers; then it drops those that came once
 CACHE_BYTES = 32_000_000  # bytes of these units
 PIECE = 1_500_000  # bytes of text handled at once
 
@@ -34,6 +35,9 @@ _KIND[[0x20, *range(0x09, 0x0E)]] = 0
 _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 _KIND[0x30:0x3A] = 2
 
+#: Letters whose words the tokenizer neither cuts nor normalises but to lower case.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
 
 class UnitIds:
     """Ids of texts from ids of their units, each distinct unit going to the library once.
@@ -45,18 +49,32 @@ class UnitIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {c: signs.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}  # how the model sees the bytes of a letter
         self._clear()
 
     def _clear(self) -> None:
         self.keys, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.body, self.begin, self.end = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again, self.places = np.zeros(0, bool), vectext.Places(self.keys)
+
+    def _drop(self) -> None:
+        """Forget the units that came once; all where those that came again fill more than half."""
+        kept = np.flatnonzero(self.again)
+        size, wide = self.size[kept], (self.end - self.begin)[kept]
+        if len(kept) > CACHE // 2 or wide.sum() > CACHE_BYTES // 2:
+            return self._clear()
+        self.flat, self.at = self.flat[_ranges(self.at[kept], size)], np.cumsum(size) - size
+        self.body, self.end = self.body[_ranges(self.begin[kept], wide)], np.cumsum(wide)
+        self.keys, self.size, self.begin = self.keys[kept], size, self.end - wide
+        self.again, self.places = np.zeros(len(kept), bool), vectext.Places(self.keys)
 
     def _ids(self, strings: list[str]) -> list[list[int]]:
-        merge = self.tok.model.tokenize
-        return [[t.id for t in merge(x.lower())] if x.isascii() and x.isalpha() else self.tok.encode(x, add_special_tokens=False).ids for x in strings]
+        merge, letters, signs = self.tok.model.tokenize, _LETTERS.fullmatch, self.signs
+        return [[t.id for t in merge(x.lower() if x.isascii() else x.lower().translate(signs))] if letters(x) else self.tok.encode(x, add_special_tokens=False).ids for x in strings]
 
     def _learn(self, keys: np.ndarray, strings: list[str], bodies: list[bytes]) -> None:
         found = self._ids(strings)
@@ -71,6 +89,7 @@ class UnitIds:
         order = np.argsort(keys, kind="stable")  # two sorted runs
         self.keys, self.at, self.size, self.flat = keys[order], at[order], size[order], np.concatenate([self.flat, flat])
         self.begin, self.end = begin[order], end[order]
+        self.again, self.places = np.append(self.again, np.zeros(len(found), bool))[order], vectext.Places(self.keys)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in ``data``, and how many each text has."""
@@ -85,18 +104,19 @@ class UnitIds:
             inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
             lower[inside] = data[inside]
             hashed[whole] = vectext.span_hash(data, s[whole], e[whole], 1)
-        keys, where, back = np.unique(hashed, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > CACHE or len(self.body) > CACHE_BYTES:
-            self._clear()
-        slot = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(slot, len(self.keys) - 1)] != keys
-        if new.any():
+        slot, there = self.places.find(hashed)
+        self.again[slot[there]] = True
+        if not there.all():
+            where = np.flatnonzero(~there)
+            keys, one = np.unique(hashed[where], return_index=True)
+            if len(self.keys) + len(keys) > CACHE or len(self.body) > CACHE_BYTES:
+                self._drop()
+                where = np.flatnonzero(~self.places.find(hashed)[1])
+                keys, one = np.unique(hashed[where], return_index=True)
             body, kept = data.tobytes(), lower.tobytes()
-            at = list(zip(s[where[new]].tolist(), e[where[new]].tolist(), strict=True))
-            self._learn(keys[new], [body[a:b].decode("utf-8", "replace") for a, b in at], [kept[a:b] for a, b in at])
-        slot = np.searchsorted(self.keys, keys)[back]
+            at = list(zip(s[where[one]].tolist(), e[where[one]].tolist(), strict=True))
+            self._learn(keys, [body[a:b].decode("utf-8", "replace") for a, b in at], [kept[a:b] for a, b in at])
+            slot, _ = self.places.find(hashed)
         # a hash only finds the unit: its bytes decide
         other = np.flatnonzero(~vectext.same(lower, s, e, self.body, self.begin[slot], self.end[slot]))
         size = self.size[slot]
@@ -108,11 +128,17 @@ class UnitIds:
             at[other] = len(flat) + np.cumsum(size[other]) - size[other]
             flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), np.uint32, int(size[other].sum()))])
         ends = np.cumsum(size)
-        ids = flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = flat[_ranges(at, size)]
         before = np.concatenate([[0], ends])
         return ids, np.diff(before[first])
 
 
+def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of ranges of these sizes that begin ``at``, one range after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each unit, the first unit of each text (one more at the end), and which units are whole words."""
     s, e, first = vectext.spans(data, offs)

@@ -67,6 +67,37 @@ def test_equal_hashes_of_different_units(monkeypatch):
         assert ids.tolist() == [i for t in texts for i in tok.encode(t, add_special_tokens=False).ids]
 
 
+def test_units_come_again(monkeypatch):
+    """A worker that has seen too many units keeps those that came again; words of Latin letters go to the model at once. Ids are the library's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, encoder = Tokenizer.from_file(path), idfiles.UnitIds(path)
+    monkeypatch.setattr(idfiles, "CACHE", 120)
+    learned, ids_of = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda strings: learned.extend(strings) or ids_of(strings))
+    calls = []
+
+    class Library:
+        model = tok.model
+
+        def encode(self, x, **other):
+            calls.append(x)
+            return tok.encode(x, **other)
+
+    encoder.tok = Library()
+    letters = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+    common = ["Straße", "ÉTÉ", "naïve", "the", "42", "".join(letters), "it's", "ªº", "e\u0301"]
+    for i in range(60):
+        text = " ".join([*common, *(f"{chr(97 + i % 26)}{'q' * (i // 26)}{a}{letters[i]}" for a in "abcdefghijklmnopqrst")])
+        ids, sizes = encoder.encode(*vectext.raw(pa.array([text[:30], "", text])))
+        want = [tok.encode(x, add_special_tokens=False).ids for x in (text[:30], "", text)]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+    assert all(learned.count(x) == 1 for x in common) and len(encoder.keys) <= 120
+    assert not set(calls) & {"Straße", "ÉTÉ", "naïve", "the", "".join(letters)}
+
+
 def test_op3_window_in_a_short_and_a_very_long_text(spark):
     random = np.random.default_rng(3)
     noise = random.integers(33, 127, 12_000_000, dtype=np.uint8).tobytes()
